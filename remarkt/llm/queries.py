@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .compression import compression_rules
+from .suffix_leaks import leak_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_suffix_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_compression": op5_compression}
+    return {"op4_suffix_leaks": op4_suffix_leaks, "op5_compression": op5_compression}
 
 
 def oracle_sql() -> dict[str, str]:
