@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .byte_cnn import language_report
 from .compression import compression_rules
+from .latent_votes import quality_report
+from .licenses import license_report
 from .suffix_leaks import leak_report
 
 
@@ -23,8 +25,20 @@ def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+def op10_latent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_suffix_leaks": op4_suffix_leaks, "op5_compression": op5_compression}
+    return {f.__name__: f for f in (op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op10_latent_votes)}
 
 
 def oracle_sql() -> dict[str, str]:
