@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_cnn import language_report
 from .compression import compression_rules
+from .histogram_sort import shard_report
 from .latent_votes import quality_report
 from .licenses import license_report
+from .nnls_packing import packing_report
 from .suffix_leaks import leak_report
 
 
@@ -17,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
+def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +48,7 @@ def op10_latent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op10_latent_votes)}
+    return {f.__name__: f for f in (op1_histogram_sort, op2_nnls_packing, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op10_latent_votes)}
 
 
 def oracle_sql() -> dict[str, str]:
