@@ -43,7 +43,7 @@ class WordIds:
     """Ids of a text, word by word: the tokenizer drops white space and never joins what it parts, so words can be kept."""
 
     #: White space as the tokenizer's normaliser has it (Unicode's); str.split takes four control characters more.
-    SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+    SPACE = re.compile("[" + "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
     ODD = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):

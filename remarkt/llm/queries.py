@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_cnn import language_report
+from .chosen_path import near_duplicates
 from .compression import compression_rules
 from .histogram_sort import shard_report
 from .latent_votes import quality_report
@@ -27,6 +28,10 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(table(spark, sf_dir, "documents"))
 
 
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +53,7 @@ def op10_latent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sort, op2_nnls_packing, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op10_latent_votes)}
+    return {f.__name__: f for f in (op1_histogram_sort, op2_nnls_packing, op3_chosen_path, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op10_latent_votes)}
 
 
 def oracle_sql() -> dict[str, str]:
