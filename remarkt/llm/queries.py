@@ -10,9 +10,11 @@ from .byte_cnn import language_report
 from .chosen_path import near_duplicates
 from .compression import compression_rules
 from .histogram_sort import shard_report
+from .hmm import language_model_report
 from .latent_votes import quality_report
 from .licenses import license_report
 from .nnls_packing import packing_report
+from .sanitise import personal_data_report
 from .suffix_leaks import leak_report
 
 
@@ -48,12 +50,21 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_report(table(spark, sf_dir, "documents"))
+
+
+def op9_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op10_latent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_histogram_sort, op2_nnls_packing, op3_chosen_path, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op10_latent_votes)}
+    own = (op1_histogram_sort, op2_nnls_packing, op3_chosen_path, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op8_hmm, op9_sanitise, op10_latent_votes)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
