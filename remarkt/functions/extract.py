@@ -62,11 +62,14 @@ def present(text: Column, words) -> Column:
 
 def affirmed(text: Column, words, window: int, ahead: bool = False, negations=config.NEGATIONS) -> Column:
     """Whether some word of the list stands without a negation in the so many characters after it (before it: ahead)."""
+    if ahead:
+        # the same, read from the end
+        text, words, negations = F.reverse(text), [w[::-1] for w in words], [n[::-1] for n in negations]
     latin = [n for n in negations if n.isascii()]
     other = [n for n in negations if not n.isascii()]
     no = "(?iu)" + "|".join([*([any_of(other)] if other else []), *(f"(?<![A-Za-z0-9_]){any_of([n])}(?![A-Za-z0-9_])" for n in latin)])
-    near = f"(?<=(.{{0,{window}}}))(?>{any_of(words)})" if ahead else f"(?>{any_of(words)})(?=(.{{0,{window}}}))"
-    return F.coalesce(F.exists(F.regexp_extract_all(text, F.lit("(?isu)" + near), F.lit(1)), lambda w: ~w.rlike(no)), F.lit(False))
+    near = F.regexp_extract_all(text, F.lit(f"(?isu)(?>{any_of(words)})(?=(.{{0,{window}}}))"), F.lit(1))
+    return F.coalesce(F.exists(near, lambda w: ~w.rlike(no)), F.lit(False))
 
 
 # --- titles
