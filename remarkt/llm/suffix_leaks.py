@@ -239,5 +239,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs the counts of ``leaks`` and a digest of the items."""
     return leaks(docs.select("doc_id", "text"), benchmark, window).select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "longest_at"
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
