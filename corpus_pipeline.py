@@ -15,7 +15,7 @@ from remarkt.llm.scratch import shared_dir
 from remarkt.llm.suffix_leaks import without_leaks
 
 #: Documents whose language is less likely than this go, as those without any do.
-LEAST_SCORE = 0.6
+LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
