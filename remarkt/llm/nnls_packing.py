@@ -9,6 +9,7 @@ their length. What the plan leaves over is laid end to end and cut at the window
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ WINDOW, END = 4096, 2
 #: Tokens of a length class; pieces of a combination at most.
 STEP, DEPTH = 32, 4
 #: Words whose ids a task keeps.
-MEMO = 200_000
+MEMO = 800_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, block bigint, bin int, nth bigint"
 
@@ -51,21 +52,55 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.held: dict[str, tuple[int, ...]] = {}
+        self.held: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def split(self, text: str) -> list[str]:
         return [w for w in self.SPACE.split(text) if w] if self.ODD.search(text) else text.split()
 
+    #: Trailing signs of their own pre-token; none of them is an apostrophe, which can start one with letters.
+    SIGNS = ".,;:!?|"
+
+    def learn(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()]
+        for lo in range(0, len(letters), 10_000):
+            part = letters[lo : lo + 10_000]
+            # each is one pre-token, and so ends where a token with the mark of a word's end stands
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                self.learn_each(part)
+                continue
+            flat = ids.tobytes()
+            self.held.update(zip(part, map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        self.learn_each([w for w in words if not w.isalpha()])
+
+    def learn_each(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 10_000):
+            part = words[lo : lo + 10_000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.held.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+
+    def parts(self, word: str) -> tuple[str, str]:
+        """A word without its case (where that is plain) and its trailing signs, and those: they are tokens apart."""
+        base = word.rstrip(self.SIGNS)
+        if not base or not base[-1].isalpha():
+            base = word
+        return base.lower() if base.isascii() else base, word[len(base) :]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.split(t) for t in texts]
-        new = list({w for own in words for w in own} - self.held.keys())
-        if len(self.held) + len(new) > MEMO:
-            self.held = {}
-            new = list({w for own in words for w in own})
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            self.held.update((w, e.ids) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
-        return [np.fromiter((i for w in own for i in self.held[w]), np.dtype("<u4")) for own in words]
+        words, held = [self.split(t) for t in texts], self.held
+        new = [w for w in set().union(*words) if w not in held]
+        if len(held) + len(new) > MEMO:
+            held.clear()
+            new = list(set().union(*words))
+        split = [self.parts(w) for w in new]
+        self.learn([w for w in {x for pair in split for x in pair} if w not in held])
+        for word, (base, signs) in zip(new, split, strict=True):
+            held[word] = held[base] + held[signs] if signs else held[base]
+        return [np.frombuffer(b"".join(map(held.__getitem__, own)), "<u4") for own in words]
 
 
 @lru_cache(2)
