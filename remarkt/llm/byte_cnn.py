@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import Texts, per_text
 
@@ -174,8 +175,8 @@ def identify(docs: DataFrame, learn: DataFrame, keep: tuple[str, ...] = ("doc_id
             "score": pa.array(np.where(known, prob[np.arange(texts.n), best], 0.0)),
         }
 
-    fields = docs.select(*keep).schema.fields
-    return per_text(docs, make, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"]), keep)
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return per_text(docs, make, T.StructType([*docs.select(*keep).schema.fields, *made]), keep)
 
 
 def bucket(mod: int):

@@ -111,9 +111,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, text: str = "text", tolerance:
     """
     docs = docs.drop("size", "shard", "slot")
     size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("bigint") + overhead
-    keyed = docs.select(*(docs[c] for c in docs.columns), size.alias("size"), sort_key(docs, text).alias("_key"))
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), size.alias("size"), sort_key(docs, text).alias("key"))
     # 16 bytes a row, so that the rounds of counting don't read the texts again
-    keys = staged(keyed.select(F.col("_key").alias("key"), "size"), "keys")
+    keys = staged(keyed.select("key", "size"), "keys")
     splitters = find_splitters(keys, shards, tolerance, range_bytes)
     held = docs.sparkSession.sparkContext.broadcast(splitters)
 
@@ -123,9 +123,10 @@ def shard_by_bytes(docs: DataFrame, shards: int, text: str = "text", tolerance:
         at = np.maximum(np.searchsorted(s.first, key.to_numpy(), "right") - 1, 0)
         return pd.DataFrame({"range": at.astype(np.int32), "shard": s.shard[at], "before": s.before[at]})
 
-    placed = keyed.withColumn("_at", place("_key")).repartition(len(splitters.first), "_at.range")
-    rank = F.row_number().over(Window.partitionBy("_at.range").orderBy("_key", *(docs[c] for c, t in docs.dtypes if not t.startswith(("map", "variant")) and c != text)))
-    return placed.select(*docs.columns, "size", F.col("_at.shard").alias("shard"), (F.col("_at.before") + rank - 1).alias("slot"))
+    placed = keyed.withColumn("at", place("key")).repartition(len(splitters.first), "at.range")
+    ties = (F.col("row")[c] for c, t in docs.dtypes if not t.startswith(("map", "variant")) and c != text)
+    rank = F.row_number().over(Window.partitionBy("at.range").orderBy("key", *ties))
+    return placed.select("row.*", "size", F.col("at.shard").alias("shard"), (F.col("at.before") + rank - 1).alias("slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import ALNUM, LOWER, Texts, per_text, ranges, window_hashes
 
@@ -25,7 +26,7 @@ SEED = 3
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
 
-SCHEMA = "n_words bigint, spans array<bigint>, items array<string>, longest_match bigint, longest_at bigint"
+FOUND = (("n_words", T.LongType()), ("spans", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType())), ("longest_match", T.LongType()), ("longest_at", T.LongType()))
 
 
 @dataclass
@@ -200,21 +201,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     blocks = max(1, math.ceil(total / block_bytes))
     # several rows of an item stay in one block
     out, carried = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text")), ["row"]
-    ddl = f"row {docs.select(F.struct(*(docs[c] for c in docs.columns)).alias('row')).schema['row'].dataType.simpleString()}"
+    fields = list(out.select("row").schema.fields)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
         held = spark.sparkContext.broadcast(test_suffixes([tuple(r) for r in rows], window))
         last = k == blocks - 1
         keep = carried if last else [*carried, "text"]
-        names = [f"{c.split()[0]}{k} {c.split(' ', 1)[1]}" for c in SCHEMA.split(", ")]
+        new = [T.StructField(f"{n}{k}", t) for n, t in FOUND]
 
         def make(column: pa.Array, k: int = k, held=held) -> dict[str, pa.Array]:
             return {f"{c}{k}": v for c, v in leaks_of(column, held.value).items()}
 
-        ddl_out = ", ".join([ddl, *([] if last else ["text string"]), *names])
-        out = per_text(out, make, ddl_out, tuple(keep), most=SHARD_BYTES)
-        ddl = ", ".join([ddl, *names])
-        carried = [*carried, *(n.split()[0] for n in names)]
+        out = per_text(out, make, T.StructType([*fields, *([] if last else [T.StructField("text", T.StringType())]), *new]), tuple(keep), most=SHARD_BYTES)
+        fields += new
+        carried = [*carried, *(f.name for f in new)]
     if blocks == 1:
         hit = F.expr("aggregate(sequence(0, size(spans0) - 2, 2), 0L, (n, i) -> n + spans0[i + 1] - spans0[i])")
         best, where, listed = F.col("longest_match0"), F.col("longest_at0"), F.col("items0")

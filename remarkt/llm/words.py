@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 
@@ -140,10 +141,10 @@ def ranges(array: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         yield lo, len(array)
 
 
-def per_text(df: DataFrame, make: Callable[[pa.Array], dict[str, pa.Array]], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
+def per_text(df: DataFrame, make: Callable[[pa.Array], dict[str, pa.Array]], schema: str | T.StructType, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
     """The kept columns and, for each row, what make gives for its text. One row comes out for each that goes in; columns of other names are not read.
 
-    schema: of the whole result in Spark's DDL, the kept columns first.
+    schema: of the whole result, the kept columns first.
     """
     names = [*keep, "_text"]
 

@@ -43,6 +43,6 @@ def test_equal_small_groups_stay_together(documents):
 
 def test_repeated_rows_empty_table_and_clashing_columns(documents):
     docs = documents([(1, "a")] * 50 + [(2, "b")] * 3)
-    got = shard_by_bytes(docs.withColumnRenamed("source", "slot").withColumnRenamed("n_chars", "size"), 4).collect()
+    got = shard_by_bytes(docs.withColumnRenamed("source", "slot").withColumnRenamed("n_chars", "size").withColumnRenamed("lang", "key"), 4).collect()
     assert len(got) == 53 and len({r.shard for r in got if r.doc_id == 1}) == 1
     assert shard_by_bytes(docs.limit(0), 4).count() == 0 and shard_report(docs.limit(0)).count() == 0
