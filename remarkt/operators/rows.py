@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key in the given order, which should be total; null keys are one key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row of each key in the given ascending order, which should be total; null keys are one key.
+
+    An aggregation, not a window: tasks keep one row for each key before the shuffle, so a hot key gathers nothing.
+    """
+    least = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*order))
+    return df.groupBy(*keys).agg(least.alias("_row")).select("_row.*")
 
 
 def valid_links(df: DataFrame, link: str = "link") -> DataFrame:
