@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group; of rows equal in id and text one, so that one document stays."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null"))
 
 
