@@ -103,3 +103,17 @@ def top_keywords(scores: Column, n: int) -> Column:
     """The n best terms of a map of scores, positive ones only; of ties the smaller term."""
     pairs = F.transform(F.filter(F.map_entries(scores), lambda e: e["value"] > 0), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("t")))
     return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda p: p["t"])
+
+
+def fill_or_drop(df: DataFrame, column: str, fill: str, most: float = 0.5) -> DataFrame:
+    """Nulls of a column become fill where over most of the rows are null; else those rows go. Lazy: the share is one aggregated row."""
+    share = df.agg(F.avg(F.col(column).isNull().cast("double")).alias("_nulls"))
+    many = F.coalesce(F.col("_nulls") > most, F.lit(False))
+    both = df.join(F.broadcast(share), how="cross")
+    return both.where(F.col(column).isNotNull() | many).withColumn(column, F.coalesce(column, F.lit(fill))).drop("_nulls")
+
+
+def described(df: DataFrame, column: str = "explanation") -> DataFrame:
+    """Rows, and those whose description is neither blank nor the word nan."""
+    text = F.trim(F.col(column).cast("string"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if((text != "") & (F.lower(text) != "nan")).alias("n_described"))

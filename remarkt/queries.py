@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import config
 from .functions import extract, features, scalars
 from .operators import rows, statistics
-from .plans import etl, models, search
+from .plans import etl, models, search, training
 from .schema import FORECASTS, LISTINGS, PRICE_HISTORY, PRODUCTS, RAW_ITEMS, ensure_columns
 from .sources import html, tables
 
@@ -449,3 +449,43 @@ def table_counts(spark, d):
     for name in ("part", "orders"):
         read(spark, d, name).createOrReplaceTempView(f"remarkt_{name}")
     return tables.table_counts(spark, ["remarkt_part", "remarkt_orders"])
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS a, CASE WHEN o_orderpriority = '1-URGENT' THEN 'u' END AS b FROM orders)
+SELECT o_orderkey, a, coalesce(b, 'Unknown') AS b FROM t WHERE a IS NOT NULL OR (SELECT avg(CASE WHEN a IS NULL THEN 1.0 ELSE 0.0 END) FROM t) > 0.5""")
+def conditional_fill(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("a"), F.when(F.col("o_orderpriority") == "1-URGENT", "u").alias("b"))
+    # b is filled where most are null; rows without a go where few are
+    filled = statistics.fill_or_drop(df, "a", "Unknown")
+    return filled.withColumn("b", F.coalesce("b", F.lit("Unknown")))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (trim(x) <> '' AND lower(trim(x)) <> 'nan') AS n_described FROM (SELECT CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN ' NaN ' WHEN 2 THEN '  ' ELSE p_name END AS x FROM part)""")
+def described_listings(spark, d):
+    k = F.col("p_size") % 4
+    return statistics.described(read(spark, d, "part").select(F.when(k == 0, None).when(k == 1, " NaN ").when(k == 2, "  ").otherwise(F.col("p_name")).alias("explanation")))
+
+
+@query("""WITH t AS (SELECT l_partkey AS product_id, l_quantity AS battery, l_returnflag AS v, l_linenumber % 2 = 0 AS box FROM lineitem), q AS (SELECT product_id, round(median(battery), 4) AS battery_percentage, count(*) FILTER (box) > count(*) FILTER (NOT box) AS has_box FROM t GROUP BY ALL),
+m AS (SELECT product_id, v, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, v) AS k FROM (SELECT product_id, v, count(*) AS n FROM t GROUP BY ALL))
+SELECT q.product_id, battery_percentage, m.v AS condition, has_box FROM q JOIN m ON m.product_id = q.product_id AND k = 1""")
+def product_baselines(spark, d):
+    df = read(spark, d, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("battery_percentage"), F.col("l_returnflag").alias("condition_rank"), (F.col("l_linenumber") % 2 == 0).alias("has_box"))
+    return rounded(training.product_baseline(df), "battery_percentage")
+
+
+@query("""WITH t AS (SELECT p_name AS name, CAST(floor(l_extendedprice) AS DOUBLE) AS price, ['mercari', 'rakuma', 'else'][l_linenumber % 3 + 1] AS source, CASE WHEN l_quantity > 40 THEN NULL ELSE p_brand END AS brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE floor(l_extendedprice) BETWEEN 5000 AND 300000),
+f AS (SELECT * FROM t WHERE brand IS NOT NULL OR (SELECT avg(CASE WHEN brand IS NULL THEN 1.0 ELSE 0.0 END) FROM t) > 0.5)
+SELECT DISTINCT name, price, source, CASE source WHEN 'mercari' THEN 'Mercari' WHEN 'rakuma' THEN 'Rakuma' ELSE 'Mercari' END AS platform, 'Android' AS ecosystem, 'B' AS condition FROM f""")
+def training_rows(spark, d):
+    line, part = read(spark, d, "lineitem"), read(spark, d, "part")
+    df = line.join(part, line.l_partkey == part.p_partkey).select(
+        F.col("p_name").alias("name"), F.concat(F.lit("¥"), F.floor("l_extendedprice")).alias("price"), F.element_at(F.array(F.lit("mercari"), F.lit("rakuma"), F.lit("else")), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("source"),
+        F.when(F.col("l_quantity") <= 40, F.col("p_brand")).alias("brand"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("link"),
+    )
+    return training.training_rows(df).select("name", "price", "source", "platform", "ecosystem", "condition")
+
+
+@query()
+def word_keywords(spark, d):
+    return statistics.top_terms(training.word_scores(read(spark, d, "part").select("p_partkey", "p_name"), "p_name"), "scores")
