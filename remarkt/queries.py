@@ -57,7 +57,7 @@ def price_history(spark, d):
     return rounded(statistics.price_history(df, "p_partkey", "l_extendedprice"), "avg_price")
 
 
-@query("""SELECT l_partkey, year(l_shipdate) AS record_year, round(avg(l_extendedprice), 4) AS avg_price, min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price, count(*) AS listing_count FROM lineitem GROUP BY ALL""")
+@query("""SELECT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS record_year, round(avg(l_extendedprice), 4) AS avg_price, min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price, count(*) AS listing_count FROM lineitem GROUP BY ALL""")
 def price_history_merge(spark, d):
     df = read(spark, d, "lineitem").withColumn("record_year", F.year("l_shipdate"))
     part = lambda c: df.where(c).groupBy("l_partkey", "record_year").agg(F.avg("l_extendedprice").alias("avg_price"), F.min("l_extendedprice").alias("min_price"), F.max("l_extendedprice").alias("max_price"), F.count(F.lit(1)).alias("listing_count"))
@@ -268,7 +268,7 @@ def platforms(spark, d):
     return read(spark, d, "pages").select("page_id", scalars.platform(F.concat("url", tail)).alias("platform"), scalars.normalize_link(F.concat(F.lit("/x/"), k, F.lit("/undefined")), base).alias("link"), scalars.description_link(item, base).alias("description_link"))
 
 
-@query("""SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k, count(*) AS n FROM events GROUP BY event_type""")
+@query("""SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY event_type""")
 def json_props(spark, d):
     return read(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"), F.count(F.lit(1)).alias("n"))
 
@@ -422,7 +422,7 @@ def etl_status(spark, d):
     return loaded(spark, d).raw.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(LOADED + """SELECT substring(sha256(name), 1, 36) AS product_id, 70.0 * 100 AS p FROM k GROUP BY name""".replace("70.0 * 100 AS p", "CAST((10000 + least(70 * 0.4 + 70 * 0.3 + 68 * 0.2 + 70 * 0.1, 110) * 100 - 6 * 500 + 2020 + 6 * 70) * 175 AS DOUBLE) AS predicted_price, 50.0 AS confidence_score"))
+@query(LOADED + """SELECT substring(sha256(name), 1, 36) AS product_id, 70.0 * 100 AS p FROM k GROUP BY name""".replace("70.0 * 100 AS p", "CAST((10000 + least(70 * 0.4 + 70 * 0.3 + 68 * 0.2 + 70 * 0.1, 110) * 100 - 6 * 500 + 2020 + 6 * 70) * 175 AS DOUBLE) AS predicted_price, CAST(50 AS DOUBLE) AS confidence_score"))
 def etl_forecast(spark, d):
     t = loaded(spark, d)
     df = models.forecast(t.products, t.listings, spark.createDataFrame([], FORECASTS), lambda x: linear(features.engineer(x)), None, today(), now())
