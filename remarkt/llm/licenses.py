@@ -151,21 +151,30 @@ class Scanner:
         return found
 
     def chains(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, last word, share of the template) of each chain that covers enough: runs in the order of the template, near each other in the text."""
-        spans = []
+        """(label, first word, last word, share of the template) of each chain that covers enough: runs in the order of the template, near each other in the text.
+
+        Of the chains that begin with a run the one that covers most; words of overlaps count once.
+        """
+        found = []
         for template in sorted({r[0] for r in runs}):
-            size = len(self.templates[template])
-            open_: list[int] | None = None
-            for _, there, here, length in sorted((r for r in runs if r[0] == template), key=lambda r: (r[2], r[1])):
-                if open_ and there + length > open_[3] and here <= open_[1] + self.gap:
-                    skip = max(0, open_[3] - there)
-                    open_ = [open_[0], max(open_[1], here + length), open_[2] + length - skip, there + length]
-                else:
-                    spans.append((template, open_))
-                    open_ = [here, here + length, length, there + length]
-                spans = [s for s in spans if s[1]]
-            spans.append((template, open_))
-        return [(self.labels[t], s[0], s[1] - 1, min(1.0, s[2] / len(self.templates[t]))) for t, s in spans if s and s[2] >= self.cover * len(self.templates[t])]
+            own, size = sorted((r[1:] for r in runs if r[0] == template), key=lambda r: (r[1], r[0])), len(self.templates[template])
+            best: list[tuple[int, int]] = []  # for each run: words that the best chain ending there covers, and the run it begins with
+            for i, (there, here, length) in enumerate(own):
+                top = (length, i)
+                for j in range(i - 1, -1, -1):
+                    before, at, words = own[j]
+                    if here - at > self.gap + size:
+                        break
+                    gain = length - max(0, at + words - here, before + words - there)
+                    if gain > 0 and before < there and at < here and here - at - words <= self.gap:
+                        top = max(top, (best[j][0] + gain, best[j][1]), key=lambda t: (t[0], -t[1]))
+                best.append(top)
+            ends: dict[int, int] = {}
+            for i, (covered, root) in enumerate(best):
+                if covered >= self.cover * size and (root not in ends or covered > best[ends[root]][0]):
+                    ends[root] = i
+            found += [(self.labels[template], own[root][1], own[i][1] + own[i][2] - 1, min(1.0, best[i][0] / size)) for root, i in sorted(ends.items())]
+        return found
 
     def __call__(self, column: pa.Array) -> dict[str, pa.Array]:
         texts = Texts(column)
