@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # classes that may be linked, with one text each, in groups that hold all their possible partners
     members = staged(maybe.join(classes, F.col("node") == F.col("cls")).select("root", "cls", "rep", "f", "n"), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    texts = docs.where("text is not null").join(members.select("root", "cls", "rep", "f"), F.col("doc_id") == F.col("rep"))
+    # members grow with the corpus, so that they are merged with the texts at any size and not broadcast at some
+    texts = docs.where("text is not null").join(members.select("root", "cls", "rep", "f").hint("merge"), F.col("doc_id") == F.col("rep"))
     # an id that several texts have may bring others than the class's own
     one = per_text(texts, lambda c: {"own": describe(shingle)(c)["f"]}, "root bigint, cls bigint, f bigint, text string, own bigint", ("root", "cls", "f", "text")).where("own = f") if _ids_repeat(named) else texts
     rows = in_blocks(one.select("root", "cls", "text").join(sizes, "root"), "root", F.col("parts")).select("grp", "cls", "text")
