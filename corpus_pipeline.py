@@ -26,10 +26,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; of rows equal in id and text one, so that one document stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    known = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    """One row of each group, that of the smallest id (of several texts with it, of the smallest digest); of rows equal in id and text one.
+
+    Rows without an id, without a text or without words are in no group. Of rows equal in id and text, the one of the
+    smallest digest of its other columns stays, in every run.
+    """
+    digest = F.coalesce(F.md5(docs["text"]), F.lit("")).alias("_digest")
+    groups = near_duplicates(docs.select("doc_id", digest, "text"), key=("_digest",)).where("component is not null")
+    # the others of each group go, by id and digest of text
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "_digest")).alias("first"))
+    gone = groups.select("component", "doc_id", "_digest").distinct().join(first, "component").where(F.struct("doc_id", "_digest") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_gone"))
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*(docs[c] for c in docs.columns))
+    rows = docs.select(docs["doc_id"].alias("_doc"), digest, row.alias("row"), F.xxhash64(F.to_json(F.struct(F.lit(0), *others))).alias("_order"))
+    one = rows.groupBy("_doc", "_digest").agg(F.min_by("row", "_order").alias("row"))
+    return one.join(gone, (F.col("_doc") == F.col("_id")) & (one["_digest"] == F.col("_gone")), "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ blocks, every block with every other, so nothing is capped.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -283,7 +285,7 @@ def grouped(rows: DataFrame, run, out: str) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, out)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, branches: int = BRANCHES, leaf: int = LEAF, dense: float = DENSE, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, branches: int = BRANCHES, leaf: int = LEAF, dense: float = DENSE, depth: int = DEPTH, block: int = BLOCK, key: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (its own component_id) for each row of docs (doc_id, text).
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets. Null texts and texts
@@ -292,32 +294,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     are kept together or none. A row without an id stands alone and is kept. Links are confirmed on full sets; a
     link is missed only if no tree brings the pair together (see TREES). An empty table gives an empty result;
     other columns are not read.
+
+    key: columns of docs that tell rows of one id and unlike texts apart. They are in the result too, and component,
+    which unlike component_id tells components of one smallest id apart; null for rows that stand alone.
     """
-    docs = docs.select("doc_id", "text")
-    base = staged(per_text(docs, describe(shingle), "doc_id bigint, n bigint, f bigint, g bigint, sketch binary"), "sketches")
+    docs = docs.select("doc_id", *key, "text")
+    names = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in key)
+    base = staged(per_text(docs, describe(shingle), f"doc_id bigint, {names}n bigint, f bigint, g bigint, sketch binary", ("doc_id", *key)), "sketches")
     named = base.where("n > 0 and doc_id is not null")
-    classes = staged(named.groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    one_of = F.min(F.struct("doc_id", *key)) if key else F.struct(F.min("doc_id").alias("doc_id"))
+    classes = named.groupBy("f", "g", "n").agg(one_of.alias("one"), F.first("sketch").alias("sketch"))
+    classes = staged(classes.select("f", "g", "n", F.col("one.doc_id").alias("rep"), *(F.col("one")[c].alias(f"rep_{c}") for c in key), "sketch").withColumn("cls", F.monotonically_increasing_id()), "classes")
     similar = percent / 100
     least = int(np.floor(SKETCH * similar - MARGIN * np.sqrt(SKETCH * similar * (1 - similar))))
     nodes = in_blocks(leaves(classes, trees, branches, leaf, dense, depth), "node", F.ceil(F.col("size") / block))
     sketched = nodes.join(classes.select("cls", "sketch"), "cls").select("grp", "cls", "sketch")
     maybe = connected_components(grouped(sketched, compare_sketches(least), "a bigint, b bigint"))
     # classes that may be linked, with one text each, in groups that hold all their possible partners
-    members = staged(maybe.join(classes, F.col("node") == F.col("cls")).select("root", "cls", "rep", "f", "n"), "members")
+    members = staged(maybe.join(classes, F.col("node") == F.col("cls")).select("root", "cls", "rep", *(f"rep_{c}" for c in key), "f", "n"), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     # members grow with the corpus, so that they are merged with the texts at any size and not broadcast at some
-    texts = docs.where("text is not null").join(members.select("root", "cls", "rep", "f").hint("merge"), F.col("doc_id") == F.col("rep"))
-    # an id that several texts have may bring others than the class's own
-    one = per_text(texts, lambda c: {"own": describe(shingle)(c)["f"]}, "root bigint, cls bigint, f bigint, text string, own bigint", ("root", "cls", "f", "text")).where("own = f") if _ids_repeat(named) else texts
+    texts = docs.where("text is not null").join(members.select("root", "cls", "rep", *(f"rep_{c}" for c in key), "f").hint("merge"), reduce(and_, (docs[c] == F.col(r) for c, r in (("doc_id", "rep"), *((c, f"rep_{c}") for c in key)))))
+    # an id that several texts have may bring others than the class's own, where no key tells them apart
+    one = per_text(texts, lambda c: {"own": describe(shingle)(c)["f"]}, "root bigint, cls bigint, f bigint, text string, own bigint", ("root", "cls", "f", "text")).where("own = f") if not key and _ids_repeat(named) else texts
     rows = in_blocks(one.select("root", "cls", "text").join(sizes, "root"), "root", F.col("parts")).select("grp", "cls", "text")
     linked = connected_components(grouped(rows, confirm(shingle, percent), "a bigint, b bigint"))
     ids = linked.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).select("cls", "root", "rep")
     least_id = ids.groupBy("root").agg(F.min("rep").alias("component"))
-    component = ids.join(least_id, "root").select("cls", "component")
-    known = classes.join(component, "cls", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"))
-    found = base.select("doc_id", "n", "f", "g").join(known, ["f", "g", "n"], "left")
-    component_id = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    component = ids.join(least_id, "root").select("cls", "component", "root")
+    known = classes.join(component, "cls", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "cls").alias("root"))
+    found = base.select("doc_id", *key, "n", "f", "g").join(known, ["f", "g", "n"], "left")
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    component_id = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
+    own = (*key, F.when(~alone, F.col("root")).alias("component")) if key else ()
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), *own)
 
 
 def _ids_repeat(named: DataFrame) -> bool:

@@ -44,3 +44,14 @@ def test_null_and_repeated_rows(documents):
     docs = documents([(1, "the house is on the hill"), (1, "the house is on the hill"), (2, None), (None, "the house is on the hill"), (3, "")])
     kept = corpus_pipeline.near_dedup(None, docs, SF).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == [("1", "the house is on the hill"), ("2", ""), ("3", ""), ("None", "the house is on the hill")]
+
+
+def test_texts_of_one_id_are_decided_each(documents):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    # 5 has two texts that stay and one whose like has a smaller id; two near copies of one id are one group
+    rows = [(5, a), (5, a), (5, b), (5, c), (3, b + " more"), (7, a + " more"), (9, "d " + c), (None, a), (None, a), (None, b), (8, None), (8, None), (8, "")]
+    rows += [(20, " ".join(f"e{i}" for i in range(40))), (20, " ".join(f"e{i}" for i in range(41)))]
+    kept = corpus_pipeline.near_dedup(None, documents(rows).repartition(3), SF).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept if r.doc_id != 20), key=str)
+    assert got == sorted([(3, b + " more"), (5, a), (5, c), (8, None), (8, ""), (None, a), (None, b)], key=str)
+    assert sum(r.doc_id == 20 for r in kept) == 1
