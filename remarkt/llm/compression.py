@@ -62,7 +62,8 @@ def repeated_words(words, size: int = 5) -> np.ndarray:
 def compression_rules(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = BANDS, chunk: int = CHUNK, chunk_limits: tuple[float, float] = CHUNK_LIMITS, chunk_share: float = CHUNK_SHARE, level: int = 3) -> DataFrame:
     """One row for each row of docs (doc_id, text): counts, zstandard ratios and the verdict.
 
-    Null and empty texts have no words and fail; equal texts and repeated rows get the same verdict each; an empty
+    Chunks cover every byte of a text: those of full length one after the other, then its last bytes; a text shorter
+    than a chunk is one, within its band's limits. Null and empty texts have no words and fail; equal texts and repeated rows get the same verdict each; an empty
     table gives an empty result; other columns are not read. One pass, no shuffle; the memory of a task is bounded by
     one chunk of rows or its longest text.
     """
@@ -85,13 +86,19 @@ def compression_rules(docs: DataFrame, bands: Sequence[tuple[int, float, float]]
                 continue
             packed[i] = len(squeeze.compress(one))
             dups[i] = duplicate_lines(one)
-            for k in range(0, len(one) - chunk + 1, chunk):
+            if len(one) < chunk:
+                continue
+            # the last chunk is the text's last bytes, also where it begins inside the one before
+            for k in (*range(0, len(one) - chunk, chunk), len(one) - chunk):
                 share = len(squeeze.compress(one[k : k + chunk])) / chunk
                 chunks[i] += 1
                 bad[i] += not chunk_limits[0] <= share <= chunk_limits[1]
         ratio = packed / np.maximum(sizes, 1)
         band = np.searchsorted(edges, sizes, "right") - 1
         low, high = np.array([b[1] for b in limits])[band], np.array([b[2] for b in limits])[band]
+        # a text shorter than a chunk is one, within the limits for its length
+        short = (sizes > 0) & (sizes < chunk)
+        chunks[short], bad[short] = 1, ((ratio < low) | (ratio > high))[short]
         in_band = (ratio >= low) & (ratio <= high) & (bad <= chunk_share * np.maximum(chunks, 1))
         repeats = repeated_words(words)
         failed = (n_words < 10) | (100 * repeats > 20 * n_words)

@@ -39,3 +39,15 @@ def test_empty_table_and_clashing_columns(documents):
     df = documents(["a b"]).withColumnRenamed("n_chars", "kept").withColumnRenamed("source", "n_words")
     assert compression_rules(df).count() == 1
     assert compression_rules(df.limit(0)).count() == 0
+
+
+def test_tail_counts(documents, sample):
+    import random
+
+    prose = next(t for _, t in sample if len(t.encode()) > 6000 and t.isascii())
+    noise = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2047))
+    got = {r.doc_id: r for r in compression_rules(documents([prose[:2048] + noise, prose[:4095], prose[:4096], prose[:700], noise[:700], ""])).collect()}
+    assert [got[i].n_chunks for i in range(6)] == [2, 2, 2, 1, 1, 0]
+    assert got[0].n_bad_chunks == 1 and got[0].zstd_ratio < 0.72 and not got[0].in_band
+    assert [got[i].n_bad_chunks for i in range(1, 4)] == [0, 0, 0] and got[1].in_band
+    assert got[3].in_band == (got[3].n_bad_chunks == 0) and got[4].in_band == (got[4].n_bad_chunks == 0)
