@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data, in DataFrame and SQL functions only.
 
 Patterns find e-mail and IP addresses, cards and phone numbers: the protected entities. Terms beside an entity are
-counted with it and in the whole corpus. A term's disclosure of an entity is the share of the entity's information
+the candidates; they are counted in all texts that hold it, wherever they stand, and in the whole corpus. A term's disclosure of an entity is the share of the entity's information
 that it gives, pointwise mutual information over self-information, 1 when it implies the entity. Where it passes the
 threshold the term is removed too, in texts that hold the entity.
 """
@@ -26,7 +26,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Words on each side of an entity (within CONTEXT code points), texts that must show a pair, disclosure from which a term goes.
+#: Words on each side of an entity (within CONTEXT code points) that are candidates, unlike texts that must hold a pair, disclosure from which a term goes.
 NEAR, CONTEXT, SUPPORT, DISCLOSURE = 6, 100, 3, 0.9
 
 SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
@@ -81,7 +81,11 @@ def text_key() -> list[Column]:
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(_h, _n, _terms) of texts that hold an entity which terms beside it disclose. spans: from with_spans."""
+    """(_h, _n, _terms) of texts that hold an entity which terms disclose. spans: from with_spans.
+
+    A term is a candidate for an entity if any text has it beside that; both its counts are over whole texts.
+    """
+    meant = lambda w: (F.length(w) >= 3) & ~w.rlike("[0-9]")
     around = F.transform(
         "_spans",
         lambda x: F.struct(
@@ -92,25 +96,27 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, near: int = NEAR, suppor
                         F.slice(F.reverse(F.split(F.lower(F.substring(F.col("_t"), F.greatest(F.lit(1), x["s"] - CONTEXT + 1), F.least(x["s"], F.lit(CONTEXT)))), GAP)), 1, near),
                         F.slice(F.split(F.lower(F.substring(F.col("_t"), x["e"] + 1, F.lit(CONTEXT))), GAP), 1, near),
                     ),
-                    lambda w: (F.length(w) >= 3) & ~w.rlike("[0-9]"),
+                    meant,
                 )
             ).alias("terms"),
         ),
     )
-    held = spans.where(F.size("_spans") > 0).select(*text_key(), around.alias("around"))
+    held = spans.where(F.size("_spans") > 0).select(*text_key(), around.alias("around"), F.filter(F.array_distinct(F.split(F.lower("_t"), GAP)), meant).alias("words"))
     # one row for each text, however many copies it has
-    texts = staged(held.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("copies"), F.first("around").alias("around")), "texts")
+    texts = staged(held.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("copies"), F.first("around").alias("around"), F.first("words").alias("words")), "texts")
     beside = texts.select("_h", "_n", "copies", F.explode("around").alias("x")).select("_h", "_n", "copies", "x.*")
     entities = beside.select("entity", "_h", "_n", "copies").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_e")).where(F.col("texts") >= support)
     known = beside.join(entities.select("entity", "n_e"), "entity")
-    pairs = known.select("entity", "n_e", "_h", "_n", "copies", F.explode("terms").alias("term")).distinct().groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= support)
-    pairs = staged(pairs, "pairs")
+    named = known.select("entity", "n_e", F.explode("terms").alias("term")).distinct()
     # how many documents of the corpus have each word: summed in the tasks first
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), GAP))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.select(F.lit(1)).groupBy().agg(F.count(F.lit(1)).alias("n"))
-    n = total.first()[0]
-    share = 1 + F.log(F.col("n_te") / F.greatest("n_t", "n_te")) / F.log(F.lit(float(n)) / F.col("n_e"))
-    told = pairs.join(words, "term").where((F.col("n_e") < n) & (share >= disclosure)).groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), GAP))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= support)
+    n = docs.select(F.lit(1)).groupBy().agg(F.count(F.lit(1)).alias("n")).first()[0]
+    share = lambda n_te: 1 + F.log(n_te / F.greatest("n_t", n_te)) / F.log(F.lit(float(n)) / F.col("n_e"))
+    # those that would pass if as many of the entity's documents as can be had the term
+    pairs = staged(named.where(F.col("n_e") < n).join(words, "term").where(share(F.least("n_e", "n_t")) >= disclosure), "pairs")
+    whole = texts.select("_h", "_n", "copies", F.explode("words").alias("term")).join(pairs, "term").join(beside.select("entity", "_h", "_n"), ["entity", "_h", "_n"], "left_semi")
+    counted = whole.groupBy("entity", "n_e", "term", "n_t").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= support)
+    told = counted.where(share(F.col("n_te")) >= disclosure).groupBy("entity").agg(F.collect_set("term").alias("terms"))
     return beside.select("entity", "_h", "_n").distinct().join(told, "entity").groupBy("_h", "_n").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"))
 
 

@@ -82,3 +82,12 @@ def test_no_python_in_the_plan(documents):
 def test_empty_and_repeated_rows(documents, n):
     docs = documents([(1, "me@x.org")] * 2)
     assert personal_data_report(docs.limit(n)).count() == n
+
+
+def test_terms_count_in_whole_texts(documents):
+    far = "rent food work play rest bread " * 4
+    rows = [(i, f"Note {i} Zephyrine at jo@corp.example today" if i < 6 else f"Zephyrine {far} note {i} for jo@corp.example today") for i in range(10)]
+    rows += [(100 + i, f"The note at today for {far}") for i in range(290)]
+    got = {r.doc_id: r.spans for r in personal_data_report(documents(rows)).collect()}
+    # beside the entity in six of its ten documents, anywhere in all ten
+    assert all("term:" in got[i] for i in range(10)) and not any(got[100 + i] for i in range(290))
