@@ -432,15 +432,14 @@ def etl_forecast(spark, d):
 @query()
 def junk_model(spark, d):
     df = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", F.col("text").alias("name"), F.lit(None).cast("string").alias("explanation"), F.col("n_chars").cast("string").alias("price"), (1 - F.col("quality")).alias("is_junk"))
-    # trees and terms are fewer than by default, which are for a cluster
-    model = models.train_junk(df.withColumn("name", F.regexp_replace("name", r"\s+", " ")), terms=500, trees=3, depth=3)
+    model = models.train_junk(df.withColumn("name", F.regexp_replace("name", r"\s+", " ")))
     return model.predict(df).select("doc_id", "junk_probability", F.col("is_junk"))
 
 
 @query()
 def price_model(spark, d):
     df = phones(spark, d).withColumns({"price": F.col("battery_percentage") * 100 + F.length("storage") * 1000.0, "key": F.concat_ws("-", "l_orderkey", "l_linenumber"), "model_line": F.lit("M"), "model_number": F.col("storage"), "variant": F.lit("")})
-    _, errors = models.train_price(df, {}, "key", trees=5, depth=6)
+    _, errors = models.train_price(df, {}, "key")
     return errors
 
 
