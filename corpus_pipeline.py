@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, that of the smallest id (of several texts with it, of the smallest digest); of rows equal in id and text one.
 
-    Rows without an id, without a text or without words are in no group. Of rows equal in id and text, the one of the
+    Documents are alike by the values of op3 (3 words, 0.85). Rows without an id, without a text or without words are in no group. Of rows equal in id and text, the one of the
     smallest digest of its other columns stays, in every run.
     """
     digest = F.coalesce(F.md5(docs["text"]), F.lit("")).alias("_digest")
