@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import sent
 from .words import Texts, per_text
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-#: Documents to fit on (shared evenly by the languages) and code points of each; the fit is bounded, scoring isn't.
-SAMPLE, EXCERPT, EPOCHS = 4096, 1024, 8
+#: Documents to fit on, whole, shared evenly by the languages; languages, the most frequent ones. The fit is bounded, scoring isn't.
+SAMPLE, LANGUAGES, EPOCHS = 2048, 512, 8
 #: Bytes by class: 0 pads; letters without case; digits, white space, other ASCII; each byte beyond ASCII by its low bits.
 CLASSES = 96
 CLASS_OF = np.full(256, 29, np.uint8)
@@ -87,9 +88,12 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     number = {x: i for i, x in enumerate(languages)}
-    x, owner, used = windows_of(Texts(pa.array(texts, pa.string())))
-    y = np.array([number[v] for v in labels], np.int64)[owner]
-    x, y = x[used >= 16], y[used >= 16]
+    parts = []
+    for text, label in zip(texts, labels, strict=True):
+        windows, _, used = windows_of(Texts(pa.array([text], pa.string())))
+        windows = windows[used >= 16]
+        parts.append((windows, np.full(len(windows), number[label])))
+    x, y = np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts])
     p = [rng.normal(0, 0.3, (CLASSES, EMBED)), *(rng.normal(0, 1 / np.sqrt(w * EMBED), (w, EMBED, FILTERS)) for w in WIDTHS), np.zeros(FILTERS * len(WIDTHS)), rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))), np.zeros(len(languages))]
     p = [v.astype(np.float32) for v in p]
     p[0][0] = 0
@@ -128,18 +132,20 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
     return Network(languages, p[0], p[1:4], p[4], p[5], p[6])
 
 
-def sample(docs: DataFrame, size: int = SAMPLE, excerpt: int = EXCERPT) -> list[tuple[str, str]]:
-    """About size (text, lang) rows of docs (doc_id, text, lang), spread over the languages by a hash of the id; of each an excerpt from a place the hash picks."""
+def sample(docs: DataFrame, size: int = SAMPLE, most: int = LANGUAGES) -> list[tuple[str, str]]:
+    """About size whole (text, lang) rows of docs (doc_id, text, lang), spread over the languages (the most frequent ones) by a hash of the id.
+
+    Of the texts that share id and language one is learnt from, that of the smallest hash, so that an id which repeats doesn't grow the sample.
+    """
     known = docs.where("text is not null and lang is not null and doc_id is not null")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not counts:
         return []
     each = max(1, size // len(counts))
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))))
-    picked = known.select("doc_id", "lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
-    place = F.expr(f"int(pmod(shiftright(h, 20), greatest(1, length(text) - {excerpt} + 1))) + 1")
-    rows = picked.withColumn("p", place).select("doc_id", "lang", F.expr(f"substring(text, p, {excerpt})").alias("text"))
-    return [(r.text, r.lang) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text, r.lang))]
+    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * float(1 << 30))
+    rows = picked.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang))]
 
 
 def has_letter(text: str | None) -> bool:
@@ -150,12 +156,13 @@ def identify(docs: DataFrame, learn: DataFrame, keep: tuple[str, ...] = ("doc_id
     """The kept columns, lang_pred and score (0 to 1) for each row of docs (text), with a network fit on learn (doc_id, text, lang).
 
     Texts that are null or have no letter are ``und`` with score 0, and so is all if learn has no language. Whole
-    texts are scored, window by window; repeated rows get equal answers; an empty table gives an empty result;
+    texts are scored, window by window; of equally likely languages the first by name is taken; repeated rows get
+    equal answers; an empty table gives an empty result;
     columns of other names are not read. The fit is on a bounded sample; scoring is one pass without a shuffle.
     """
     rows = sample(learn, size)
     network = train([t for t, _ in rows], [v for _, v in rows], epochs) if rows else None
-    held = docs.sparkSession.sparkContext.broadcast((network, network.tables() if network else None))
+    held = sent(docs.sparkSession, (network, network.tables() if network else None))
 
     def make(column: pa.Array) -> dict[str, pa.Array]:
         network, tables = held.value

@@ -1,7 +1,7 @@
 """Sharding by histogram sort.
 
-Rows are ordered by a key of 63 bits: a hash of the text, then of the whole row, so that equal texts are neighbours
-and yet even one text that fills a third of the table can be cut. Each round counts the exact bytes and rows between
+Rows are ordered by a key of 63 bits: a hash of the text, then of the whole row, then of its place in the input, so
+that equal texts are neighbours and yet even one row that fills a third of the table can be cut. Each round counts the exact bytes and rows between
 candidate boundaries over all partitions, and refines only intervals that hold a wanted boundary and are larger than
 the tolerance. Once all splitters are known, rows are exchanged once.
 """
@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import sent, staged
 
-#: Bits of the key; of those, bits that come from the text; bits of the key resolved in a round.
-KEY_BITS, ROW_BITS, ROUND_BITS = 63, 24, 9
+#: Bits of the key; of those, the bits below the text's, for rows; of these, bits for the place of rows that are all alike; bits of the key resolved in a round.
+KEY_BITS, ROW_BITS, PLACE_BITS, ROUND_BITS = 63, 32, 16, 9
 FIRST_BITS = 12
 #: Share of a shard's bytes by which a splitter may miss its target.
 TOLERANCE = 0.005
@@ -28,10 +28,16 @@ LEAST_RANGES = 4
 
 
 def sort_key(docs: DataFrame, text: str) -> Column:
-    """Not negative; equal for rows equal in all columns."""
-    row = F.xxhash64(*(docs[c] if t not in ("map", "variant") else F.lit(0) for c, t in ((f.name, f.dataType.typeName()) for f in docs.schema.fields)))
+    """Not negative. Columns that can't be hashed, those with maps at any depth, are hashed as JSON."""
+    plain = lambda f: not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    row = F.xxhash64(*(docs[f.name] if plain(f) else F.to_json(F.struct(docs[f.name])) for f in docs.schema.fields))
     head = F.shiftleft(F.shiftrightunsigned(F.xxhash64(docs[text]), 64 - KEY_BITS + ROW_BITS), ROW_BITS)
-    return head.bitwiseOR(F.shiftrightunsigned(row, 64 - ROW_BITS))
+    middle = F.shiftleft(F.shiftrightunsigned(row, 64 - ROW_BITS + PLACE_BITS), PLACE_BITS)
+    return head.bitwiseOR(middle).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - PLACE_BITS))
+
+
+def size_of(text: Column, overhead: int) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + overhead
 
 
 @dataclass
@@ -105,17 +111,18 @@ def shard_by_bytes(docs: DataFrame, shards: int, text: str = "text", tolerance:
     """docs and, added, size, shard (0 to shards - 1, near equal in bytes) and slot (gapless from 0 in each shard).
 
     A row's size is its text's UTF-8 bytes (null: none) plus overhead. Equal texts stand together unless a boundary
-    must fall among them; rows equal in all columns can't be parted. Boundaries miss their targets by tolerance of
-    a shard or half a row. Columns of docs named size, shard or slot are replaced. An empty table gives an empty
-    result. The driver sees counts only, of bounded number; no task holds more than a range.
+    must fall among them; so do rows equal in all columns. Boundaries miss their targets by tolerance of a shard or
+    half a row. Columns of docs named size, shard or slot are replaced. An empty table gives an empty result. Rows
+    are written once with their keys, so that counts and exchange see the same ones, and the rounds of counting read
+    16 bytes a row. The driver sees counts only, of bounded number; each range is a task of its own.
     """
     docs = docs.drop("size", "shard", "slot")
-    size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("bigint") + overhead
-    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), size.alias("size"), sort_key(docs, text).alias("key"))
-    # 16 bytes a row, so that the rounds of counting don't read the texts again
-    keys = staged(keyed.select("key", "size"), "keys")
-    splitters = find_splitters(keys, shards, tolerance, range_bytes)
-    held = docs.sparkSession.sparkContext.broadcast(splitters)
+    # names of the rows' columns may clash, with each other's case too, so they are carried by number
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own = named.columns[docs.columns.index(text)]
+    keyed = staged(named.select("*", size_of(named[own], overhead).alias("size"), F.monotonically_increasing_id().alias("place"), sort_key(named, own).alias("key")), "keyed")
+    splitters = find_splitters(keyed.select("key", "size"), shards, tolerance, range_bytes)
+    held = sent(docs.sparkSession, splitters)
 
     @F.pandas_udf("range int, shard int, before bigint")
     def place(key: pd.Series) -> pd.DataFrame:
@@ -123,12 +130,12 @@ def shard_by_bytes(docs: DataFrame, shards: int, text: str = "text", tolerance:
         at = np.maximum(np.searchsorted(s.first, key.to_numpy(), "right") - 1, 0)
         return pd.DataFrame({"range": at.astype(np.int32), "shard": s.shard[at], "before": s.before[at]})
 
-    placed = keyed.withColumn("at", place("key")).repartition(len(splitters.first), "at.range")
-    ties = (F.col("row")[c] for c, t in docs.dtypes if not t.startswith(("map", "variant")) and c != text)
-    rank = F.row_number().over(Window.partitionBy("at.range").orderBy("key", *ties))
-    return placed.select("row.*", "size", F.col("at.shard").alias("shard"), (F.col("at.before") + rank - 1).alias("slot"))
+    placed = keyed.withColumn("at", place("key")).select("*", F.col("at.range").alias("range")).repartitionById(len(splitters.first), "range")
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("key", "place"))
+    return placed.select(*(F.col(c).alias(name) for c, name in zip(named.columns, docs.columns, strict=True)), "size", F.col("at.shard").alias("shard"), (F.col("at.before") + rank - 1).alias("slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = 24) -> DataFrame:
-    found = shard_by_bytes(docs, shards)
+    """Per row of docs (doc_id, text) its place by ``shard_by_bytes``, where nulls, repeated rows and empty tables are stated; other columns are not read."""
+    found = shard_by_bytes(docs.select("doc_id", "text"), shards)
     return found.select("doc_id", "size", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -7,6 +7,7 @@ document's cosines with all of them are computed in blocks, and the nearest vote
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import sent
 from .words import LOWER, NOT_SPACE, Texts, groups, mix, per_text
 
 #: Labelled documents to fit on at most (about), dimensions of the space, neighbours that vote, power of a similarity as weight.
@@ -99,33 +101,42 @@ class Space:
         found = np.zeros(len(points))
         for lo in range(0, len(points), block):
             cosine = points[lo : lo + block] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            # of equal cosines at the edge the first labelled documents in their order vote
+            edge = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k, None]
+            over, tied = cosine > edge, cosine == edge
+            chosen = over | tied & (np.cumsum(tied, axis=1) <= k - over.sum(1, keepdims=True))
+            near = np.nonzero(chosen)[1].reshape(-1, k)
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** power
             found[lo : lo + block] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.clip(found, 0, 1)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and labels of about size labelled documents, chosen by a hash of the id. labels: (doc_id, quality)."""
+    """Counts and labels of about size labelled documents, chosen by a hash of the id. labels: (doc_id, quality).
+
+    Of an id's several texts one is learnt from, that of the smallest hash, so that an id which repeats doesn't grow the sample.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("votes")), F.lit(1 << 30)) < float(1 << 30) * min(1.0, size / max(n, 1)))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = per_text(rows, lambda column: {"counts": pa.array([r.tobytes() for r in features(column).astype(np.float16)], pa.binary())}, "doc_id bigint, quality int, counts binary", ("doc_id", "quality")).collect()
-    found = sorted(found, key=lambda r: (r.doc_id, bytes(r.counts)))
-    return np.array([np.frombuffer(r.counts, np.float16) for r in found], np.float32).reshape(-1, WIDTH), np.array([r.quality for r in found])
+    # about size rows, so that this side may be broadcast
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = per_text(rows, lambda column: {"counts": pa.array([zlib.compress(r.tobytes(), 1) for r in features(column)], pa.binary())}, "doc_id bigint, quality int, counts binary", ("doc_id", "quality")).collect()
+    found = sorted(found, key=lambda r: r.doc_id)
+    return np.array([np.frombuffer(zlib.decompress(r.counts), np.float32) for r in found], np.float32).reshape(-1, WIDTH), np.array([r.quality for r in found])
 
 
 def quality_votes(docs: DataFrame, learn: DataFrame, labels: DataFrame, size: int = SAMPLE, rank: int = RANK, neighbours: int = NEIGHBOURS, power: float = POWER, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted for each row of docs (doc_id, text).
 
     Learns from rows of learn (doc_id, text) that labels (doc_id, quality) names, a bounded sample of them; an id
-    with several labels counts with the largest. Null texts score as empty ones; without labels all score 0.5;
+    with several labels counts with the largest, one with several texts with one of them. Of labelled documents with
+    equal cosines those of smaller ids vote. Null texts score as empty ones; without labels all score 0.5;
     repeated rows get equal scores; an empty table gives an empty result; other columns are not read. Whole texts of
     all rows are scored in one pass without a shuffle.
     """
     counts, quality = labelled(learn, labels, size)
-    held = docs.sparkSession.sparkContext.broadcast(Space.fit(counts, quality, rank) if len(counts) else None)
+    held = sent(docs.sparkSession, Space.fit(counts, quality, rank) if len(counts) else None)
 
     def make(column: pa.Array) -> dict[str, pa.Array]:
         space = held.value

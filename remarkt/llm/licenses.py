@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import sent
 from .words import ALNUM, LOWER, Texts, per_text
 
 #: Phrases whose places are counted, and their labels.
@@ -221,7 +222,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, min_run:
     texts have no words and no labels; repeated rows are each answered; an empty table gives an empty result; other
     columns are not read. One pass without a shuffle; the automaton's size is that of the templates.
     """
-    held = docs.sparkSession.sparkContext.broadcast(Scanner(templates, phrases, min_run, cover, gap))
+    held = sent(docs.sparkSession, Scanner(templates, phrases, min_run, cover, gap))
     return per_text(docs, lambda column: held.value(column), SCHEMA)
 
 

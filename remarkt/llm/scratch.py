@@ -1,17 +1,25 @@
-"""Tables written between the jobs of one operator, in the folder all executors share."""
+"""Tables written between the jobs of one operator, in the folder all executors share, and broadcasts of bounded size."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+#: What scopes that are open have made, the innermost last.
+_open: list[list] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if driver and executors are one machine, as in tests; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="remarkt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -20,16 +28,42 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return it as read back: lineage ends here, and lost executors cost one read.
 
-    The table stays until ``clear``: frames derived from it are lazy and may still need it.
+    The table stays until its scope ends, else until ``clear``: frames derived from it are lazy and may still need it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that goes when its scope ends."""
+    held = spark.sparkContext.broadcast(value)
+    if _open:
+        _open[-1].append(held)
+    return held
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables and broadcasts made inside go at its end: for results that are written inside it too."""
+    made: list = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for x in made:
+            _delete(spark, x) if isinstance(x, str) else x.destroy()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's tables, once the results made from them are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import sent
 from .words import ALNUM, LOWER, Texts, per_text, ranges, window_hashes
 
 WINDOW = 10
@@ -204,7 +205,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     fields = list(out.select("row").schema.fields)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        held = spark.sparkContext.broadcast(test_suffixes([tuple(r) for r in rows], window))
+        held = sent(spark, test_suffixes([tuple(r) for r in rows], window))
         last = k == blocks - 1
         keep = carried if last else [*carried, "text"]
         new = [T.StructField(f"{n}{k}", t) for n, t in FOUND]

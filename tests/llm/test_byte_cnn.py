@@ -3,6 +3,7 @@ import pyarrow as pa
 
 from remarkt.llm import byte_cnn
 from remarkt.llm.byte_cnn import identify, language_report, pooled, train, windows_of
+from remarkt.llm.byte_cnn import sample as sample_of
 from remarkt.llm.words import Texts
 
 
@@ -37,3 +38,14 @@ def test_odd_rows(documents):
     assert got[None].lang_pred == "en" and all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(60))
     assert identify(docs.limit(0), docs).count() == 0
     assert {r.lang_pred for r in identify(docs, docs.limit(0)).collect()} == {"und"}
+
+
+def test_learns_from_whole_texts_of_a_bounded_sample(documents):
+    # what tells the languages apart stands at the end of long texts
+    filler = "0123456789 " * 300
+    texts = [filler + ("the house and that with " * 40 if i % 2 else "der Häuser und nicht ßen " * 40) for i in range(40)] + [f"the house {i}" for i in range(200)]
+    docs = documents([(i if i < 40 else 1000, t) for i, t in enumerate(texts)], ["en" if i % 2 or i >= 40 else "de" for i in range(240)])
+    rows = sample_of(docs, 4096)
+    assert len(rows) == 41 and max(len(t) for t, _ in rows) > 4000
+    got = {r.doc_id: r.lang_pred for r in identify(docs.where("doc_id < 40"), docs).collect()}
+    assert all(got[i] == ("en" if i % 2 else "de") for i in got)

@@ -1,6 +1,6 @@
 import re
 
-from remarkt.llm.compression import compression_rules
+from remarkt.llm.compression import BANDS, CHUNK, CHUNK_LIMITS, CHUNK_SHARE, compression_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,3 +51,27 @@ def test_tail_counts(documents, sample):
     assert got[0].n_bad_chunks == 1 and got[0].zstd_ratio < 0.72 and not got[0].in_band
     assert [got[i].n_bad_chunks for i in range(1, 4)] == [0, 0, 0] and got[1].in_band
     assert got[3].in_band == (got[3].n_bad_chunks == 0) and got[4].in_band == (got[4].n_bad_chunks == 0)
+
+
+def verdict(text):
+    import zstandard
+
+    raw = (text or "").encode()
+    if not raw:
+        return 0, 0, True
+    size = lambda part: len(zstandard.ZstdCompressor(level=3).compress(part))
+    low, high = [(lo, hi) for at, lo, hi in BANDS if len(raw) >= at][-1]
+    inside = low <= size(raw) / len(raw) <= high
+    if len(raw) < CHUNK:
+        bad = [not inside]
+    else:
+        parts = [raw[k : k + CHUNK] for k in range(0, len(raw) - CHUNK + 1, CHUNK)]
+        parts += [raw[-CHUNK:]] if len(raw) % CHUNK else []
+        bad = [not CHUNK_LIMITS[0] <= size(p) / CHUNK <= CHUNK_LIMITS[1] for p in parts]
+    return len(bad), sum(bad), inside and sum(bad) <= CHUNK_SHARE * len(bad)
+
+
+def test_ratios_and_verdict_equal_brute_force(documents, sample):
+    rows = [*sample, (-1, None), (-2, ""), (-3, "ab" * 40_000), (-4, "x" * 2048), (-5, "x" * 2049)]
+    got = {r.doc_id: (r.n_chunks, r.n_bad_chunks, r.in_band) for r in compression_rules(documents(rows)).collect()}
+    assert got == {i: verdict(t) for i, t in rows}

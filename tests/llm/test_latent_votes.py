@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from remarkt.llm.latent_votes import Space, features, quality_report
+from remarkt.llm.latent_votes import WIDTH, Space, features, labelled, quality_report
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,3 +40,21 @@ def test_odd_rows(spark, documents):
     assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 60 and r.doc_id != 1)
     assert quality_report(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality_report(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_long_labelled_text_and_ids_that_repeat(spark, documents):
+    rows = [(i, "plain words here and there " * 5 if i % 2 else "XX!! YY!! ZZ!! " * 9) for i in range(40)]
+    rows += [(50, "word " * 100_000), *((51, f"plain words {i} here") for i in range(300))]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(50, 0, 0), (51, 1, 0)], "doc_id bigint, quality int, toxic int")
+    counts, _ = labelled(documents(rows), labels)
+    assert len(counts) == 42 and np.isfinite(counts).all() and counts.max() == 100_000
+    got = quality_report(documents(rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id < 40)
+
+
+def test_ties_go_to_the_first():
+    space = Space(np.ones(WIDTH, np.float32), np.eye(WIDTH, 4, dtype=np.float32), np.array([[1, 0, 0, 0]] * 6, np.float32), np.array([1, 1, 0, 0, 0, 0], np.float32))
+    counts = np.zeros((3, WIDTH), np.float32)
+    counts[:, 0] = 1
+    assert space.vote(counts, 2, 4.0).tolist() == [1, 1, 1] and np.allclose(space.vote(counts, 4, 4.0), 0.5)
