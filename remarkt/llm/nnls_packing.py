@@ -2,33 +2,37 @@
 
 Documents are cut into whole windows and one rest each. Combinations of few rest lengths that fill a window are
 enumerated, non-negative least squares finds how often to use each so that together they use up the histogram of
-lengths, the counts are rounded down, and pieces take places in the planned sequences by their rank among pieces of
-their length. What the plan leaves over is laid end to end and cut at the windows' ends.
+lengths, and the counts are rounded down. What the plan leaves over is packed greedily, the longest pieces first and
+each into the fullest sequence that it fits. All of this is arithmetic on the counts of pieces of each length: a piece
+then finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import sent, staged
 from .words import ranges
 
 WINDOW, END = 4096, 2
 #: Tokens of a length class; pieces of a combination at most.
 STEP, DEPTH = 32, 4
-#: Words whose ids a task keeps.
-MEMO = 800_000
+#: Words whose ids a task keeps (some 200 bytes each); beyond that, and after the task, only those of its last texts.
+MEMO = 200_000
 
-PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, block bigint, bin int, nth bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, block bigint, nth bigint"
 
 
 def default_tokenizer() -> str:
@@ -41,23 +45,38 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """Ids of a text, word by word: the tokenizer drops white space and never joins what it parts, so words can be kept."""
+    """Ids of a text, word by word: the tokenizer drops white space and never joins what it parts, so words can be kept.
+
+    markers: literal markers in a text, such as <|endoftext|>, become their own ids, as the tokenizer's default is; else they are plain text.
+    """
 
     #: White space as the tokenizer's normaliser has it (Unicode's); str.split takes four control characters more.
     SPACE = re.compile("[" + "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
     ODD = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # words never hold a marker that counts: those are parted from the text before
         self.tokenizer.encode_special_tokens = True
-        self.held: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special] if markers else []
+        self.markers = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        # keyed by what can't be a word
+        self.special = {" " + t: array("I", [vocabulary[t]]).tobytes() for t in special}
+        self.held: dict[str, bytes] = dict(self.special)
+        self.recent: set[str] = set()
 
     def split(self, text: str) -> list[str]:
+        if self.markers and self.markers.search(text):
+            parts = self.markers.split(text)
+            return [w for i, p in enumerate(parts) for w in ([" " + p] if i % 2 else self._split(p))]
+        return self._split(text)
+
+    def _split(self, text: str) -> list[str]:
         return [w for w in self.SPACE.split(text) if w] if self.ODD.search(text) else text.split()
 
     #: Trailing signs of their own pre-token; none of them is an apostrophe, which can start one with letters.
@@ -90,42 +109,55 @@ class WordIds:
             base = word
         return base.lower() if base.isascii() else base, word[len(base) :]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def forget(self) -> None:
+        """Keep only words of the last texts: what texts share is among them."""
+        self.held = self.special | {w: self.held[w] for w in self.recent if w in self.held}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, 4 bytes each."""
         words, held = [self.split(t) for t in texts], self.held
-        new = [w for w in set().union(*words) if w not in held]
+        own = set().union(*words)
+        new = [w for w in own if w not in held]
         if len(held) + len(new) > MEMO:
-            held.clear()
-            new = list(set().union(*words))
+            self.recent = own
+            self.forget()
+            held = self.held
         split = [self.parts(w) for w in new]
         self.learn([w for w in {x for pair in split for x in pair} if w not in held])
         for word, (base, signs) in zip(new, split, strict=True):
             held[word] = held[base] + held[signs] if signs else held[base]
-        return [np.frombuffer(b"".join(map(held.__getitem__, own)), "<u4") for own in words]
+        self.recent = own
+        return [b"".join(map(held.__getitem__, one)) for one in words]
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, markers: bool = True) -> WordIds:
+    return WordIds(path, markers)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, window: int = WINDOW, step: int = STEP, end: int = END) -> DataFrame:
-    """Windows and rest of each document's ids, in the order of the input; nth: rank among this task's pieces of a class."""
+def pieces_of(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, markers: bool = True) -> DataFrame:
+    """Windows and rest of each document's ids, in the order of the input; block: the task; nth: rank among its pieces of one length."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    names = [f.split()[0] for f in PIECES.split(", ")]
+    last = array("I", [end]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, block, seen = word_ids(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            for lo, hi in ranges(batch.column(1), 1 << 19):
-                part = batch.slice(lo, hi - lo)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), ids_of.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    for start in range(0, len(ids), window):
-                        own = ids[start : start + window]
-                        kind = -(-len(own) // step)
-                        nth = seen[kind] = seen.get(kind, -1) + 1
-                        rows.append((doc, start, len(own), len(ids), own.tobytes(), block, kind, nth))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
+        ids_of, block, seen = word_ids(tokenizer, markers), TaskContext.get().partitionId(), {}
+        try:
+            for batch in batches:
+                for lo, hi in ranges(batch.column(1), 1 << 19):
+                    part = batch.slice(lo, hi - lo)
+                    rows = []
+                    for doc, ids in zip(part.column(0).to_pylist(), ids_of.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                        ids += last
+                        n = len(ids) // 4
+                        for start in range(0, n, window):
+                            size = min(window, n - start)
+                            nth = seen[size] = seen.get(size, -1) + 1
+                            rows.append((doc, start, size, n, ids[4 * start : 4 * (start + size)], block, nth))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        finally:
+            ids_of.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -203,69 +235,132 @@ def plan(histogram: dict[int, int], steps: int, depth: int = DEPTH) -> list[tupl
     return chosen
 
 
-def places(chosen: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(class, first rank, rank beyond the last, part of the sequence, sequence of the first rank)."""
-    rank: dict[int, int] = {}
-    found, sequence = [], 0
+# --- places
+
+
+@dataclass
+class Places:
+    """Places of pieces by their rank among pieces of their length: a row for each range of ranks.
+
+    Ranks lo to hi - 1 of a length lie in sequences at, at + 1, ..., per of them in each, from offset on.
+    """
+
+    length: list[int] = field(default_factory=list)
+    lo: list[int] = field(default_factory=list)
+    hi: list[int] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
+    per: list[int] = field(default_factory=list)
+    offset: list[int] = field(default_factory=list)
+
+    def add(self, length: int, lo: int, hi: int, at: int, per: int, offset: int) -> None:
+        for column, value in zip((self.length, self.lo, self.hi, self.at, self.per, self.offset), (length, lo, hi, at, per, offset), strict=True):
+            column.append(value)
+
+
+def places(histogram: dict[int, int], window: int, step: int, depth: int) -> tuple[Places, int]:
+    """Where pieces of each length go (histogram: their number), and the number of sequences that the plan fills.
+
+    There are a few rows for each length, combination and partly filled kind of sequence: their number has a bound
+    that doesn't grow with the pieces.
+    """
+    classes: dict[int, list[list[int]]] = {}
+    for length in sorted(histogram):
+        classes.setdefault(-(-length // step), []).append([length, 0, histogram[length]])
+    chosen = plan({k: sum(n for _, _, n in runs) for k, runs in classes.items()}, window // step, depth)
+    found, room, planned = Places(), [], 0
     for kinds, times in chosen:
-        for part, kind in enumerate(kinds):
-            lo = rank.get(kind, 0)
-            rank[kind] = lo + times
-            found.append((kind, lo, lo + times, part, sequence))
-        sequence += times
-    return found
+        taken = []
+        for kind in kinds:
+            own, need = [], times
+            while need:
+                run = classes[kind][-1]
+                n = min(need, run[2])
+                own.append((run[0], run[1], n))
+                run[1], run[2], need = run[1] + n, run[2] - n, need - n
+                if not run[2]:
+                    classes[kind].pop()
+            taken.append(own)
+        # sequences of this combination whose parts have equal lengths
+        done, at = 0, [(0, 0)] * len(kinds)
+        while done < times:
+            n = min(own[i][2] - used for own, (i, used) in zip(taken, at, strict=True))
+            offset = 0
+            for k, (own, (i, used)) in enumerate(zip(taken, at, strict=True)):
+                length, first, count = own[i]
+                found.add(length, first + used, first + used + n, planned + done, 1, offset)
+                offset += length
+                at[k] = (i, used + n) if used + n < count else (i + 1, 0)
+            if offset < window:
+                room.append((window - offset, planned + done, n))
+            done += n
+        planned += times
+    rest = sorted((run for runs in classes.values() for run in runs), reverse=True)
+    room.sort()
+    least, sequences = rest[-1][0] if rest else 0, planned
+
+    def keep(slack: int, at: int, count: int) -> None:
+        if count and slack >= least:
+            insort(room, (slack, at, count))
+
+    for length, rank, left in rest:
+        while left:
+            i = bisect_left(room, (length,))
+            if i == len(room):
+                opened = -(-left // (window // length))
+                room.append((window, sequences, opened))
+                sequences += opened
+            slack, at, count = room.pop(i)
+            per, offset = slack // length, window - slack
+            full = min(count, left // per)
+            if full:
+                found.add(length, rank, rank + full * per, at, per, offset)
+                keep(slack - per * length, at, full)
+                rank, left = rank + full * per, left - full * per
+            if full < count:
+                if left:
+                    found.add(length, rank, rank + left, at + full, left, offset)
+                    keep(slack - left * length, at + full, 1)
+                    full, left = full + 1, 0
+                keep(slack, at + full, count - full)
+    return found, planned
 
 
 # --- sequences
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, step: int = STEP, depth: int = DEPTH, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, step: int = STEP, depth: int = DEPTH, end: int = END, markers: bool = True) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text): doc_id, start, length, doc_tokens, ids (little-endian unsigned 32 bits), sequence_id, offset, planned.
 
     A null or empty text is its end token alone. Each row's ids lie in exactly one piece each, repeated rows too;
-    lengths never sum to more than window in a sequence, and offsets are gapless from 0. Planned sequences lose
-    less than step tokens a piece to padding; the others are full but for the last. An empty table gives an empty
-    result; other columns are not read. Ids are made once and written; ranks are sums over tasks' counts, so that no
-    task or driver holds more than counts of the whole (a row for each task and class).
+    lengths never sum to more than window in a sequence, and offsets are gapless from 0; of pieces of one length those
+    of earlier tasks and rows come first. planned: the piece's place is of the least-squares plan, not of the greedy
+    rest. markers: see WordIds. An empty table gives an empty result; other columns are not read. Ids are made once
+    and written; ranks are sums over tasks' counts (a row for each task and length), so that no task or driver holds
+    more than counts of the whole, and the ids move once, to their counts.
     """
     spark = docs.sparkSession
-    steps = window // step
-    pieces = staged(pieces_of(docs, tokenizer or default_tokenizer(), window, step, end), "pieces")
-    counts = pieces.groupBy("block", "bin").agg((F.max("nth") + 1).alias("n"))
-    before = Window.partitionBy("bin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    based = staged(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("bin", "base"))).alias("base"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("n")), "bases")
-    histogram = {r[0]: r[1] for r in based.select(F.explode("n")).groupBy("key").agg(F.sum("value")).collect()}
-    chosen = plan(histogram, steps, depth)
-    # at most steps combinations have a count, so this has at most steps * depth rows
-    slots = spark.createDataFrame(places(chosen) or [(-1, 0, 0, 0, 0)], "bin int, lo bigint, hi bigint, part int, at bigint")
-    planned = sum(times for _, times in chosen)
-    ranked = pieces.join(based.select("block", "base"), "block").withColumn("rank", F.col("base")[F.col("bin")] + F.col("nth")).drop("base")
-    placed = ranked.join(F.broadcast(slots.withColumnRenamed("bin", "slot_bin")), (F.col("bin") == F.col("slot_bin")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
-    base = ["doc_id", "start", "length", "doc_tokens", "ids"]
-    inside = Window.partitionBy("sequence_id").orderBy("part")
-    first = (
-        placed.where("slot_bin is not null")
-        .select(*base, (F.col("at") + F.col("rank") - F.col("lo")).alias("sequence_id"), "part")
-        .select(*base, "sequence_id", (F.sum("length").over(inside) - F.col("length")).alias("offset"), F.lit(True).alias("planned"))
-    )
-    # the rest, end to end in the order of tasks; a task's rest is ordered by class and rank in it
-    rest = placed.where("slot_bin is null")
-    order = [F.col("block"), F.col("bin"), F.col("nth")]
-    sums = rest.groupBy("block", "bin").agg(F.sum("length").alias("tokens"))
-    total = sums.groupBy("block").agg(F.sum("tokens").alias("tokens"))
-    # one row for each task that wrote pieces
-    upto = total.withColumn("base_tokens", F.coalesce(F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "base_tokens")
-    own = Window.partitionBy("block").orderBy(*order[1:], "start")
-    laid = rest.select(*base, "block", "bin", "nth").join(upto, "block").withColumn("pos", F.col("base_tokens") + F.sum("length").over(own) - F.col("length"))
-    cut = laid.withColumn("w", F.explode(F.sequence(F.floor(F.col("pos") / window), F.floor((F.col("pos") + F.col("length") - 1) / window))))
-    cut = cut.withColumn("skip", F.greatest(F.lit(0), F.col("w") * window - F.col("pos"))).withColumn("take", F.least(F.col("length"), (F.col("w") + 1) * window - F.col("pos")) - F.col("skip"))
-    second = cut.select(
-        "doc_id", (F.col("start") + F.col("skip")).alias("start"), F.col("take").alias("length"), "doc_tokens", F.substring(F.col("ids"), (F.col("skip") * 4 + 1).cast("int"), (F.col("take") * 4).cast("int")).alias("ids"),
-        (F.col("w") + planned).alias("sequence_id"), (F.col("pos") + F.col("skip") - F.col("w") * window).alias("offset"), F.lit(False).alias("planned"),
-    )
-    return first.unionByName(second)
+    pieces = staged(pieces_of(docs, tokenizer or default_tokenizer(), window, end, markers), "pieces")
+    counts = staged(pieces.groupBy("block", "length").agg((F.max("nth") + 1).alias("n")), "counts")
+    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # at most window rows
+    slots, planned = places({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, window, step, depth)
+    table = pd.DataFrame(vars(slots), dtype=np.int64).sort_values(["length", "lo"])
+    held = sent(spark, ((table["length"].to_numpy() << 40) + table["lo"].to_numpy(), *(table[c].to_numpy() for c in ("lo", "at", "per", "offset"))))
+
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        keys, lo, at, per, offset = held.value
+        size, r = length.to_numpy(), rank.to_numpy()
+        i = np.searchsorted(keys, (size << 40) + r, "right") - 1
+        turn, nth = np.divmod(r - lo[i], per[i])
+        return pd.DataFrame({"sequence_id": at[i] + turn, "offset": offset[i] + nth * size})
+
+    placed = pieces.join(bases, ["block", "length"]).withColumn("place", place("length", F.col("base") + F.col("nth")))
+    return placed.select("doc_id", "start", "length", "doc_tokens", "ids", "place.sequence_id", "place.offset", (F.col("place.sequence_id") < planned).alias("planned"))
 
 
 def packing_report(docs: DataFrame) -> DataFrame:
+    """Pieces of ``pack``, where nulls, ties, repeated rows and empty tables are stated, with a checksum for their ids."""
     found = pack(docs)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "planned")

@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from remarkt.llm.nnls_packing import combinations, default_tokenizer, nnls, pack, packing_report, plan, word_ids
+from remarkt.llm import nnls_packing
+from remarkt.llm.nnls_packing import combinations, default_tokenizer, nnls, pack, packing_report, places, plan, word_ids
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,6 @@ def encode(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -62,9 +62,53 @@ def test_repeated_rows_and_empty_table(documents):
 
 def test_words_encode_as_texts():
     text = "Ünï cödé don't stop'll 3.14 ### a\x1cb \x85 x y 漢字かな é́ ́ ﬁ ΩΩ İ"
-    assert word_ids(default_tokenizer()).encode([text])[0].tolist() == encode(text)[:-1]
+    assert ids_of([text]) == [encode(text)[:-1]]
 
 
+def ids_of(texts, **options):
+    return [np.frombuffer(b, "<u4").tolist() for b in word_ids(default_tokenizer(), **options).encode(texts)]
+
+
+def test_markers_have_their_own_ids():
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |> <|endoftext|>| x", "<|endoftext|>"]
+    assert ids_of(texts) == [encode(t)[:-1] for t in texts]
+    assert ids_of(texts)[0] == [3306, 49407, 1002]
+    assert 49407 not in ids_of(texts, markers=False)[0]
+
+
+def test_memo_stays_bounded(monkeypatch):
+    monkeypatch.setattr(nnls_packing, "MEMO", 400)
+    ids = nnls_packing.WordIds(default_tokenizer())
+    texts = [f"shared <|endoftext|> words {' '.join(f'w{i}x{k}' for k in range(60))}" for i in range(50)]
+    got = [np.frombuffer(b, "<u4").tolist() for t in texts for b in ids.encode([t])]
+    assert got == [encode(t)[:-1] for t in texts] and len(ids.held) < 700
+    ids.forget()
+    assert len(ids.held) < 100
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_places_hold_every_piece_once(seed):
+    rng = np.random.default_rng(seed)
+    window = 256
+    histogram = {int(k): int(v) for k, v in zip(rng.choice(np.arange(1, window + 1), 60, replace=False), rng.integers(1, 3 if seed % 2 else 5000, 60), strict=True)}
+    found, planned = places(histogram, window, 8, 4)
+    ranks, sequences = defaultdict(list), defaultdict(list)
+    for length, lo, hi, at, per, offset in zip(*vars(found).values(), strict=True):
+        for r in range(lo, hi):
+            ranks[length].append(r)
+            sequences[at + (r - lo) // per].append((offset + (r - lo) % per * length, length))
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(v)) for k, v in histogram.items()}
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= window
+    assert sorted(sequences) == list(range(len(sequences))) and planned <= len(sequences)
+    # greedy: no two sequences could be one, but for what the plan has left
+    least = -(-sum(k * v for k, v in histogram.items()) // window)
+    assert len(sequences) <= 1.23 * least + 1
+
 @pytest.mark.parametrize("seed", range(8))
 def test_nnls_is_optimal(seed):
     rng = np.random.default_rng(seed)
