@@ -81,8 +81,13 @@ i AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x
 iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS g FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(k) WHERE len(w) > 0),
 dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM iw) AS z, unnest(range(1, len(w) - n + 2)) AS t(k) WHERE len(w) >= n),
 m AS (SELECT dw.doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(k, k + n)) AS t(p) GROUP BY doc_id),
+il AS (SELECT CAST(item_id AS VARCHAR) AS item, k AS j, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS g FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(k) WHERE len(w) > 0),
+ml AS (SELECT doc_id, item, dw.n, k, k - j AS diagonal, k - row_number() OVER (PARTITION BY doc_id, item, dw.n, k - j ORDER BY k) AS run FROM dw JOIN il ON dw.g = il.g AND dw.n = il.n),
+lm AS (SELECT doc_id, item, min(k) AS k, min(k) - diagonal AS j, count(*) + n - 1 AS n FROM ml GROUP BY doc_id, item, n, diagonal, run),
+top AS (SELECT * FROM lm QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k, item, j) = 1),
 o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id"""
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+coalesce(top.n, 0) AS longest_match, coalesce(top.k - 1, 0) AS longest_at, item AS longest_item, j - 1 AS longest_item_at FROM d LEFT JOIN top ON top.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from remarkt.llm import suffix_leaks
 from remarkt.llm.suffix_leaks import leak_report, leaks, without_leaks
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -45,9 +48,60 @@ def test_equals_brute_force(spark, documents, sample, block):
     if block > 1000:
         got = leak_report(docs, benchmark).collect()
     else:
-        got = leaks(docs, benchmark, block_bytes=block).selectExpr("row.doc_id", "n_words", "n_hit", "cast(size(items) as bigint)", "sha2(array_join(items, ','), 256)", "n_hit > 0").collect()
-    assert sorted(map(tuple, got), key=str) == sorted(brute(rows, items), key=str)
-
+        got = leaks(docs, benchmark, block_bytes=block).selectExpr("row.doc_id", "n_words", "n_hit", "cast(size(items) as bigint)", "sha2(array_join(items, ','), 256)", "n_hit > 0", "longest_match", "longest_at", "longest_item", "longest_item_at").collect()
+    assert sorted((tuple(r)[:6] for r in got), key=str) == sorted(brute(rows, items), key=str)
+    assert sorted(((r[0], *tuple(r)[6:]) for r in got), key=str) == sorted(longest(rows, items), key=str)
+
+
+def longest(rows, items, window=10):
+    own = sorted((str(i), words_of(t)) for i, t in items if i is not None and words_of(t))
+    for doc, text in rows:
+        words, best = words_of(text), (0, None, None, None)
+        for item, there in own:
+            size = min(window, len(there))
+            for j in range(len(there)):
+                for k in (k for k in range(len(words)) if words[k] == there[j]):
+                    n = 0
+                    while k + n < len(words) and j + n < len(there) and words[k + n] == there[j + n]:
+                        n += 1
+                    if n >= size and (n < window) <= (n == len(there)):
+                        best = min(best, (-n, k, item, j), key=lambda x: tuple((y is None, y or 0) if not isinstance(y, str) else (False, y) for y in x))
+        yield (doc, -best[0], best[1] or 0, *best[2:])
+
+
+@pytest.mark.parametrize("block", [1 << 24, 200])
+def test_longest_match_where_items_share_passages(spark, documents, block):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    a = [word() for _ in range(12)]
+    b = [word() for _ in range(12)] + a + [word() for _ in range(12)]
+    c = ["the"] * 40
+    short = [word() for _ in range(4)]
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, " ".join(short)), (5, " ".join(b[5:30])), (10, " ".join(b[:20]))]
+    texts = [" ".join(b), " ".join(b[3:30] + a + short), " ".join(short + ["x"]), "the " * 25, " ".join(a + b[:22] + ["y"] + b[10:]), " ".join(b[:20] + c), None, " ".join(b[20:] + b[:15])]
+    for _ in range(20):
+        own = []
+        while len(own) < 80:
+            own += rng.choice([a, b, c, short, [word()]])[rng.randrange(12) : rng.randrange(5, 40)]
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    got = leaks(documents(rows).repartition(3), items_of(spark, items), block_bytes=block).selectExpr("row.doc_id", "longest_match", "longest_at", "longest_item", "longest_item_at").collect()
+    assert sorted(map(tuple, got)) == sorted(longest(rows, items))
+    assert sorted(got)[0].longest_match == 36
+
+
+def test_a_hash_alone_is_no_match(monkeypatch):
+    tests = suffix_leaks.test_suffixes([("1", "a b c d e f g h i j k")], 10)
+    tests.raw = tests.raw.replace(b"e", b"x")
+    found = suffix_leaks.leaks_of(pa.array(["a b c d e f g h i j k"]), tests)
+    assert found["longest_match"].to_pylist() == [0] and found["items"].to_pylist() == [[]]
+
+
+def test_very_long_text(spark, documents):
+    item = [f"i{k}" for k in range(3000)]
+    text = " ".join([f"x{k}" for k in range(60000)] + item[100:2900] + ["end"] * 50000)
+    got = leaks(documents([text]), items_of(spark, [(1, " ".join(item))])).collect()[0]
+    assert (got.n_hit, got.longest_match, got.longest_at, got.longest_item, got.longest_item_at) == (2800, 2800, 60000, "1", 100)
 
 def test_longest_match_and_removal(spark, documents):
     item = " ".join(f"w{i}" for i in range(40))
