@@ -26,7 +26,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Words on each side of an entity (within CONTEXT code points) that are candidates, unlike texts that must hold a pair, disclosure from which a term goes.
+#: Whole words on each side of an entity (within CONTEXT code points) that are candidates, unlike texts that must hold a pair, disclosure from which a term goes.
 NEAR, CONTEXT, SUPPORT, DISCLOSURE = 6, 100, 3, 0.9
 
 SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
@@ -75,59 +75,106 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return df.withColumn("_spans", F.array_sort(every)).drop("_carded", *(f"_z{k}" for k in range(4)))
 
 
+#: What names a text: all that is found depends on the text alone. Two hashes and the length, 128 bits and more.
+KEY = ("_h", "_g", "_n")
+
+
 def text_key() -> list[Column]:
-    """What names a text: all that is found depends on the text alone."""
-    return [F.xxhash64("_t").alias("_h"), F.length("_t").alias("_n")]
+    return [F.xxhash64("_t").alias("_h"), F.xxhash64(F.lit(1), F.col("_t")).alias("_g"), F.length("_t").alias("_n")]
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(_h, _n, _terms) of texts that hold an entity which terms disclose. spans: from with_spans.
+def in_chunks(spans: str, base: str, upto: str, body: str) -> str:
+    """body for each span x (i: its number, m: its chunk) of a sorted array that isn't empty, in an array.
 
-    A term is a candidate for an entity if any text has it beside that; both its counts are over whole texts.
+    Spans go 128 at a time, and p.piece is the part of the text from p.base that these need (from base upto, of the
+    chunk m and its number c): a place in the text is counted from its start, so no span counts through all of it.
     """
-    meant = lambda w: (F.length(w) >= 3) & ~w.rlike("[0-9]")
-    around = F.transform(
-        "_spans",
-        lambda x: F.struct(
-            F.concat(x["k"].cast("string"), F.lit(":"), F.lower(x["v"])).alias("entity"),
-            F.array_distinct(
-                F.filter(
-                    F.concat(
-                        F.slice(F.reverse(F.split(F.lower(F.substring(F.col("_t"), F.greatest(F.lit(1), x["s"] - CONTEXT + 1), F.least(x["s"], F.lit(CONTEXT)))), GAP)), 1, near),
-                        F.slice(F.split(F.lower(F.substring(F.col("_t"), x["e"] + 1, F.lit(CONTEXT))), GAP), 1, near),
-                    ),
-                    meant,
-                )
-            ).alias("terms"),
-        ),
+    return (
+        f"flatten(transform(sequence(0, (size({spans}) - 1) div 128), c -> transform(array(slice({spans}, c * 128 + 1, 128)), m -> transform(array({base}), b -> "
+        f"transform(array(struct(b as base, substring(_t, b + 1, {upto} - b) as piece)), p -> transform(m, (x, i) -> {body}))[0])[0])[0]))"
     )
-    held = spans.where(F.size("_spans") > 0).select(*text_key(), around.alias("around"), F.filter(F.array_distinct(F.split(F.lower("_t"), GAP)), meant).alias("words"))
-    # one row for each text, however many copies it has
-    texts = staged(held.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("copies"), F.first("around").alias("around"), F.first("words").alias("words")), "texts")
-    beside = texts.select("_h", "_n", "copies", F.explode("around").alias("x")).select("_h", "_n", "copies", "x.*")
-    entities = beside.select("entity", "_h", "_n", "copies").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_e")).where(F.col("texts") >= support)
-    known = beside.join(entities.select("entity", "n_e"), "entity")
-    named = known.select("entity", "n_e", F.explode("terms").alias("term")).distinct()
+
+
+def beside(near: int) -> Column:
+    """For each entity its name and the words that may be terms among the next whole ones on each side."""
+    inner, edge = WORD[:-1], CONTEXT + 1
+    before = f"substring(p.piece, greatest(0, x.s - {edge}) - p.base + 1, least(x.s, {edge}))"
+    after = f"substring(p.piece, x.e - p.base + 1, {edge})"
+    # a word that is cut at the far end is none
+    before = f"if(x.s >= {edge}, regexp_replace({before}, {quoted('^' + inner + '+')}, ''), {before})"
+    after = f"if(length({after}) = {edge}, regexp_replace({after}, {quoted(inner + '+$')}, ''), {after})"
+    words = lambda side: f"filter(split(lower({side}), {quoted(GAP)}), w -> w <> '')"
+    terms = f"array_distinct(filter(concat(slice(reverse({words(before)}), 1, {near}), slice({words(after)}, 1, {near})), w -> {MEANT}))"
+    body = f"struct(concat(x.k, ':', lower(x.v)) as entity, {terms} as terms)"
+    return F.expr(in_chunks("_spans", f"greatest(0, m[0].s - {edge})", f"(array_max(transform(m, y -> y.e)) + {edge})", body))
+
+
+#: Of words: those that may be terms.
+MEANT = r"length(w) >= 3 and not w rlike '[0-9]' and not contains(w, '\uE000')"
+
+
+def texts_with_entities(docs: DataFrame, near: int) -> DataFrame:
+    """One row for each unlike text of docs (text) that holds an entity: its key, copies, text, spans, and for each span the entity and terms beside it."""
+    hit = with_spans(docs.select("text")).where(F.size("_spans") > 0).select(*text_key(), F.struct("_t", "_spans").alias("one"))
+    one = hit.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("one").alias("one"))
+    return staged(one.select(*KEY, "copies", "one.*").withColumn("around", beside(near)), "entities")
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(key, term) of texts that hold an entity which the term discloses. texts: from texts_with_entities.
+
+    A term is a candidate for an entity if any text has it beside that; both its counts are over whole texts. No
+    entity's or term's texts are gathered: they stay rows, and joins on a hot one are split by adaptive execution.
+    """
+    near = texts.select(*KEY, "copies", F.explode("around").alias("x")).select(*KEY, "copies", "x.*")
+    held = near.select("entity", *KEY, "copies").distinct()
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_e")).where(F.col("texts") >= support)
+    named = near.select("entity", F.explode("terms").alias("term")).distinct().join(entities.select("entity", "n_e"), "entity")
     # how many documents of the corpus have each word: summed in the tasks first
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), GAP))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= support)
     n = docs.select(F.lit(1)).groupBy().agg(F.count(F.lit(1)).alias("n")).first()[0]
     share = lambda n_te: 1 + F.log(n_te / F.greatest("n_t", n_te)) / F.log(F.lit(float(n)) / F.col("n_e"))
     # those that would pass if as many of the entity's documents as can be had the term
     pairs = staged(named.where(F.col("n_e") < n).join(words, "term").where(share(F.least("n_e", "n_t")) >= disclosure), "pairs")
-    whole = texts.select("_h", "_n", "copies", F.explode("words").alias("term")).join(pairs, "term").join(beside.select("entity", "_h", "_n"), ["entity", "_h", "_n"], "left_semi")
+    own = texts.select(*KEY, "copies", F.explode(F.array_distinct(F.split(F.lower("_t"), GAP))).alias("term"))
+    whole = staged(own.join(pairs, "term").join(held.select("entity", *KEY), ["entity", *KEY], "left_semi"), "whole")
     counted = whole.groupBy("entity", "n_e", "term", "n_t").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_te")).where(F.col("texts") >= support)
-    told = counted.where(share(F.col("n_te")) >= disclosure).groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    return beside.select("entity", "_h", "_n").distinct().join(told, "entity").groupBy("_h", "_n").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"))
+    return whole.select(*KEY, "entity", "term").join(counted.where(share(F.col("n_te")) >= disclosure).select("entity", "term"), ["entity", "term"], "left_semi").select(*KEY, "term").distinct()
+
+
+def merged(spans: str) -> Column:
+    """Sorted spans as such that don't overlap, each with the kind of its first."""
+    start = "if(size(acc) = 0, struct(cast(array() as array<struct<s:int,k:int,e:int>>) as a, -1 as s, -1 as k, -1 as e), struct(cast(array() as array<struct<s:int,k:int,e:int>>) as a, element_at(acc, -1).s as s, element_at(acc, -1).k as k, element_at(acc, -1).e as e))"
+    step = "if(x.s < b.e, struct(b.a as a, b.s as s, b.k as k, greatest(b.e, x.e) as e), struct(if(b.e < 0, b.a, concat(b.a, array(struct(b.s as s, b.k as k, b.e as e)))) as a, x.s as s, x.k as k, x.e as e))"
+    rounds = f"aggregate(sequence(0, (size({spans}) - 1) div 128), cast(array() as array<struct<a:array<struct<s:int,k:int,e:int>>,s:int,k:int,e:int>>), (acc, c) -> concat(acc, array(aggregate(slice({spans}, c * 128 + 1, 128), {start}, (b, x) -> {step}))))"
+    last = "array(struct(element_at(l, -1).s as s, element_at(l, -1).k as k, element_at(l, -1).e as e))"
+    return F.expr(f"transform(array({rounds}), l -> concat(flatten(transform(l, y -> y.a)), {last}))[0]")
+
+
+def replaced(merged: str, by: str) -> str:
+    """The text with by for each span x of an array that isn't empty and of which none overlap."""
+    piece = f"concat(substring(p.piece, if(i = 0, p.base, m[i - 1].e) - p.base + 1, x.s - if(i = 0, p.base, m[i - 1].e)), {by})"
+    parts = in_chunks(merged, f"if(c = 0, 0, {merged}[c * 128 - 1].e)", "element_at(m, -1).e", piece)
+    return f"concat(array_join({parts}, ''), substring(_t, element_at({merged}, -1).e + 1))"
+
+
+def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, _extra) of texts that have terms (key, term): spans of these outside all entities."""
+    marked = texts.join(terms.select(*KEY).distinct(), [*KEY], "left_semi").withColumn("_m", merged("_spans"))
+    # entities are masked by what no term has, so that words keep their places
+    masked = marked.select(*KEY, F.expr(replaced("_m", "repeat('\uE000', x.e - x.s)")).alias("_masked"))
+    places = zipped(masked, "_w", "_masked", WORD, "true").select(*KEY, F.explode(found(4, "_w")).alias("x"))
+    return places.withColumn("term", F.lower("x.v")).join(terms, [*KEY, "term"], "left_semi").groupBy(*KEY).agg(F.collect_list("x").alias("_extra"))
 
 
 def sanitised(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """docs (with a column text) and, added, _spans (entities: start s, kind k, end e, value v, in code points) and _all (with the terms)."""
-    spans = with_spans(docs)
-    terms = disclosing_terms(docs, with_spans(docs.select("text")), near, support, disclosure)
-    keyed = spans.select("*", *text_key()).join(terms, ["_h", "_n"], "left")
-    keyed = zipped(keyed, "_w", "_t", WORD, "_terms is not null")
-    extra = F.expr("filter(_words, x -> array_contains(_terms, lower(x.v)) and not exists(_spans, y -> y.s < x.e and x.s < y.e))")
-    return keyed.withColumn("_words", found(4, "_w")).withColumn("_all", F.when(F.col("_terms").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", extra)))).drop("_w", "_words", "_h", "_n", "_terms")
+    """docs (with a column text) and, added, _t (the text, not null), _spans (entities: start s, kind k, end e, value v, in code points) and _all (with the terms)."""
+    texts = texts_with_entities(docs, near)
+    extra = term_spans(texts, staged(disclosing_terms(docs, texts, support, disclosure), "terms"))
+    none = F.expr(f"cast(array() as {SPANS})")
+    known = texts.select(*KEY, "_spans").join(extra, [*KEY], "left").withColumn("_all", F.when(F.col("_extra").isNull(), F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", "_extra")))).drop("_extra")
+    keyed = docs.withColumn("_t", F.coalesce("text", F.lit(""))).select("*", *text_key())
+    return keyed.join(known, [*KEY], "left").withColumns({c: F.coalesce(c, none) for c in ("_spans", "_all")}).drop(*KEY)
 
 
 def listed(spans: str) -> Column:
@@ -136,17 +183,19 @@ def listed(spans: str) -> Column:
 
 
 def redacted_text() -> Column:
-    """The text of sanitised with a label for each span; spans that overlap become one, named by the first."""
-    merged = "aggregate(_all, cast(array() as array<struct<s:int,k:int,e:int>>), (a, x) -> if(size(a) > 0 and x.s < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, element_at(a, -1).k as k, greatest(element_at(a, -1).e, x.e) as e))), concat(a, array(struct(x.s as s, x.k as k, x.e as e)))))"
+    """The text of sanitised (with _m, its merged spans) with a label for each span; spans that overlap become one, named by the first."""
     labels = "array(" + ", ".join(f"'{k}'" for k in LABELS) + ")"
-    built = f"aggregate({merged}, struct('' as out, 0 as pos), (a, x) -> struct(concat(a.out, substring(_t, a.pos + 1, x.s - a.pos), {labels}[x.k]) as out, x.e as pos), a -> concat(a.out, substring(_t, a.pos + 1)))"
-    return F.when(F.col("text").isNull() | (F.size("_all") == 0), F.col("text")).otherwise(F.expr(built))
+    return F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.expr(replaced("_m", f"{labels}[x.k]")))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with entities and disclosing terms replaced in text; n_chars, if there, is counted anew where the text changed. All other rows, columns and nulls stay as they are."""
+    """docs with entities and disclosing terms replaced in text; n_chars, if there, is counted anew where the text changed. All other rows, columns and nulls stay as they are.
+
+    Repeated rows and copies of a text change alike; an empty table gives an empty result.
+    """
     work = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
-    found_ = sanitised(work).select("row", redacted_text().alias("new"), (F.size("_all") > 0).alias("hit"))
+    marked = sanitised(work).withColumn("_m", F.when(F.size("_all") > 0, merged("_all")))
+    found_ = marked.select("row", redacted_text().alias("new"), F.col("_m").isNotNull().alias("hit"))
     out = []
     for c in docs.columns:
         if c == "text":

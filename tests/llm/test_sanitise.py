@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -91,3 +94,91 @@ def test_terms_count_in_whole_texts(documents):
     got = {r.doc_id: r.spans for r in personal_data_report(documents(rows)).collect()}
     # beside the entity in six of its ten documents, anywhere in all ten
     assert all("term:" in got[i] for i in range(10)) and not any(got[100 + i] for i in range(290))
+
+
+def disclosures(rows, near=6, context=100, support=3, disclosure=0.9):
+    """Terms of each text by the definition: (text, term)."""
+    gap = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    meant = lambda w: len(w) >= 3 and not re.search("[0-9]", w)
+    texts = [t or "" for _, t in rows]
+    words = {t: set(gap.split(t.lower())) - {""} for t in texts}
+    holds, candidates = {}, set()
+    for t in set(texts):
+        for k, (kind, p) in enumerate(PATTERNS):
+            for m in re.finditer(p, t):
+                if not holds_entity(kind, m[0]):
+                    continue
+                entity = (k, m[0].lower())
+                holds.setdefault(entity, set()).add(t)
+                spans = [(w.start(), w.end(), w[0].lower()) for w in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t)]
+                left = [w for a, b, w in spans if b <= m.start() and a >= m.start() - context]
+                right = [w for a, b, w in spans if a >= m.end() and b <= m.end() + context]
+                candidates |= {(entity, w) for w in left[-near:] + right[:near] if meant(w)}
+    n = len(rows)
+    for entity, term in candidates:
+        both = {t for t in holds[entity] if term in words[t]}
+        n_e, n_t, n_te = sum(t in holds[entity] for t in texts), sum(term in words[t] for t in texts), sum(t in both for t in texts)
+        if len(both) >= support and len(holds[entity]) >= support and n_e < n and 1 + math.log(n_te / n_t) / math.log(n / n_e) >= disclosure:
+            yield from ((t, term) for t in both)
+
+
+holds_entity = holds
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_disclosed_terms_equal_brute_force(documents, seed):
+    rng = random.Random(seed)
+    names, mails = [f"name{chr(97 + k)}son" for k in range(12)], [f"u{k}@corp{k % 4}.example" for k in range(8)] + ["1.2.3.4", "+1 482 555 7163"]
+    rows = []
+    for i in range(260):
+        own = [rng.choice(["the", "note", "from", "today", "rent", "food", "x", "42", "étage", *(["padding" * 9] if seed else [])]) for _ in range(rng.randrange(4, 40))]
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(mails))
+            at = rng.randrange(len(own))
+            own[at:at] = rng.choice([[mails[k], names[k]], [names[k], "-", mails[k]], [names[k], *["z"] * rng.randrange(9), mails[k]], [names[-1]], [mails[k] + names[k]]])
+        rows.append((i, " ".join(own)))
+    rows += [(500 + i, rows[i][1]) for i in range(0, 60, 3)] + [(900, None), (901, "")]
+    got = {r.doc_id: r.spans for r in personal_data_report(documents(rows).repartition(4)).collect()}
+    terms = set(disclosures(rows))
+    assert terms
+    for i, t in rows:
+        found = {(int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].split(",") if x) if k == "term"}
+        entities = [(int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].split(",") if x) if k != "term"]
+        assert {((t or ""), t[s:e].lower()) for s, e in found} <= terms
+        wanted = {(m.start(), m.end()) for m in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t or "") if (t, m[0].lower()) in terms}
+        assert found == {(a, b) for a, b in wanted if not any(a < y and x < b for x, y in entities)}
+
+
+def test_redaction_equals_brute_force(documents):
+    rng = random.Random(2)
+    texts = [t for t in ODD if t]
+    texts += [" ".join(rng.choice(["a@b.c", "1.2.3.4@5.6.7.8", "+1 234 567 8901", "4111111111111111", "wo", "é", "xx"]) for _ in range(rng.randrange(1, 900))) for _ in range(12)]
+    got = {r.doc_id: r.text for r in sanitise(documents(texts)).collect()}
+    marks = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), k, m.end()) for k, (kind, p) in enumerate(PATTERNS) for m in re.finditer(p, t) if holds(kind, m[0]))
+        out, at, upto = [], 0, 0
+        for s, k, e in spans:
+            if s >= upto:
+                out += [t[at:s], marks[k]]
+            upto = at = max(upto, e)
+        # words of two letters are no terms
+        assert got[i] == "".join(out) + t[at:], i
+
+
+@pytest.mark.parametrize("make", [personal_data_report, sanitise])
+def test_time_of_many_entities_in_one_text(documents, make):
+    took = []
+    for n in (1, 8000):
+        docs = documents([" and then more ".join(f"user{k}@host{k}.example" for k in range(n)) + " word" * (8000 - n)])
+        make(docs).collect()
+        began = time.time()
+        make(docs).collect()
+        took.append(time.time() - began)
+    assert took[1] - took[0] < 4
+
+
+def test_domain_of_many_labels(documents):
+    text = "x@" + "a." * 20000 + "b"
+    got = personal_data_report(documents([text])).collect()[0]
+    assert got.n_email == 1 and got.spans == f"email:0:{len(text)}"
