@@ -4,7 +4,8 @@ A document is its set of word shingles, sketched by minwise values. In each of s
 selects a few coordinates of the sketch, and its documents branch by their values there; similar documents share
 most values and so share some path to a leaf. Small nodes are compared exhaustively, by sketches first; what remains
 is confirmed on full sets. Nodes that don't shrink when they branch hold documents much alike: they are compared in
-blocks, every block with every other, so nothing is capped.
+blocks which the same few leaders visit, and what these don't connect with the rest meets every block, so nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -24,12 +25,12 @@ from .words import LOWER, NOT_SPACE, Texts, groups, mix, per_text, ranges, windo
 
 #: Words of a shingle; least similarity in hundredths.
 SHINGLE, PERCENT = 3, 85
-#: Minwise values of a sketch; trees; coordinates that each node selects. A pair at the least similarity shares no leaf of a tree in 3 of 100 cases, and of all trees in one of a million.
-SKETCH, TREES, BRANCHES = 64, 4, 2
+#: Minwise values of a sketch; coordinates that each node selects; share of pairs at the least similarity that no tree may bring together: at 0.85 a tree misses 3 of 100, so 4 are grown, at 0.8 6 of 100, so 5.
+SKETCH, BRANCHES, MISS = 64, 2, 1e-6
 #: Documents of a node that is compared at once; share of its parent's documents in a node that no longer branches; levels.
 LEAF, DENSE, DEPTH = 512, 0.5, 24
-#: Documents and shingles of a block of a larger node.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Documents and shingles of a block of a larger node; its documents that visit all blocks.
+BLOCK, BLOCK_SHINGLES, LEADERS = 1024, 2_000_000, 32
 #: Standard deviations of a sketch's estimate that are allowed for.
 MARGIN = 5.0
 
@@ -147,14 +148,6 @@ def leaves(classes: DataFrame, trees: int, branches: int, leaf: int, dense: floa
     return found
 
 
-def in_blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
-    """rows and the group (key, i, j) of each in which it meets others: blocks i and j of its node, the same for small ones."""
-    cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")))
-    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    # a node of one block is one group; else each pair of different blocks, which holds the pairs inside a block too
-    return other.where("blocks = 1 or other <> block").select(F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other")).alias("grp"), *rows.columns)
-
-
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of a partition sorted by its first column, cut anew so that no group is in two; small groups come together."""
     held: list[pa.RecordBatch] = []
@@ -285,14 +278,58 @@ def grouped(rows: DataFrame, run, out: str) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, out)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, branches: int = BRANCHES, leaf: int = LEAF, dense: float = DENSE, depth: int = DEPTH, block: int = BLOCK, key: tuple[str, ...] = ()) -> DataFrame:
+def compared(members: DataFrame, payload: DataFrame, run, leaders: int = LEADERS) -> DataFrame:
+    """Edges (a, b) by run that connect what all pairs of classes of one key connect. members: (key, cls, parts); payload: (cls, value).
+
+    A key of one part is one group. The classes of a larger one are dealt to its parts, each of which the key's
+    leaders visit. What is connected by then needs no comparison any more: of each key the largest component is left
+    in its parts, and every class outside it meets all parts. So no pair of classes that are not connected yet goes
+    without a comparison. A key of n classes of which r are outside its largest component makes n * r / block rows,
+    and few more than n where most are like a leader or like one that is.
+    """
+    meet = lambda rows: grouped(rows.join(payload, "cls").select("grp", "cls", "value"), run, "a bigint, b bigint")
+    large = members.where("parts > 1").withColumn("block", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("parts")))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit("leader"))))
+    visits = large.withColumn("nth", nth).where(F.col("nth") <= leaders).withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    rows = [
+        members.where("parts = 1").select(F.xxhash64("key").alias("grp"), "cls"),
+        large.select(F.xxhash64("key", "block").alias("grp"), "cls"),
+        visits.where("at <> block").select(F.xxhash64("key", "at").alias("grp"), "cls"),
+    ]
+    edges = staged(meet(reduce(DataFrame.unionByName, rows)), "edges")
+    if large.isEmpty():
+        return edges
+    parts = connected_components(edges)
+    labelled = staged(large.join(parts, F.col("cls") == F.col("node"), "left").select("key", "cls", "parts", "block", F.coalesce("root", "cls").alias("root")), "labelled")
+    each = labelled.groupBy("key", "parts", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = each.groupBy("key", "parts").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+    top = top.select("key", F.col("top.root").alias("bulk"), F.greatest(F.lit(1), F.ceil(F.col("parts") * (F.col("n") - F.col("top.n")) / F.col("n"))).alias("turns"))
+    left = staged(labelled.join(top, "key").withColumn("turn", F.when(F.col("root") != F.col("bulk"), F.pmod(F.xxhash64("cls", F.lit("turn")), F.col("turns")))), "left")
+    if left.isEmpty():
+        return edges
+    group = F.xxhash64("key", F.col("turn"), F.col("block")).alias("grp")
+    outside = left.where("turn is not null").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select(group, "cls")
+    hosts = left.withColumn("own", F.col("turn")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1))).where("own is null or own <> turn").select(group, "cls")
+    return edges.unionByName(staged(meet(outside.unionByName(hosts)), "edges"))
+
+
+def trees_for(percent: int, branches: int, miss: float = MISS) -> int:
+    """Trees in which a pair at the least similarity shares no leaf in less than miss of cases: a path ends where none of a node's coordinates agrees."""
+    lost = 0.0
+    for _ in range(10_000):
+        lost = (1 - percent / 100 * (1 - lost)) ** branches
+    return max(1, int(np.ceil(np.log(miss) / np.log(lost)))) if 0 < lost < 1 else 1
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int | None = None, branches: int = BRANCHES, leaf: int = LEAF, dense: float = DENSE, depth: int = DEPTH, block: int = BLOCK, key: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (its own component_id) for each row of docs (doc_id, text).
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets. Null texts and texts
     without words have no set and stand alone; texts of fewer words than a shingle are one shingle. Rows with equal
     sets are one class from the start, so copies of any number cost one comparison; of rows equal in id and set all
     are kept together or none. A row without an id stands alone and is kept. Links are confirmed on full sets; a
-    link is missed only if no tree brings the pair together (see TREES). An empty table gives an empty result;
+    link is missed only if no tree brings the pair together (see MISS; trees are as many as that takes unless they are
+    given). An empty table gives an empty result;
     other columns are not read.
 
     key: columns of docs that tell rows of one id and unlike texts apart. They are in the result too, and component,
@@ -307,9 +344,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = staged(classes.select("f", "g", "n", F.col("one.doc_id").alias("rep"), *(F.col("one")[c].alias(f"rep_{c}") for c in key), "sketch").withColumn("cls", F.monotonically_increasing_id()), "classes")
     similar = percent / 100
     least = int(np.floor(SKETCH * similar - MARGIN * np.sqrt(SKETCH * similar * (1 - similar))))
-    nodes = in_blocks(leaves(classes, trees, branches, leaf, dense, depth), "node", F.ceil(F.col("size") / block))
-    sketched = nodes.join(classes.select("cls", "sketch"), "cls").select("grp", "cls", "sketch")
-    maybe = connected_components(grouped(sketched, compare_sketches(least), "a bigint, b bigint"))
+    nodes = leaves(classes, trees or trees_for(percent, branches), branches, leaf, dense, depth).select(F.col("node").alias("key"), "cls", F.ceil(F.col("size") / block).alias("parts"))
+    maybe = connected_components(compared(nodes, classes.select("cls", F.col("sketch").alias("value")), compare_sketches(least)))
     # classes that may be linked, with one text each, in groups that hold all their possible partners
     members = staged(maybe.join(classes, F.col("node") == F.col("cls")).select("root", "cls", "rep", *(f"rep_{c}" for c in key), "f", "n"), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
@@ -317,8 +353,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = docs.where("text is not null").join(members.select("root", "cls", "rep", *(f"rep_{c}" for c in key), "f").hint("merge"), reduce(and_, (docs[c] == F.col(r) for c, r in (("doc_id", "rep"), *((c, f"rep_{c}") for c in key)))))
     # an id that several texts have may bring others than the class's own, where no key tells them apart
     one = per_text(texts, lambda c: {"own": describe(shingle)(c)["f"]}, "root bigint, cls bigint, f bigint, text string, own bigint", ("root", "cls", "f", "text")).where("own = f") if not key and _ids_repeat(named) else texts
-    rows = in_blocks(one.select("root", "cls", "text").join(sizes, "root"), "root", F.col("parts")).select("grp", "cls", "text")
-    linked = connected_components(grouped(rows, confirm(shingle, percent), "a bigint, b bigint"))
+    grouped_members = members.join(sizes, "root").select(F.col("root").alias("key"), "cls", "parts")
+    linked = connected_components(compared(grouped_members, one.select("cls", F.col("text").alias("value")), confirm(shingle, percent)))
     ids = linked.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).select("cls", "root", "rep")
     least_id = ids.groupBy("root").agg(F.min("rep").alias("component"))
     component = ids.join(least_id, "root").select("cls", "component", "root")

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from remarkt.llm.chosen_path import by_group, links_between, near_duplicates
+from remarkt.llm.chosen_path import by_group, links_between, near_duplicates, trees_for
 from remarkt.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,3 +114,69 @@ def test_links_connect_what_all_links_connect():
 
     every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
     assert parts(links_between(sets, 85)) == parts(every)
+
+
+def linked_pairs(rows, got):
+    root = {r.doc_id: r.component_id for r in got}
+    return sum(root[i] == root[j] for i, j in rows)
+
+
+@pytest.mark.parametrize(("trees", "least"), [(1, 0.9), (None, 1.0)])
+def test_recall_of_branching_at_the_threshold(documents, trees, least):
+    rng = random.Random(9)
+    common = prose(rng, 60)
+    texts, pairs = [], []
+    while len(pairs) < 1000:
+        # a passage that all share makes nodes large, so that they branch, and unlike documents stay unlike
+        own = prose(rng, 90)
+        other = list(own)
+        for _ in range(rng.randrange(1, 6)):
+            other[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        a, b = " ".join(common + own), " ".join(common + other)
+        x, y = set_of(a), set_of(b)
+        if 85 * len(x | y) <= 100 * len(x & y) < 90 * len(x | y):
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [a, b]
+    got = near_duplicates(documents(texts).repartition(4), trees=trees, leaf=4).collect()
+    assert linked_pairs(pairs, got) >= least * len(pairs)
+    assert sum(r.kept for r in got) >= len(pairs)
+
+
+def test_large_groups_meet_leaders_not_each_other(documents):
+    rng = random.Random(3)
+    base = prose(rng, 100)
+    texts = []
+    for k in range(600):
+        own = list(base)
+        own[rng.randrange(100)] = f"y{k}"
+        texts.append(" ".join(own))
+    # a chain whose links are between neighbours alone
+    chain = list(base)
+    for k in range(40):
+        chain[2 * k] = f"z{k}"
+        chain[2 * k + 1] = f"q{k}"
+        texts.append(" ".join(chain))
+    rows = list(enumerate(texts))
+    got = near_duplicates(documents(rows).repartition(3), leaf=16, block=50).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_trees_for_a_similarity():
+    assert trees_for(85, 2) == 4 and trees_for(80, 2) == 5 and trees_for(100, 2) == 1
+
+
+def test_five_words_at_four_fifths(documents):
+    rng = random.Random(7)
+    a = prose(rng, 100)
+    texts = [" ".join(a), " ".join(a + prose(rng, 22)), " ".join(prose(rng, 90)), " ".join(a[:60] + prose(rng, 60))]
+    got = near_duplicates(documents(texts), shingle=5, percent=80).collect()
+    assert [(r.doc_id, r.component_id) for r in sorted(got)] == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+def test_very_long_texts(documents):
+    rng = random.Random(8)
+    a = prose(rng, 60000)
+    b = list(a)
+    b[100:200] = prose(rng, 100)
+    got = near_duplicates(documents([" ".join(a), " ".join(b), " ".join(prose(rng, 50000)), None])).collect()
+    assert [(r.doc_id, r.component_id) for r in sorted(got)] == [(0, 0), (1, 0), (2, 2), (3, 3)]
