@@ -11,13 +11,13 @@ from remarkt.llm.components import connected_components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def set_of(text):
+def set_of(text, size=3):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else {tuple(words)} if words else set()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} if words else set()
 
 
-def brute(rows):
-    sets = [set_of(t) for _, t in rows]
+def brute(rows, size=3, percent=85):
+    sets = [set_of(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -28,7 +28,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     least = {}

@@ -1,5 +1,6 @@
 import corpus_pipeline
 from corpus_pipeline import STAGES, run
+from remarkt.llm.byte_cnn import identify
 
 import test_chosen_path
 import test_nnls_packing
@@ -25,7 +26,7 @@ def test_stages_against_brute_force(spark):
             docs = made
     # clean documents are known to be in a language
     assert len(out[0]) >= len(rows) - 2 and set(out[0]) <= set(rows)
-    assert out[1] == [(d, t) for d, t in out[0] if d in {x[0] for x in test_chosen_path.brute(out[0]) if x[3]}]
+    assert out[1] == [(d, t) for d, t in out[0] if d in {x[0] for x in test_chosen_path.brute(out[0], 5, 80) if x[3]}]
     hit = {x[0] for x in test_suffix_leaks.brute(out[1], items) if x[5]}
     assert hit and out[2] == [x for x in out[1] if x[0] not in hit]
     assert [d for d, _ in out[3]] == [d for d, _ in out[2]]
@@ -55,3 +56,25 @@ def test_texts_of_one_id_are_decided_each(documents):
     got = sorted(((r.doc_id, r.text) for r in kept if r.doc_id != 20), key=str)
     assert got == sorted([(3, b + " more"), (5, a), (5, c), (8, None), (8, ""), (None, a), (None, b)], key=str)
     assert sum(r.doc_id == 20 for r in kept) == 1
+
+
+def test_language_keeps_what_is_likely_enough(spark, documents):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = {(r.doc_id, r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SCORE) for r in identify(docs, docs).collect()}
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == {i for i, k in known if k}
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(documents([(None, None), (-1, ""), (-2, "123 !!"), (-3, None)]))
+    assert all(r.doc_id is not None and r.doc_id >= 0 for r in corpus_pipeline.language(spark, odd, SF).collect())
+
+
+def test_near_copies_by_five_words(documents):
+    words = [f"w{i}" for i in range(140)]
+    rows = [(1, " ".join(words[:100])), (2, " ".join(words[:122])), (3, " ".join(words[:70] + words[100:]))]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(None, documents(rows), SF).collect()) == [1, 3]
+
+
+def test_empty_and_very_long(spark, documents):
+    docs = documents([(1, "the house is on the hill and we saw it " * 30000), (2, None), (2, None)])
+    for name, stage in STAGES[1:]:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {1, 2}, name
+    assert corpus_pipeline.language(spark, docs.limit(0), SF).count() == 0
