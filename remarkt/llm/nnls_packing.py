@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ WINDOW, END = 4096, 2
 #: Tokens of a length class; pieces of a combination at most.
 STEP, DEPTH = 32, 4
 #: Words whose ids a task keeps (some 200 bytes each); beyond that, and after the task, only those of its last texts.
-MEMO = 200_000
+MEMO = 300_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, block bigint, nth bigint"
 
@@ -50,7 +51,7 @@ class WordIds:
     markers: literal markers in a text, such as <|endoftext|>, become their own ids, as the tokenizer's default is; else they are plain text.
     """
 
-    #: White space as the tokenizer's normaliser has it (Unicode's); str.split takes four control characters more.
+    #: White space as the tokenizer's normaliser has it (Unicode's); Arrow's takes four control characters more.
     SPACE = re.compile("[" + "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
     ODD = re.compile("[\x1c-\x1f]")
 
@@ -66,18 +67,20 @@ class WordIds:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special] if markers else []
         self.markers = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         # keyed by what can't be a word
-        self.special = {" " + t: array("I", [vocabulary[t]]).tobytes() for t in special}
+        self.special = {"": b""} | {" " + t: array("I", [vocabulary[t]]).tobytes() for t in special}
         self.held: dict[str, bytes] = dict(self.special)
-        self.recent: set[str] = set()
-
-    def split(self, text: str) -> list[str]:
-        if self.markers and self.markers.search(text):
-            parts = self.markers.split(text)
-            return [w for i, p in enumerate(parts) for w in ([" " + p] if i % 2 else self._split(p))]
-        return self._split(text)
-
-    def _split(self, text: str) -> list[str]:
-        return [w for w in self.SPACE.split(text) if w] if self.ODD.search(text) else text.split()
+        self.recent: list[str] = []
+
+    def split(self, texts: list[str]) -> pa.ListArray:
+        """The words of each text, with empty ones among them."""
+        odd = [i for i, t in enumerate(texts) if self.ODD.search(t) or self.markers and self.markers.search(t)]
+        if odd:
+            found = pc.utf8_split_whitespace(pa.array(texts)).to_pylist()
+            for i in odd:
+                parts = self.markers.split(texts[i]) if self.markers else [texts[i]]
+                found[i] = [w for k, p in enumerate(parts) for w in ([" " + p] if k % 2 else self.SPACE.split(p))]
+            return pa.array(found, pa.list_(pa.string()))
+        return pc.utf8_split_whitespace(pa.array(texts, pa.string()))
 
     #: Trailing signs of their own pre-token; none of them is an apostrophe, which can start one with letters.
     SIGNS = ".,;:!?|"
@@ -115,8 +118,9 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each."""
-        words, held = [self.split(t) for t in texts], self.held
-        own = set().union(*words)
+        words = self.split(texts)
+        coded = words.flatten().dictionary_encode()
+        own, held = coded.dictionary.to_pylist(), self.held
         new = [w for w in own if w not in held]
         if len(held) + len(new) > MEMO:
             self.recent = own
@@ -127,7 +131,15 @@ class WordIds:
         for word, (base, signs) in zip(new, split, strict=True):
             held[word] = held[base] + held[signs] if signs else held[base]
         self.recent = own
-        return [b"".join(map(held.__getitem__, one)) for one in words]
+        # the ids of each word once, and then those of all words in their order
+        kept = [held[w] for w in own]
+        flat, sizes = np.frombuffer(b"".join(kept), "<u4"), np.fromiter(map(len, kept), np.int64, len(kept)) // 4
+        which = coded.indices.to_numpy()
+        counts = sizes[which]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], counts) + np.arange(upto[-1])] if len(which) else flat
+        ends = upto[words.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @lru_cache(2)
@@ -145,7 +157,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
         ids_of, block, seen = word_ids(tokenizer, markers), TaskContext.get().partitionId(), {}
         try:
             for batch in batches:
-                for lo, hi in ranges(batch.column(1), 1 << 19):
+                for lo, hi in ranges(batch.column(1), 2 << 20):
                     part = batch.slice(lo, hi - lo)
                     rows = []
                     for doc, ids in zip(part.column(0).to_pylist(), ids_of.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
