@@ -9,6 +9,7 @@ then finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from bisect import bisect_left, insort
@@ -56,6 +57,8 @@ class WordIds:
     ODD = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str, markers: bool = True):
+        # Spark runs a task on each core already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
