@@ -168,9 +168,13 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole(held)
 
 
-def forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (of places 0 to n - 1) some that connect the same places."""
-    parent = list(range(n))
+def stars(cls: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges (a, b) that connect the classes which pairs of places connect: each class with the smallest of its component.
+
+    Groups with the same classes have the same smallest ones, so their edges are the same and count once.
+    """
+    parent = list(range(len(cls)))
+    number = cls.tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -178,13 +182,15 @@ def forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np
             i = parent[i]
         return i
 
-    keep = []
-    for k, (a, b) in enumerate(zip(*(p.tolist() for p in pairs), strict=True)):
-        x, y = root(a), root(b)
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = root(i), root(j)
         if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(k)
-    return pairs[0][keep], pairs[1][keep]
+            low, high = (x, y) if number[x] < number[y] else (y, x)
+            parent[high] = low
+    some = np.unique(np.concatenate((a, b)))
+    edges = np.array([(number[i], number[root(i)]) for i in some.tolist()], np.int64).reshape(-1, 2)
+    edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
 
 def similar_places(table: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -215,14 +221,12 @@ def compare_sketches(least: int):
                         near = at[(table[at + i] == table[at + j]).sum(1) >= least]
                         a.append(near + i)
                         b.append(near + j)
-            if a:
-                a, b = (list(x) for x in zip(forest((np.concatenate(a), np.concatenate(b)), len(keys)), strict=True))
             for at, n in zip(begins[sizes > 16], sizes[sizes > 16], strict=True):
                 for x, y in similar_places(table[at : at + n], least):
                     a.append(at + x)
                     b.append(at + y)
             if a and sum(map(len, a)):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[np.concatenate(a)]), pa.array(cls[np.concatenate(b)])], names=["a", "b"])
+                yield stars(cls, np.concatenate(a), np.concatenate(b))
 
     return run
 
@@ -266,10 +270,10 @@ def confirm(shingle: int, percent: int):
             a, b = [], []
             for at, n in zip(*groups(keys), strict=True):
                 for i, j in links_between(sets[at : at + n], percent):
-                    a.append(cls[at + i])
-                    b.append(cls[at + j])
+                    a.append(at + i)
+                    b.append(at + j)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield stars(cls, np.array(a, np.int64), np.array(b, np.int64))
 
     return run
 
@@ -282,14 +286,15 @@ def compared(members: DataFrame, payload: DataFrame, run, leaders: int = LEADERS
     """Edges (a, b) by run that connect what all pairs of classes of one key connect. members: (key, cls, parts); payload: (cls, value).
 
     A key of one part is one group. The classes of a larger one are dealt to its parts, each of which the key's
-    leaders visit. What is connected by then needs no comparison any more: of each key the largest component is left
+    leaders, its smallest classes, visit. What is connected by then needs no comparison any more: of each key the largest component is left
     in its parts, and every class outside it meets all parts. So no pair of classes that are not connected yet goes
     without a comparison. A key of n classes of which r are outside its largest component makes n * r / block rows,
     and few more than n where most are like a leader or like one that is.
     """
     meet = lambda rows: grouped(rows.join(payload, "cls").select("grp", "cls", "value"), run, "a bigint, b bigint")
     large = members.where("parts > 1").withColumn("block", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("parts")))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit("leader"))))
+    # the numbers of classes have nothing to do with what is in them
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("cls"))
     visits = large.withColumn("nth", nth).where(F.col("nth") <= leaders).withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     rows = [
         members.where("parts = 1").select(F.xxhash64("key").alias("grp"), "cls"),

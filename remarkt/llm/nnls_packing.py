@@ -173,6 +173,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int =
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         finally:
             ids_of.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

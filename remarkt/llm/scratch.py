@@ -25,12 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a batch that goes to a Python worker, where the session leaves Spark's default.
+BATCH, BATCH_BYTES, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what workers and the JVM beside them hold of long texts; a value that the session has set stays."""
+    if spark.conf.get(BATCH) == DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return it as read back: lineage ends here, and lost executors cost one read.
 
     The table stays until its scope ends, else until ``clear``: frames derived from it are lazy and may still need it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if _open:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
+
 CHUNK_BYTES = 1 << 20
 
 SPACES = np.zeros(256, bool)
@@ -154,7 +156,9 @@ def per_text(df: DataFrame, make: Callable[[pa.Array], dict[str, pa.Array]], sch
             for lo, hi in ranges(column, most):
                 made = make(column.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), *made.values()], names=[*keep, *made])
+        pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     return df.select(*(F.col(c) for c in keep), F.col(text).alias(names[-1])).mapInArrow(run, schema)
 
 
