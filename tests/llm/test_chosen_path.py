@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from remarkt.llm import components
 from remarkt.llm.chosen_path import by_group, links_between, near_duplicates, trees_for
 from remarkt.llm.components import connected_components
 
@@ -180,3 +181,16 @@ def test_very_long_texts(documents):
     b[100:200] = prose(rng, 100)
     got = near_duplicates(documents([" ".join(a), " ".join(b), " ".join(prose(rng, 50000)), None])).collect()
     assert [(r.doc_id, r.component_id) for r in sorted(got)] == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_LINKS", 20)
+    rng = random.Random(5)
+    pairs = [(7, i) for i in range(100, 400)] + [(i, 500) for i in range(380, 420)] + [(3, 600), (500, 501)] + [(rng.randrange(700, 900), rng.randrange(700, 900)) for _ in range(70)]
+    label = {x: x for e in pairs for x in e}
+    for a, b in pairs * len(label):
+        if label[a] != label[b]:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {k: v for k, v in label.items() if k in linked}
