@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,9 +75,20 @@ def split(df: DataFrame, key: str, train_percent: int = 80, seed: int = 42) -> t
 
 
 def stratified_split(df: DataFrame, key: str, label: str, train_percent: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """A split with the same share of each label: a hash of key and label decides, so no label is gathered in a task."""
-    share = F.pmod(F.xxhash64(F.col(label), F.col(key), F.lit(seed)), F.lit(100))
-    return df.where(share < train_percent), df.where(share >= train_percent)
+    """A split that takes exactly train_percent of each label (rounded), those first by a digest of label and key.
+
+    Rows are counted by label and first three digits of the digest; only the bucket in which a label's cut falls is
+    ranked, a 4096th of its rows, so no label is gathered in a task.
+    """
+    marked = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(label).cast("string"), F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = marked.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("_l")
+    cuts = counts.withColumns({"_before": F.sum("_n").over(own.orderBy("_c")) - F.col("_n"), "_cut": F.floor((F.sum("_n").over(own) * train_percent + 50) / 100)})
+    placed = marked.join(cuts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    across = (F.col("_before") < F.col("_cut")) & (F.col("_before") + F.col("_n") > F.col("_cut"))
+    ranked = placed.where(across).withColumn("_rank", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
+    train = placed.where("_before + _n <= _cut").select(*df.columns).unionByName(ranked.where("_before + _rank <= _cut").select(*df.columns))
+    return train, placed.where("_before >= _cut").select(*df.columns).unionByName(ranked.where("_before + _rank > _cut").select(*df.columns))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -53,7 +53,9 @@ def load(raw: DataFrame, products: DataFrame, listings: DataFrame, history: Data
     new = rows.absent_from(clean, listings, "source_url")
     named = new.select(scalars.surrogate_key(F.col("standard_name")).alias("product_id"), F.col("standard_name").alias("name"), "brand", "model_series", "category", "base_specs", now.alias("created_at"), "source_url")
     products2 = rows.insert_absent(schema.conform(products, schema.PRODUCTS), named, "name", ["source_url"])
-    keyed = new.join(products2.select("product_id", F.col("name").alias("standard_name")), "standard_name")
+    # a name's key is that of the known product, else its hash, so the new products need not be made for it
+    known = products.select(F.col("product_id").alias("_known"), F.col("name").alias("standard_name"))
+    keyed = new.join(known, "standard_name", "left").withColumn("product_id", F.coalesce("_known", scalars.surrogate_key(F.col("standard_name")))).drop("_known")
     c = F.col
     flags = {n: F.coalesce(c(n), F.lit(n == "fully_functional")) for n in ("battery_replaced", "has_box", "has_charger", "has_cable", "has_earphones", "is_sim_free", "has_scratches", "has_damage", "fully_functional", "has_issues")}
     listed = keyed.withColumns(flags | {

@@ -148,9 +148,9 @@ def keep_first_dedupe(spark, d):
     return rows.keep_first(df, ["text"], ["doc_id"]).select("doc_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def anti_existing(spark, d):
-    return rows.absent_from(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders"), "c_custkey", "o_custkey")
+    return rows.absent_from(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -158,10 +158,10 @@ def semi_ids(spark, d):
     return rows.present_in(read(spark, d, "part").select("p_partkey", "p_name"), read(spark, d, "lineitem").where("l_quantity > 45"), "p_partkey", "l_partkey")
 
 
-@query("SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A'")
 def except_keys(spark, d):
     df = read(spark, d, "lineitem")
-    return rows.absent_from(df.where("l_returnflag = 'R'").select("l_partkey").distinct(), df.where("l_returnflag = 'A'"), "l_partkey")
+    return rows.absent_from(df.where("l_returnflag = 'R'").select("l_orderkey").distinct(), df.where("l_returnflag = 'A'"), "l_orderkey")
 
 
 @query("""SELECT 'u' || p_partkey AS url, p_brand AS source, p_name AS name, coalesce(l_extendedprice, p_retailprice) AS price_yen, coalesce(l_extendedprice * 175, p_retailprice * 175) AS price_vnd, p_type AS condition, coalesce(l_shipdate, TIMESTAMP '1990-01-01') AS created_at
@@ -235,7 +235,7 @@ def train_test_split(spark, d):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query()
+@query("""SELECT *, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY md5(concat_ws('|', quality, doc_id, 42)), doc_id) <= (count(*) OVER (PARTITION BY quality) * 80 + 50) // 100 THEN 'train' ELSE 'test' END AS part FROM labels""")
 def stratified_split(spark, d):
     train, test = rows.stratified_split(read(spark, d, "labels"), "doc_id", "quality")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -332,7 +332,7 @@ def listing_parse(spark, d):
 
 # --- features and models
 
-PHONES = """SELECT l_orderkey, l_linenumber, concat_ws('-', l_orderkey, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS item, ['Good', 'A', 'C', 'odd'][l_linenumber % 4 + 1] AS condition, 60 + l_quantity * 0.75 AS battery, ['clean', 'scratched', 'cracked'][CAST(l_quantity AS INT) % 3 + 1] AS screen, l_linenumber % 2 = 0 AS box, l_linenumber % 3 = 0 AS charger, ['64GB', '128GB', '1TB', '512GB'][CAST(l_quantity AS INT) % 4 + 1] AS storage FROM lineitem"""
+PHONES = """SELECT l_orderkey, l_linenumber, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS item, ['Good', 'A', 'C', 'odd'][l_linenumber % 4 + 1] AS condition, 60 + l_quantity * 0.75 AS battery, ['clean', 'scratched', 'cracked'][CAST(l_quantity AS INT) % 3 + 1] AS screen, l_linenumber % 2 = 0 AS box, l_linenumber % 3 = 0 AS charger, ['64GB', '128GB', '1TB', '512GB'][CAST(l_quantity AS INT) % 4 + 1] AS storage FROM lineitem"""
 SCORES = f"""SELECT *, CASE condition WHEN 'A' THEN 85 WHEN 'C' THEN 50 ELSE 70 END AS cs, CASE WHEN battery < 80 THEN (80 - battery) * 0.5 ELSE 0 END AS bp, CASE screen WHEN 'scratched' THEN -5 WHEN 'cracked' THEN -20 ELSE 0 END AS sp,
 CASE WHEN box THEN 3 ELSE 0 END + CASE WHEN charger THEN 2 ELSE 0 END + CASE WHEN box AND charger THEN 5 ELSE 0 END AS bonus, CAST(regexp_extract(storage, '[0-9]+') AS DOUBLE) AS gb FROM ({PHONES})"""
 
@@ -341,7 +341,7 @@ def phones(spark, d):
     q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
     pick = lambda i, *v: F.element_at(F.array(*(F.lit(x) for x in v)), (i % len(v) + 1).cast("int"))
     return read(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", q).alias("item"), pick(n, "Good", "A", "C", "odd").alias("condition"), (60 + F.col("l_quantity") * 0.75).alias("battery_percentage"), pick(q, "clean", "scratched", "cracked").alias("screen_condition"),
+        "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q).alias("item"), pick(n, "Good", "A", "C", "odd").alias("condition"), (60 + F.col("l_quantity") * 0.75).alias("battery_percentage"), pick(q, "clean", "scratched", "cracked").alias("screen_condition"),
         (n % 2 == 0).alias("has_box"), (n % 3 == 0).alias("has_charger"), pick(q, "64GB", "128GB", "1TB", "512GB").alias("storage"),
     )
 
@@ -364,21 +364,21 @@ def linear(df: DataFrame) -> DataFrame:
 QUALITY = "least(greatest(greatest(least(cs - bp, 100), 0) * 0.4 + greatest(cs + sp, 0) * 0.3 + greatest(cs - 2, 0) * 0.2 + cs * 0.1 + bonus, 0), 110)"
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, age / 2.0 AS device_age_years, round(10000 + {QUALITY} * 100 - age / 2.0 * 500 + (2026 - round_even(age / 2.0, 0)) + age / 2.0 * cs, 4) AS price_yen FROM ({SCORES}), (SELECT unnest(range(0, 9)) AS age) WHERE l_linenumber = 1""")
+@query(f"""SELECT l_orderkey, l_linenumber, age / 2.0 AS device_age_years, round(10000 + {QUALITY} * 100 - age / 2.0 * 500 + (2026 - round_even(age / 2.0, 0)) + age / 2.0 * cs, 4) AS price_yen FROM ({SCORES}), (SELECT unnest(range(0, 9)) AS age)""")
 def depreciation_grid(spark, d):
-    df = models.depreciation(phones(spark, d).where("l_linenumber = 1"), features.engineer, linear, low=0, high=4, step=0.5)
+    df = models.depreciation(phones(spark, d), features.engineer, linear, low=0, high=4, step=0.5)
     return rounded(df, "price_yen").select("l_orderkey", "l_linenumber", "device_age_years", "price_yen")
 
 
 def _impact_sql() -> str:
     q = lambda bp="bp", sp="sp", bonus="bonus": QUALITY.replace("bp", bp).replace("sp", sp).replace("+ bonus", f"+ {bonus}")
     cases = (("battery_to_100", "battery < 99.5", q(bp="0")), ("has_box_true", "NOT box", q(bonus="(3 + CASE WHEN charger THEN 7 ELSE 0 END)")), ("has_charger_true", "NOT charger", q(bonus="(2 + CASE WHEN box THEN 8 ELSE 0 END)")), ("screen_clean", "screen <> 'clean'", q(sp="0")))
-    return " UNION ALL ".join(f"SELECT item, '{n}' AS scenario, round({x} * 100 - {q()} * 100, 2) AS delta_yen FROM ({SCORES}) WHERE l_linenumber = 1 AND {w}" for n, w, x in cases)
+    return " UNION ALL ".join(f"SELECT item, '{n}' AS scenario, round({x} * 100 - {q()} * 100, 2) AS delta_yen FROM ({SCORES}) WHERE {w}" for n, w, x in cases)
 
 
 @query(_impact_sql())
 def counterfactual(spark, d):
-    df = models.baseline(phones(spark, d).where("l_linenumber = 1")).withColumn("model_line", F.lit(""))
+    df = models.baseline(phones(spark, d)).withColumn("model_line", F.lit(""))
     return rounded(models.impact(df, "item", lambda x: linear(features.engineer(x))), "delta_yen", places=2).select("item", "scenario", "delta_yen")
 
 
@@ -429,6 +429,53 @@ def etl_forecast(spark, d):
     return df.select("product_id", F.col("predicted_price").cast("double").alias("predicted_price"), F.col("confidence_score").cast("double").alias("confidence_score"))
 
 
+def reloaded(spark, d) -> etl.Tables:
+    """A load over tables that hold something: every other product by an id of its own, the links of every fourth line, and today's history of these products."""
+    raw = raw_items(spark, d)
+    old = read(spark, d, "part").where("p_size % 2 = 0").select(F.concat("p_brand", F.lit(" M"), "p_size", F.lit(" 64GB")).alias("name"), F.col("p_brand").alias("brand"), F.concat(F.lit("M"), "p_size").alias("model_series")).distinct().withColumn("product_id", F.concat(F.lit("old-"), "name"))
+    listed = raw.where("cast(split(element_at(split(link, '/'), -1), '-')[1] as int) % 4 = 0").select(F.col("link").alias("source_url"), F.lit("known").alias("product_id"), F.lit(1).alias("price"), F.lit(2).alias("original_price"))
+    history = old.select("product_id", today().alias("record_date"), F.lit(1000000).alias("avg_price"), F.lit(7).alias("original_price"), F.lit(500000).alias("min_price"), F.lit(2000000).alias("max_price"), F.lit(2).alias("listing_count"))
+    return etl.load(raw, ensure_columns(old, PRODUCTS), ensure_columns(listed, LISTINGS), ensure_columns(history, PRICE_HISTORY), now(), today())
+
+
+RELOADED = LOADED + """, n AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'old-' || name ELSE substring(sha256(name), 1, 36) END AS product_id FROM k WHERE l_linenumber % 4 <> 0),
+o AS (SELECT DISTINCT p_brand || ' M' || p_size || ' 64GB' AS name, p_brand, p_size FROM part WHERE p_size % 2 = 0) """
+
+
+@query(RELOADED + """, h AS (SELECT product_id, sum(yen * 175) AS s, avg(yen) AS y, min(yen * 175) AS low, max(yen * 175) AS high, count(*) AS c FROM n GROUP BY product_id)
+SELECT coalesce(h.product_id, 'old-' || o.name) AS product_id, round((coalesce(s, 0) + CASE WHEN o.name IS NULL THEN 0 ELSE 2000000 END) / (coalesce(c, 0) + CASE WHEN o.name IS NULL THEN 0 ELSE 2 END), 2) AS avg_price, round(coalesce(y, 7), 2) AS original_price,
+CAST(least(low, CASE WHEN o.name IS NOT NULL THEN 500000 END) AS DOUBLE) AS min_price, CAST(greatest(high, CASE WHEN o.name IS NOT NULL THEN 2000000 END) AS DOUBLE) AS max_price, CAST(coalesce(c, 0) + CASE WHEN o.name IS NULL THEN 0 ELSE 2 END AS BIGINT) AS listing_count
+FROM h FULL JOIN o ON h.product_id = 'old-' || o.name""")
+def etl_again_history(spark, d):
+    return rounded(reloaded(spark, d).history, "avg_price", "original_price", "min_price", "max_price", places=2).withColumn("listing_count", F.col("listing_count").cast("bigint")).drop("record_date")
+
+
+@query(RELOADED + """SELECT 'old-' || name AS product_id, name FROM o UNION SELECT product_id, name FROM n""")
+def etl_again_products(spark, d):
+    return reloaded(spark, d).products.select("product_id", "name")
+
+
+@query(RELOADED + """SELECT 'known' AS product_id, count(*) AS n, CAST(count(*) AS DOUBLE) AS price, CAST(2 * count(*) AS DOUBLE) AS original_price FROM t WHERE l_linenumber % 4 = 0 UNION ALL SELECT product_id, count(*), CAST(sum(yen * 175) AS DOUBLE), CAST(sum(yen) AS DOUBLE) FROM n GROUP BY product_id""")
+def etl_again_listings(spark, d):
+    return reloaded(spark, d).listings.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("double").alias("price"), F.sum("original_price").cast("double").alias("original_price"))
+
+
+@query(LOADED + """SELECT CASE WHEN l_returnflag = 'R' THEN 'extracted_layer2' WHEN l_linenumber % 4 <> 0 AND l_linenumber % 3 <> 2 AND yen BETWEEN 5000 AND 300000 THEN 'loaded_mysql' ELSE 'dropped_etl' END AS status, count(*) AS n FROM t GROUP BY 1""")
+def etl_again_status(spark, d):
+    return reloaded(spark, d).raw.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(2026 - CASE l_partkey % 4 WHEN 0 THEN 2020 WHEN 1 THEN 2021 WHEN 2 THEN 2023 ELSE 2020 END AS DOUBLE) AS device_age_years FROM lineitem""")
+def release_years(spark, d):
+    """Ages by a dictionary of release years: the first model in its order that the name holds, the default without one."""
+    years = {"iPhone 13": 2021, "Galaxy S23": 2023, "iPhone 12": 2020}
+    k = (F.col("l_partkey") % 4).cast("int")
+    line = F.element_at(F.array(F.lit("iphone"), F.lit("iPhone"), F.lit("Galaxy"), F.lit("Pixel")), k + 1)
+    number = F.element_at(F.array(F.lit("12 Pro"), F.lit("13 mini"), F.lit("S23"), F.lit("8a")), k + 1)
+    df = phones(spark, d).join(read(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("item"), "l_partkey"), "item")
+    return features.engineer(df.withColumns({"model_line": line, "model_number": number, "variant": F.lit("")}), years).select("l_orderkey", "l_linenumber", "l_partkey", "device_age_years")
+
+
 @query()
 def junk_model(spark, d):
     df = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", F.col("text").alias("name"), F.lit(None).cast("string").alias("explanation"), F.col("n_chars").cast("string").alias("price"), (1 - F.col("quality")).alias("is_junk"))
@@ -443,7 +490,7 @@ def price_model(spark, d):
     return errors
 
 
-@query()
+@query("SELECT 'remarkt_part' AS table_name, count(*) AS n FROM part UNION ALL SELECT 'remarkt_orders', count(*) FROM orders")
 def table_counts(spark, d):
     for name in ("part", "orders"):
         read(spark, d, name).createOrReplaceTempView(f"remarkt_{name}")
