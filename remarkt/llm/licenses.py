@@ -7,6 +7,8 @@ template into covered spans; a template is found when the chain covers enough of
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +41,12 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved"),
 )
 
+def bodies() -> tuple[tuple[str, str], ...]:
+    """(label, text) of the full licences in the package's folder licence_texts."""
+    files = sorted((f for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return tuple((f.name[:-4], f.read_text(encoding="utf-8")) for f in files)
+
+
 #: Words of a run that counts (shorter templates count when whole); share of a template that its chain must cover; words of text that may lie between two runs of a chain.
 MIN_RUN, COVER, GAP = 4, 0.8, 12
 
@@ -53,9 +61,9 @@ def plain_words(text: str) -> list[str]:
 
 
 class Automaton:
-    """States of the generalised suffix automaton: next, link, length, and the (template, end) places of each state."""
+    """States of the generalised suffix automaton: next, link, length, and the (template, end) places of each state whose runs are of least words or more."""
 
-    def __init__(self, templates: list[list[int]]):
+    def __init__(self, templates: list[list[int]], least: int = 1):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         places: list[set[tuple[int, int]]] = [set()]
@@ -65,7 +73,8 @@ class Automaton:
                 last = self._add(last, word, places)
                 places[last].add((t, end))
         for state in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
-            places[self.link[state]] |= places[state]
+            if self.length[self.link[state]] >= least:
+                places[self.link[state]] |= places[state]
         self.places = [sorted(p) for p in places]
 
     def _state(self, length: int, places: list, next_: dict[int, int], link: int) -> int:
@@ -115,7 +124,7 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES, min_run: int = MIN_RUN, cover: float = COVER, gap: int = GAP):
+    def __init__(self, templates, phrases=PHRASES, min_run: int = MIN_RUN, cover: float = COVER, gap: int = GAP):
         split = [plain_words(t) for _, t in templates]
         names = sorted({w for words in split for w in words} | {w for p, _ in phrases for w in p.split()})
         column = pa.array(names)
@@ -125,13 +134,13 @@ class Scanner:
         number = {w: i for i, w in enumerate(names)}
         self.templates = [[number[w] for w in words] for words in split]
         self.labels = [label for label, _ in templates]
-        self.automaton = Automaton(self.templates)
         self.min_run, self.cover, self.gap = min_run, cover, gap
+        self.least = min(min_run, min(map(len, self.templates)))
+        self.automaton = Automaton(self.templates, self.least)
         n = self.n = len(names)
         self.pairs = np.zeros((n + 1, n + 1), bool)
         for words in self.templates:
             self.pairs[words[:-1], words[1:]] = True
-        self.least = min(min_run, min(map(len, self.templates)))
         self.phrases = [([number[w] for w in p.split()], label) for p, label in phrases]
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
@@ -215,16 +224,18 @@ class Scanner:
         }
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, min_run: int = MIN_RUN, cover: float = COVER, gap: int = GAP) -> DataFrame:
+def license_scan(docs: DataFrame, templates=None, phrases=PHRASES, min_run: int = MIN_RUN, cover: float = COVER, gap: int = GAP) -> DataFrame:
     """One row for each row of docs (doc_id, text): places of the phrases, labels, and the template spans found.
 
+    templates: (label, text) pairs; the notices here and the full licences of the package where none are given.
     score: 1 where a phrase stands, else the largest share of a template that a chain covers, else 0. Null and empty
     texts have no words and no labels; repeated rows are each answered; an empty table gives an empty result; other
     columns are not read. One pass without a shuffle; the automaton's size is that of the templates.
     """
-    held = sent(docs.sparkSession, Scanner(templates, phrases, min_run, cover, gap))
+    held = sent(docs.sparkSession, Scanner(templates or (*TEMPLATES, *bodies()), phrases, min_run, cover, gap))
     return per_text(docs, lambda column: held.value(column), SCHEMA)
 
 
 def license_report(docs: DataFrame) -> DataFrame:
+    """``license_scan``, where nulls, repeats and empty tables are stated, without the spans. Labels are sorted; of equal shares no one counts more."""
     return license_scan(docs).drop("spans")

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from remarkt.llm.licenses import PHRASES, TEMPLATES, Automaton, license_scan
+from remarkt.llm.licenses import PHRASES, TEMPLATES, Automaton, Scanner, bodies, license_scan
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -64,3 +64,42 @@ def test_matching_statistics_equal_brute_force(seed):
 def test_empty_table_and_clashing_columns(documents):
     df = documents(["a b"]).withColumnRenamed("source", "labels")
     assert license_scan(df).count() == 1 and license_scan(df.limit(0)).count() == 0
+
+
+def test_full_licences_are_found(documents):
+    texts = ["a file of ours " + t + " and code" for _, t in bodies()] + [" ".join(words_of(bodies()[-1][1])[500:560])]
+    got = {r.doc_id: r for r in license_scan(documents(texts)).collect()}
+    assert {label for label, _ in bodies()} == {"apache-2", "bsd-3-clause", "cc0", "gpl-2", "gpl-3", "lgpl-3", "mit", "mpl-2"}
+    for i, (label, text) in enumerate(bodies()):
+        assert any((s.label, s.first, s.last) == (label, 4, 3 + len(words_of(text))) and s.cover == 1 for s in got[i].spans), label
+    assert got[len(bodies())].labels == ""
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_chains_equal_brute_force(seed):
+    rng = random.Random(seed)
+    words = "abcdefgh"
+    template = [rng.choice(words) for _ in range(12)]
+    scanner = Scanner([("x", " ".join(template))], (), 2, 0.5, 3)
+    text = []
+    while len(text) < 30:
+        at = rng.randrange(12)
+        text += template[at : at + rng.randrange(1, 8)] + [rng.choice(words + "z") for _ in range(rng.randrange(3))]
+    number = {w: i for i, w in enumerate(sorted(set(template)))}
+    runs = scanner.runs([number.get(w, scanner.n) for w in text], 0)
+    best = 0
+
+    def grow(covered, last):
+        nonlocal best
+        best = max(best, covered)
+        for _, there, here, length in runs:
+            before, at, size = last
+            gain = length - max(0, at + size - here, before + size - there)
+            if gain > 0 and before < there and at < here and here - at - size <= 3 and here - at <= 3 + 12:
+                grow(covered + gain, (there, here, length))
+
+    for _, there, here, length in runs:
+        grow(length, (there, here, length))
+    found = scanner.chains(runs)
+    assert bool(found) == (best >= 0.5 * 12)
+    assert not found or max(f[3] for f in found) == min(1.0, best / 12)
