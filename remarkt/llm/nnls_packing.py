@@ -372,7 +372,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, st
         turn, nth = np.divmod(r - lo[i], per[i])
         return pd.DataFrame({"sequence_id": at[i] + turn, "offset": offset[i] + nth * size})
 
-    placed = pieces.join(bases, ["block", "length"]).withColumn("place", place("length", F.col("base") + F.col("nth")))
+    # a row for each task and length, which grows with the corpus though its file is small: merged, not broadcast
+    placed = pieces.join(bases.hint("merge"), ["block", "length"]).withColumn("place", place("length", F.col("base") + F.col("nth")))
     return placed.select("doc_id", "start", "length", "doc_tokens", "ids", "place.sequence_id", "place.offset", (F.col("place.sequence_id") < planned).alias("planned"))
 
 
