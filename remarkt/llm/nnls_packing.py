@@ -86,7 +86,7 @@ class WordIds:
         return pc.utf8_split_whitespace(pa.array(texts, pa.string()))
 
     #: Trailing signs of their own pre-token; none of them is an apostrophe, which can start one with letters.
-    SIGNS = ".,;:!?|"
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def learn(self, words: list[str]) -> None:
         letters = [w for w in words if w.isalpha()]
@@ -123,7 +123,7 @@ class WordIds:
         """The ids of each text, 4 bytes each."""
         words = self.split(texts)
         coded = words.flatten().dictionary_encode()
-        own, held = coded.dictionary.to_pylist(), self.held
+        own, held = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.held
         new = [w for w in own if w not in held]
         if len(held) + len(new) > MEMO:
             self.recent = own
