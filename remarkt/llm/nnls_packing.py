@@ -16,6 +16,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate, chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ from .words import ranges
 WINDOW, END = 4096, 2
 #: Tokens of a length class; pieces of a combination at most.
 STEP, DEPTH = 32, 4
-#: Words whose ids a task keeps (some 200 bytes each); beyond that, and after the task, only those of its last texts.
-MEMO = 300_000
+#: Words whose ids a task keeps (some 200 bytes each), and their characters; beyond either, and after the task, only those of its last texts.
+MEMO, MEMO_CHARS = 300_000, 16 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, block bigint, nth bigint"
 
@@ -50,99 +51,150 @@ class WordIds:
     """Ids of a text, word by word: the tokenizer drops white space and never joins what it parts, so words can be kept.
 
     markers: literal markers in a text, such as <|endoftext|>, become their own ids, as the tokenizer's default is; else they are plain text.
+    Words are kept without their case (where that is plain) and without trailing signs, which are tokens apart.
     """
 
     #: White space as the tokenizer's normaliser has it (Unicode's); Arrow's takes four control characters more.
     SPACE = re.compile("[" + "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
-    ODD = re.compile("[\x1c-\x1f]")
+    CONTROLS = "\x1c\x1d\x1e\x1f"
+    #: Trailing signs of their own pre-token; none of them is an apostrophe, which can start one with letters.
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Letters before this one (Latin, Greek, Cyrillic) are letters in every version of Unicode in use.
+    OTHER = "\u0530"
+    #: The one of them whose small form is a letter and a mark.
+    TWO = "\u0130"
 
     def __init__(self, path: str, markers: bool = True):
         # Spark runs a task on each core already
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # words never hold a marker that counts: those are parted from the text before
         self.tokenizer.encode_special_tokens = True
+        # characters of bytes, those that stand for themselves and, in order, for the others
+        alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+        others = iter([c for c in alphabet if ord(c) > 255])
+        self.characters = "".join(chr(b) if chr(b) in alphabet else next(others) for b in range(256))
+        probe = ["don", "sll", "aé", "жω"]
+        # whether a word of letters is one piece for the model, in these characters
+        self.direct = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(probe))] == self.as_bytes(probe)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special] if markers else []
-        self.markers = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.markers = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special] if markers else []
+        self.parted = re.compile("(" + "|".join(map(re.escape, self.markers)) + ")")
         # keyed by what can't be a word
-        self.special = {"": b""} | {" " + t: array("I", [vocabulary[t]]).tobytes() for t in special}
-        self.held: dict[str, bytes] = dict(self.special)
+        self.special = {"": []} | {" " + t: [vocabulary[t]] for t in self.markers}
         self.recent: list[str] = []
+        self.held: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Keep only words of the last texts: what texts share is among them."""
+        kept = {w: self.ids[self.upto[i] : self.upto[i + 1]] for w in self.recent if (i := self.held.get(w)) is not None} | self.special
+        self.held, self.ids, self.upto, self.size = {}, array("I"), array("q", [0]), 0
+        self.hold(list(kept), list(kept.values()))
+
+    def hold(self, words: list[str], ids: list) -> None:
+        """Keep the ids of words that are not held."""
+        self.held.update(zip(words, range(len(self.held), len(self.held) + len(words)), strict=True))
+        self.ids.extend(chain.from_iterable(ids))
+        self.upto.extend(islice(accumulate(map(len, ids), initial=self.upto[-1]), 1, None))
+        self.size += sum(map(len, words))
 
     def split(self, texts: list[str]) -> pa.ListArray:
         """The words of each text, with empty ones among them."""
-        odd = [i for i, t in enumerate(texts) if self.ODD.search(t) or self.markers and self.markers.search(t)]
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in self.CONTROLS) or any(m in t for m in self.markers)]
+        found = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
         if odd:
-            found = pc.utf8_split_whitespace(pa.array(texts)).to_pylist()
+            found = found.to_pylist()
             for i in odd:
-                parts = self.markers.split(texts[i]) if self.markers else [texts[i]]
-                found[i] = [w for k, p in enumerate(parts) for w in ([" " + p] if k % 2 else self.SPACE.split(p))]
+                pieces = self.parted.split(texts[i]) if self.markers else [texts[i]]
+                found[i] = [w for k, p in enumerate(pieces) for w in ([" " + p] if k % 2 else self.SPACE.split(p))]
             return pa.array(found, pa.list_(pa.string()))
-        return pc.utf8_split_whitespace(pa.array(texts, pa.string()))
-
-    #: Trailing signs of their own pre-token; none of them is an apostrophe, which can start one with letters.
-    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+        return found
+
+    def parts(self, words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+        """Words without their case (where that is plain) and their trailing signs, and those."""
+        base = pc.utf8_rtrim(words, self.SIGNS)
+        # signs after a letter that stays one are a piece of their own; markers stay whole
+        last = pc.utf8_slice_codeunits(base, -1)
+        apart = pc.and_(pc.and_(pc.utf8_is_alpha(last), pc.less(last, self.OTHER)), pc.and_(pc.not_equal(last, self.TWO), pc.invert(pc.starts_with(words, " "))))
+        base = pc.if_else(apart, base, words)
+        signs = pc.binary_slice(words.cast(pa.binary()), 0, 0).cast(pa.string())
+        own = np.flatnonzero(np.asarray(pc.binary_length(base)) < np.asarray(pc.binary_length(words)))
+        if len(own):
+            some = words.take(pa.array(own))
+            lasting = [w[len(w.rstrip(self.SIGNS)) :] for w in some.to_numpy(zero_copy_only=False).tolist()]
+            mask = np.zeros(len(words), bool)
+            mask[own] = True
+            signs = pc.replace_with_mask(signs, pa.array(mask), pa.array(lasting, pa.string()))
+        return pc.if_else(pc.string_is_ascii(base), pc.ascii_lower(base), base), signs
+
+    def as_bytes(self, words: list[str]) -> list[str]:
+        """Words in the characters that stand for their bytes."""
+        return " ".join(words).encode().decode("latin-1").translate(self.characters).split(self.characters[32])
 
     def learn(self, words: list[str]) -> None:
-        letters = [w for w in words if w.isalpha()]
-        for lo in range(0, len(letters), 10_000):
-            part = letters[lo : lo + 10_000]
-            # each is one pre-token, and so ends where a token with the mark of a word's end stands
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) != len(part):
-                self.learn_each(part)
-                continue
-            flat = ids.tobytes()
-            self.held.update(zip(part, map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-        self.learn_each([w for w in words if not w.isalpha()])
-
-    def learn_each(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 10_000):
-            part = words[lo : lo + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.held.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
-
-    def parts(self, word: str) -> tuple[str, str]:
-        """A word without its case (where that is plain) and its trailing signs, and those: they are tokens apart."""
-        base = word.rstrip(self.SIGNS)
-        if not base or not base[-1].isalpha():
-            base = word
-        return base.lower() if base.isascii() else base, word[len(base) :]
-
-    def forget(self) -> None:
-        """Keep only words of the last texts: what texts share is among them."""
-        self.held = self.special | {w: self.held[w] for w in self.recent if w in self.held}
+        # small letters as they are, others by the tokenizer's normaliser: the model needs no more where they stay letters
+        plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()] if self.direct else []
+        others = [w for w in words if not w.isascii() and w.isalpha()] if self.direct else []
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(others)).split(" ") if others else []
+        if len(normal) == len(others):
+            kept = [(w, n) for w, n in zip(others, normal, strict=True) if n.isalpha() and max(n) < self.OTHER]
+            pieces = [*plain, *(self.as_bytes([n for _, n in kept]) if kept else [])]
+            plain = [*plain, *(w for w, _ in kept)]
+        else:
+            pieces = plain
+        tokens = self.tokenizer.model.tokenize
+        self.hold(plain, [[t.id for t in tokens(p)] for p in pieces])
+        rest = [w for w in words if w not in self.held]
+        for lo in range(0, len(rest), 10_000):
+            part = rest[lo : lo + 10_000]
+            self.hold(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the ids of unlike words are; those not known are learnt."""
+        at = np.fromiter(map(self.held.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(self.held) + len(new) > MEMO or self.size > MEMO_CHARS:
+            self.forget()
+            at = np.fromiter(map(self.held.get, words, repeat(-1)), np.int64, len(words))
+            new = np.flatnonzero(at < 0)
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            self.learn(unknown)
+            at[new] = np.fromiter(map(self.held.__getitem__, unknown), np.int64, len(unknown))
+        self.recent = words
+        return at
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each."""
         words = self.split(texts)
         coded = words.flatten().dictionary_encode()
-        own, held = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.held
-        new = [w for w in own if w not in held]
-        if len(held) + len(new) > MEMO:
-            self.recent = own
-            self.forget()
-            held = self.held
-        split = [self.parts(w) for w in new]
-        self.learn([w for w in {x for pair in split for x in pair} if w not in held])
-        for word, (base, signs) in zip(new, split, strict=True):
-            held[word] = held[base] + held[signs] if signs else held[base]
-        self.recent = own
-        # the ids of each word once, and then those of all words in their order
-        kept = [held[w] for w in own]
-        flat, sizes = np.frombuffer(b"".join(kept), "<u4"), np.fromiter(map(len, kept), np.int64, len(kept)) // 4
+        base, signs = (x.dictionary_encode() for x in self.parts(coded.dictionary))
+        bases, ends = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (base, signs))
+        unlike = dict.fromkeys(chain(bases, ends))
+        at = self.places(list(unlike))
+        if len(unlike) < len(bases) + len(ends):
+            # words of both kinds: the empty one, and signs alone
+            where = dict(zip(unlike, at.tolist(), strict=True))
+            at = np.array([where[w] for w in chain(bases, ends)], np.int64)
+        # two runs of ids for each unlike word, and then those of all words in their order
+        upto, kept = np.array(self.upto, np.int64), np.array(self.ids, "<u4")
+        start, size = upto[:-1][at], np.diff(upto)[at]
+        pairs = np.stack([base.indices.to_numpy(), signs.indices.to_numpy() + len(bases)], 1)
+        flat, sizes = gathered(kept, start[pairs].ravel(), size[pairs].ravel()), size[pairs].sum(1)
         which = coded.indices.to_numpy()
         counts = sizes[which]
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], counts) + np.arange(upto[-1])] if len(which) else flat
-        ends = upto[words.offsets.to_numpy()]
-        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        ids = gathered(flat, (np.cumsum(sizes) - sizes)[which], counts)
+        last = np.concatenate(([0], np.cumsum(counts)))[words.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(last[:-1], last[1:], strict=True)]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of values one after the other: counts[i] of them from starts[i] on."""
+    before = np.cumsum(counts) - counts
+    return values[np.repeat(starts - before, counts) + np.arange(counts.sum())]
 
 
 @lru_cache(2)

@@ -69,6 +69,12 @@ def ids_of(texts, **options):
     return [np.frombuffer(b, "<u4").tolist() for b in word_ids(default_tokenizer(), **options).encode(texts)]
 
 
+def test_signs_after_letters_that_gain_a_mark():
+    """Small forms and normal forms can end in a mark, which signs join."""
+    texts = ["İ, İ. aİ!!", "क़, क़ DON'T's ÄÖ-- Ж... ΑΣ, Kk, ªº; ŉ: ǅ!", "a\u0301, E\u0331. h\u0331, H\u0331!"]
+    assert ids_of(texts) == [encode(t)[:-1] for t in texts]
+
+
 def test_markers_have_their_own_ids():
     texts = ["hello <|endoftext|> world", "a<|endoftext|>b<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |> <|endoftext|>| x", "<|endoftext|>"]
     assert ids_of(texts) == [encode(t)[:-1] for t in texts]
