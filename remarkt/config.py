@@ -71,6 +71,27 @@ JUNK_DESCRIPTION = "(モックアップ|部品取り|パーツ取り|箱のみ)"
 
 CONDITION_LABEL_SKIP = ("bidder", "international shipping", "early finish", "automatic extension", "auction id", "number of bids", "highest bidder")
 CONDITION_LABEL_JP = ("商品の状態", "コンディション", "状態")
+#: Kinds of price in an auction's card: words of its label, and words that it mustn't have. The first that fits.
+PRICE_LABELS = (("buyout", ("Buyout Price", "即決価格"), ()), ("fixed", ("Price",), ("Current",)), ("current", ("Current Price", "現在価格"), ()))
+
+#: Patterns of titles: signs, emoji (in compat mode one range reaches from circled letters over all kana and ideographs).
+DECORATION = "[★☆♪♡●◆■□◇△▲▼►◄※⚠\\x{FE0F}‼【】]"
+EMOJI_COMPAT = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2702}-\\x{27B0}\\x{24C2}-\\x{1F251}]+"
+EMOJI = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2702}-\\x{27B0}\\x{24C2}\\x{1F200}-\\x{1F251}]+"
+#: Lines in the order in which they are tried, and the pattern of a line's number, which is never empty where it matches.
+LINES = (
+    ("iPhone", r"(?iU)iPhone\s*(\d+|SE\d*|XR|XS|X)"),
+    ("Galaxy", r"(?iU)Galaxy\s*([A-Z]*\s*\d+)"),
+    ("Pixel", r"(?iU)Pixel\s*(\d+[a-zA-Z]*)"),
+    ("Xperia", r"(?iU)Xperia\s*([A-Z0-9\s]+?)(?:\s|　|$|SO-|SOG|XQ-)"),
+    ("Redmi", r"(?iU)Redmi\s*(Note\s*\d+[a-zA-Z]*|\d+[a-zA-Z]*)"),
+    ("AQUOS", r"(?iU)AQUOS\s*([a-zA-Z0-9\s]+?)(?:\s|　|$|SH-)"),
+)
+SIZE = r"(?U)(\d+)\s*(GB|gb|TB|tb|ギガ|テラ)"
+#: Patterns of descriptions.
+BATTERY = (r"(?iU)バッテリー[^\d]*(\d+)\s*[%％]", r"(?iU)最大容量[^\d]*(\d+)\s*[%％]", r"(?iU)battery[^\d]*(\d+)\s*[%％]", r"(?iU)充電容量[^\d]*(\d+)\s*[%％]")
+RAM = (r"(?iU)(?:RAM|メモリ)[^\d]*(\d+)\s*(?:GB|gb)", r"(?iU)(\d+)\s*(?:GB|gb)\s*(?:RAM|メモリ)")
+RESTRICTIONS = (("none", "利用制限.*[○〇◯]|判定.*[○〇◯]|ネットワーク.*制限.*なし|利用制限.*なし"), ("possible", "利用制限.*[△▲]|判定.*[△▲]"), ("restricted", "利用制限.*[×✕]|判定.*[×✕]"))
 
 #: Scores and penalties of the price features.
 CONDITION_SCORES = {

@@ -74,16 +74,10 @@ def affirmed(text: Column, words, window: int, ahead: bool = False, negations=co
 
 # --- titles
 
-DECORATION = "[★☆♪♡●◆■□◇△▲▼►◄※⚠\\x{FE0F}‼【】]"
-EMOJI = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2702}-\\x{27B0}%s]+"
-#: In compat mode one range reaches from circled letters over all kana and ideographs.
-WIDE, NARROW = "\\x{24C2}-\\x{1F251}", "\\x{24C2}\\x{1F200}-\\x{1F251}"
-
-
 def clean_title(title: Column, compat: bool = True) -> Column:
     text = nfkc(F.coalesce(title.cast("string"), F.lit("")))
-    text = F.regexp_replace(text, DECORATION, " ")
-    text = F.regexp_replace(text, EMOJI % (WIDE if compat else NARROW), " ")
+    text = F.regexp_replace(text, config.DECORATION, " ")
+    text = F.regexp_replace(text, config.EMOJI_COMPAT if compat else config.EMOJI, " ")
     text = F.regexp_replace(text, r"(?U)http\S+|www\S+", "")
     for word in config.SPAM:
         text = F.regexp_replace(text, f"(?iu){word}", " ")
@@ -93,31 +87,20 @@ def clean_title(title: Column, compat: bool = True) -> Column:
     return text
 
 
-#: Lines in the order in which they are tried, and the pattern of a line's number.
-LINES = (
-    ("iPhone", r"(?iU)iPhone\s*(\d+|SE\d*|XR|XS|X)"),
-    ("Galaxy", r"(?iU)Galaxy\s*([A-Z]*\s*\d+)"),
-    ("Pixel", r"(?iU)Pixel\s*(\d+[a-zA-Z]*)"),
-    ("Xperia", r"(?iU)Xperia\s*([A-Z0-9\s]+?)(?:\s|　|$|SO-|SOG|XQ-)"),
-    ("Redmi", r"(?iU)Redmi\s*(Note\s*\d+[a-zA-Z]*|\d+[a-zA-Z]*)"),
-    ("AQUOS", r"(?iU)AQUOS\s*([a-zA-Z0-9\s]+?)(?:\s|　|$|SH-)"),
-)
+def numbers(text: Column) -> dict[str, Column]:
+    """Of each line in the order of trying the number that follows it, empty where the line isn't there."""
+    return {name: F.regexp_extract(text, pattern, 1) for name, pattern in config.LINES}
 
 
-def model(text: Column) -> tuple[Column, Column]:
-    """Line and number: the first line whose pattern matches."""
+def model(found: dict[str, Column]) -> tuple[Column, Column]:
+    """Line and number: the first line that is there."""
     line = number = F.lit(None).cast("string")
-    for name, pattern in reversed(LINES):
-        has = text.rlike(pattern)
-        line = F.when(has, name).otherwise(line)
-        number = F.when(has, F.trim(F.regexp_extract(text, pattern, 1))).otherwise(number)
+    for name, own in reversed(found.items()):
+        line, number = F.when(own != "", name).otherwise(line), F.when(own != "", F.trim(own)).otherwise(number)
     return line, number
 
 
-SIZE = r"(?U)(\d+)\s*(GB|gb|TB|tb|ギガ|テラ)"
-
-
-def sizes(text: Column, pattern: str = SIZE) -> Column:
+def sizes(text: Column, pattern: str = config.SIZE) -> Column:
     """(gb, label) of each size in the text."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("u"))
     unit = lambda u: F.when(F.upper(u).isin("GB", "ギガ"), "GB").otherwise("TB")
@@ -147,24 +130,26 @@ def ram(text: Column) -> Column:
     return F.when(F.size(may) > 0, smallest(may))
 
 
-def variant(text: Column, compat: bool = True) -> Column:
-    found = F.array_join(F.array_distinct(tags(text, config.VARIANTS, compat)), " ")
+def variant(found: Column, compat: bool = True) -> Column:
+    """Unlike tags of variants as one text; null without any."""
+    text = F.array_join(F.array_distinct(found), " ")
     if compat:
-        swapped = F.trim(F.replace(F.replace(found, F.lit("Pro Max"), F.lit("")), F.lit("Pro"), F.lit("Pro Max")))
-        found = F.when(found.contains("Pro Max"), F.regexp_replace(swapped, r"\s+", " ")).otherwise(found)
-    return F.when(F.size(tags(text, config.VARIANTS, compat)) > 0, found)
+        swapped = F.trim(F.replace(F.replace(text, F.lit("Pro Max"), F.lit("")), F.lit("Pro"), F.lit("Pro Max")))
+        text = F.when(text.contains("Pro Max"), F.regexp_replace(swapped, r"\s+", " ")).otherwise(text)
+    return F.when(F.size(found) > 0, text)
 
 
 def title_features(df: DataFrame, title: str = "name", compat: bool = True) -> DataFrame:
-    """df and the title's features; columns of those names are replaced."""
+    """df and the title's features; columns of those names are replaced. What is used twice is a column first, so that each pattern runs once."""
     text = F.col("_title")
-    line, number = model(text)
-    brand = F.coalesce(first(tags(text, config.BRANDS, compat)), F.create_map(*(F.lit(x) for p in config.BRAND_OF_LINE.items() for x in p))[line])
+    kept = {"_brands": tags(text, config.BRANDS, compat), "_variants": tags(text, config.VARIANTS, compat), "_colors": tags(text, config.COLORS, compat)} | {f"_number_{name}": number for name, number in numbers(text).items()}
+    line, number = model({name: F.col(f"_number_{name}") for name, _ in config.LINES})
+    brand = F.coalesce(first(F.col("_brands")), F.create_map(*(F.lit(x) for p in config.BRAND_OF_LINE.items() for x in p))[line])
     new = {
-        "original_title": F.coalesce(F.col(title).cast("string"), F.lit("")), "preprocessed_title": text, "brand": brand, "model_line": line, "model_number": number, "variant": variant(text, compat),
-        "color": first(tags(text, config.COLORS, compat)), "ram": ram(text), "capacity": capacity(text),
+        "original_title": F.coalesce(F.col(title).cast("string"), F.lit("")), "preprocessed_title": text, "brand": brand, "model_line": line, "model_number": number, "variant": variant(F.col("_variants"), compat),
+        "color": first(F.col("_colors")), "ram": ram(text), "capacity": capacity(text),
     }
-    return df.withColumn("_title", clean_title(F.col(title), compat)).withColumns(new).drop("_title")
+    return df.withColumn("_title", clean_title(F.col(title), compat)).withColumns(kept).withColumns(new).drop("_title", *kept)
 
 
 # --- descriptions
@@ -174,17 +159,12 @@ def clean_description(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(text.cast("string"), F.lit(""))), r"(?U)\s+", " "), "^ | $", "")
 
 
-BATTERY = (r"(?iU)バッテリー[^\d]*(\d+)\s*[%％]", r"(?iU)最大容量[^\d]*(\d+)\s*[%％]", r"(?iU)battery[^\d]*(\d+)\s*[%％]", r"(?iU)充電容量[^\d]*(\d+)\s*[%％]")
-RAM = (r"(?iU)(?:RAM|メモリ)[^\d]*(\d+)\s*(?:GB|gb)", r"(?iU)(\d+)\s*(?:GB|gb)\s*(?:RAM|メモリ)")
-RESTRICTIONS = (("none", "利用制限.*[○〇◯]|判定.*[○〇◯]|ネットワーク.*制限.*なし|利用制限.*なし"), ("possible", "利用制限.*[△▲]|判定.*[△▲]"), ("restricted", "利用制限.*[×✕]|判定.*[×✕]"))
-
-
 def battery_percentage(text: Column) -> Column:
-    return F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("int") for p in BATTERY))
+    return F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("int") for p in config.BATTERY))
 
 
 def description_ram(text: Column) -> Column:
-    found = [F.regexp_extract(text, p, 1).try_cast("int") for p in RAM]
+    found = [F.regexp_extract(text, p, 1).try_cast("int") for p in config.RAM]
     return F.coalesce(*(F.when(n <= 24, F.concat(n.cast("string"), F.lit("GB"))) for n in found))
 
 
@@ -202,7 +182,7 @@ def description_features(df: DataFrame, description: str = "explanation", compat
     scratched, cracked = affirmed(text, config.SCRATCHES, 10), affirmed(text, config.CRACKS, 10)
     issues = present(text, config.JUNK)
     status = F.lit(None).cast("string")
-    for name, pattern in reversed(RESTRICTIONS):
+    for name, pattern in reversed(config.RESTRICTIONS):
         status = F.when(text.rlike(pattern), name).otherwise(status)
     plain_ram = description_ram(text)
     broken = {}

@@ -131,8 +131,9 @@ def cache_key(product: Column, version: Column, mark: Column, grid: Column, fx:
     return F.format_string("depcurve:%s:%s:%s:%s:fx%s", product, version, mark, grid, fx.cast("string"))
 
 
-def model_version(r2: Column) -> Column:
-    return F.format_string("smart_v1_r2_%.3f", r2)
+def model_version(r2: Column, model: str = "smart_v1") -> Column:
+    """A model's name with its R2, as forecasts store it (smart_v1) or as curves are cached by it (smart_v1.0)."""
+    return F.format_string(model + "_r2_%.3f", r2)
 
 
 def confidence(r2: Column) -> Column:

@@ -31,8 +31,9 @@ def box_plot(df: DataFrame, price: str, *keys: str) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
+    """Count, mean, exact quartiles, least, greatest and standard deviation of a column; nulls don't count."""
     c = F.col(column)
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_samp(c).alias("std"))
+    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.25).alias("q1"), F.median(c).alias("median"), F.percentile(c, 0.75).alias("q3"), F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_samp(c).alias("std"))
 
 
 def coverage(df: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,9 +94,9 @@ def box_plot(spark, d):
     return rounded(statistics.box_plot(read(spark, d, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority"), "q1", "median", "q3")
 
 
-@query("""SELECT count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, min(l_extendedprice) AS low, max(l_extendedprice) AS high, round(stddev_samp(l_extendedprice), 4) AS std FROM lineitem""")
+@query("""SELECT count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, min(l_extendedprice) AS low, max(l_extendedprice) AS high, round(stddev_samp(l_extendedprice), 4) AS std FROM lineitem""")
 def describe_prices(spark, d):
-    return rounded(statistics.describe(read(spark, d, "lineitem"), "l_extendedprice"), "mean", "median", "std")
+    return rounded(statistics.describe(read(spark, d, "lineitem"), "l_extendedprice"), "mean", "q1", "median", "q3", "std")
 
 
 @query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS status, o_totalprice > 100000 AS dear FROM orders)
@@ -326,8 +328,41 @@ def description_features(spark, d):
 
 @query()
 def listing_parse(spark, d):
+    """Pages of no marketplace: no card, no condition, and their visible text."""
     df = read(spark, d, "pages")
-    return df.select("page_id", html.detail_description("html", "mercari").alias("description"), html.detail_condition("html", "mercari").alias("condition"), F.size(html.listing_cards(F.col("html"), "mercari", "https://shop.example")).alias("cards"))
+    return df.select("page_id", html.detail(F.col("html"), "mercari").alias("found"), F.size(html.listing_cards(F.col("html"), "mercari", "https://shop.example")).alias("cards")).select("page_id", "found.description", "found.condition", "cards")
+
+
+#: A page of each marketplace for a part: cards that are read, cards that are not, and a detail.
+PAGES = {
+    "mercari": """<body><script>no</script><ul><li class="list"><a href="/i/{p_partkey}/undefined"><h2 class="name"> {p_name} </h2><p class="price">{p_size},000 YEN</p></a></li><li class="list x"><h2 class="name">{p_brand}</h2></li><li class="other"><h2 class="name">no</h2></li></ul>
+<dl class="m-goodsTable"><dt>Size</dt><dd>L</dd><dt>Item condition</dt><dd> {p_type} </dd></dl><p class="m-itemDetail__content">one<br>{p_name}</p></body>""",
+    "rakuma": """<body><ul class="item-lists"><li class="list"><a href="https://h.example/{p_partkey}"><h2 class="name">{p_name}</h2><p class="price">{p_size} YEN</p></a><ul><li class="list">no</li></ul></li></ul>
+<dl class="attrContainer__detail"><dd><a href="/s?condition=1">{p_type}</a></dd></dl><div class="itemDetail__content">{p_name}<span> &amp; two </span></div></body>""",
+    "yahooauction": """<body><li class="itemCard"><a href="/a"></a><div class="itemCard__itemName">no price yet</div><div class="g-priceDetails"><li class="g-priceDetails__item"><span class="g-title">Current Price</span><span class="g-price">1</span></li></div></li>
+<li class="itemCard"><a href="/b/{p_partkey}"></a><div class="itemCard__itemName">{p_name}</div><div class="g-priceDetails"><li class="g-priceDetails__item"><span class="g-title">現在価格</span><span class="g-price">2</span></li><li class="g-priceDetails__item"><span class="g-title">Buyout Price</span><span class="g-price">{p_size}</span></li></div></li>
+<li class="itemCard"><a href="/c/{p_partkey}"></a><div class="itemCard__itemName">{p_brand}</div><div class="itemCard__fleamarket"></div><div class="g-priceDetails"><li class="g-priceDetails__item"><span class="g-title">Current Price</span><span class="g-price">3</span></li></div></li>
+<li class="itemDetail__list"><div class="itemDetail__listName">Bidder condition</div><div class="itemDetail__listValue">no</div></li><li class="itemDetail__list"><div class="itemDetail__listName">Item  Condition<span class="tooltip-auc">bidder</span></div><div class="itemDetail__listValue">{p_type}</div></li>
+<p class="m-itemDetail__content">{p_name}</p></body>""",
+}
+
+
+@query("""SELECT p_partkey, 'mercari' AS kind, 0 AS position, 'https://shop.example/i/' || p_partkey AS link, p_name AS name, p_size || ',000 YEN' AS price, NULL AS price_type, NULL AS listing_type, p_type AS condition, 'one' || chr(10) || p_name AS description FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'mercari', 1, NULL, p_brand, NULL, NULL, NULL, p_type, 'one' || chr(10) || p_name FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'rakuma', 0, 'https://h.example/' || p_partkey, p_name, p_size || ' YEN', NULL, NULL, p_type, p_name || chr(10) || '& two' FROM part WHERE p_partkey % 3 = 1
+UNION ALL SELECT p_partkey, 'yahooauction', 0, 'https://shop.example/b/' || p_partkey, p_name, CAST(p_size AS VARCHAR), 'buyout', 'auction', p_type, p_name FROM part WHERE p_partkey % 3 = 2
+UNION ALL SELECT p_partkey, 'yahooauction', 1, 'https://shop.example/c/' || p_partkey, p_brand, '3', 'fixed', 'fleamarket', p_type, p_name FROM part WHERE p_partkey % 3 = 2""")
+def marketplace_pages(spark, d):
+    """Cards and details of a page of each part, a third of them from each marketplace."""
+    def parsed(k: int, kind: str) -> DataFrame:
+        page = F.lit(PAGES[kind])
+        for name in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"):
+            page = F.replace(page, F.lit(f"{{{name}}}"), F.col(name).cast("string"))
+        df = read(spark, d, "part").where(F.col("p_partkey") % 3 == k).select("p_partkey", page.alias("html"))
+        df = df.select("p_partkey", html.detail(F.col("html"), kind).alias("found"), html.listing_cards(F.col("html"), kind, "https://shop.example").alias("cards"))
+        return df.select("p_partkey", F.lit(kind).alias("kind"), "found", F.posexplode("cards").alias("position", "card")).select("p_partkey", "kind", "position", "card.*", "found.*")
+
+    return reduce(DataFrame.unionByName, (parsed(k, kind) for k, kind in enumerate(html.KINDS)))
 
 
 # --- features and models
@@ -370,6 +405,45 @@ def depreciation_grid(spark, d):
     return rounded(df, "price_yen").select("l_orderkey", "l_linenumber", "device_age_years", "price_yen")
 
 
+@dataclass
+class Shifted:
+    """A model that SQL can follow: the scorer and a sum."""
+
+    by: int
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return linear(features.engineer(df)).withColumn("prediction", F.col("prediction") + self.by)
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'Apple' ELSE 'Android' END AS ecosystem, round(10000 + {QUALITY} * 100 - 6 * 500 + 2020 + 6 * cs + CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1000 END, 4) AS price_yen FROM ({SCORES})""")
+def ensemble_routes(spark, d):
+    """Apple's devices by one model, others and those without a brand by the other."""
+    brand = F.element_at(F.array(F.lit(" apple "), F.lit("Sony"), F.lit(None).cast("string")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    found = models.Ensemble(Shifted(0), Shifted(1000)).predict(phones(spark, d).withColumn("brand", brand)).withColumns({"ecosystem": scalars.ecosystem(F.col("brand")), "price_yen": F.col("prediction")})
+    return rounded(found, "price_yen").select("l_orderkey", "l_linenumber", "ecosystem", "price_yen")
+
+
+DUE = """WITH l AS (SELECT l_partkey, 50 + l_quantity AS battery, ['A', 'C'][l_linenumber % 2 + 1] AS condition, l_linenumber % 3 = 0 AS box FROM lineitem WHERE l_partkey % 7 <> 0),
+b AS (SELECT l_partkey, avg(battery) AS battery FROM l GROUP BY ALL), c AS (SELECT l_partkey, condition FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, condition) AS k FROM (SELECT l_partkey, condition, count(*) AS n FROM l GROUP BY ALL)) WHERE k = 1),
+x AS (SELECT l_partkey, box FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, box) AS k FROM (SELECT l_partkey, box, count(*) AS n FROM l GROUP BY ALL)) WHERE k = 1),
+s AS (SELECT p_partkey, CASE condition WHEN 'A' THEN 85 WHEN 'C' THEN 50 ELSE 70 END AS cs, greatest(80 - coalesce(battery, 80), 0) * 0.5 AS bp, 0 AS sp, CASE WHEN box THEN 3 ELSE 0 END AS bonus
+FROM part LEFT JOIN b ON b.l_partkey = p_partkey LEFT JOIN c ON c.l_partkey = p_partkey LEFT JOIN x ON x.l_partkey = p_partkey WHERE p_partkey % 5 <> 0) """
+
+
+@query(DUE + f"""SELECT 'p' || p_partkey AS product_id, round(round((10000 + {QUALITY} * 100 - 6 * 500 + 2020 + 6 * cs) * 175, 2), 0) AS predicted_price, 87.5 :: DOUBLE AS confidence_score, 'smart_v1_r2_0.875' AS model_version FROM s""")
+def forecast_due(spark, d):
+    """Forecasts of products without one today, by what their listings are like; products of no listing by the defaults."""
+    part, line = read(spark, d, "part"), read(spark, d, "lineitem").where("l_partkey % 7 <> 0")
+    product = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    products = part.select(product(F.col("p_partkey")).alias("product_id"), F.lit('{"storage":"64","ram":"4"}').alias("base_specs"), F.lit("M").alias("model_series"))
+    condition = F.when(F.col("l_linenumber") % 2 == 0, "A").otherwise("C")
+    listings = line.select(product(F.col("l_partkey")).alias("product_id"), (50 + F.col("l_quantity")).alias("battery_percentage"), condition.alias("condition_rank"), (F.col("l_linenumber") % 3 == 0).alias("has_box"))
+    day = F.when(F.col("p_partkey") % 5 == 0, today()).otherwise(F.date_sub(today(), 1))
+    known = part.where("p_partkey % 5 < 2").select(product(F.col("p_partkey")).alias("product_id"), day.alias("forecast_date"))
+    found = models.forecast(ensure_columns(products, PRODUCTS), ensure_columns(listings, LISTINGS), ensure_columns(known, FORECASTS), lambda x: linear(features.engineer(x)), 0.875, today(), now())
+    return rounded(found.withColumn("confidence_score", F.col("confidence_score").cast("double")), "predicted_price", places=0).select("product_id", "predicted_price", "confidence_score", "model_version")
+
+
 def _impact_sql() -> str:
     q = lambda bp="bp", sp="sp", bonus="bonus": QUALITY.replace("bp", bp).replace("sp", sp).replace("+ bonus", f"+ {bonus}")
     cases = (("battery_to_100", "battery < 99.5", q(bp="0")), ("has_box_true", "NOT box", q(bonus="(3 + CASE WHEN charger THEN 7 ELSE 0 END)")), ("has_charger_true", "NOT charger", q(bonus="(2 + CASE WHEN box THEN 8 ELSE 0 END)")), ("screen_clean", "screen <> 'clean'", q(sp="0")))

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_link, trim_lines
+from .. import config
+from ..functions.scalars import is_condition_label, normalize_link, trim_lines
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style", "noscript"))
@@ -103,45 +104,40 @@ def cards_of(page: Node, kind: str) -> list[dict]:
                 title, price = text_of(item.one("span", "g-title")), text_of(item.one("span", "g-price"))
                 if title is None or price is None:
                     continue
-                if "Buyout Price" in title or "即決価格" in title:
-                    row["buyout"] = price
-                elif "Price" in title and "Current" not in title:
-                    row["fixed"] = price
-                elif "Current Price" in title or "現在価格" in title:
-                    row["current"] = price
+                row |= {kind_of_price(title): price}
         found.append(row)
     return found
 
 
+def kind_of_price(label: str) -> str:
+    """The first kind whose words a label has, without those it mustn't have; else one that is not read."""
+    return next((kind for kind, words, without in config.PRICE_LABELS if any(w in label for w in words) and not any(w in label for w in without)), "other")
+
+
 def condition_of(page: Node, kind: str) -> str | None:
     table = "m-goodsTable" if kind == "mercari" else "attrContainer__detail"
-    if kind != "yahooauction":
-        linked = next((a for dl in page.all("dl", table) for a in dl.all("a") if "condition=" in a.attributes.get("href", "")), None)
-        if linked:
-            return linked.text()
-        dl = page.one("dl", table) if kind == "mercari" else None
-        for dt in dl.all("dt") if dl else ():
-            said = (dt.text() or "").lower()
-            if "condition" in said or "状態" in said:
-                own = dt.parent.children
-                after = next((n for n in own[own.index(dt) + 1 :] if isinstance(n, Node) and n.tag == "dd"), None)
-                if after:
-                    return after.text()
-        return None
-    for li in page.all("li", "itemDetail__list"):
-        name = li.one("div", "itemDetail__listName")
-        if name and _is_condition(" ".join((name.text(" ", without="tooltip-auc") or "").split())):
-            value = li.one("div", "itemDetail__listValue")
-            if value:
-                return value.text()
+    linked = next((a for dl in page.all("dl", table) for a in dl.all("a") if "condition=" in a.attributes.get("href", "")), None)
+    if linked:
+        return linked.text()
+    dl = page.one("dl", table) if kind == "mercari" else None
+    for dt in dl.all("dt") if dl else ():
+        said = (dt.text() or "").lower()
+        if "condition" in said or "状態" in said:
+            own = dt.parent.children
+            after = next((n for n in own[own.index(dt) + 1 :] if isinstance(n, Node) and n.tag == "dd"), None)
+            if after:
+                return after.text()
     return None
 
 
-def _is_condition(label: str) -> bool:
-    from .. import config
-
-    low = label.lower()
-    return not any(s in low for s in config.CONDITION_LABEL_SKIP) and ("item condition" in low or low == "condition" or any(s in label for s in config.CONDITION_LABEL_JP))
+def labelled(page: Node) -> list[dict]:
+    """Labels and values of an auction's detail list, without tooltips."""
+    found = []
+    for li in page.all("li", "itemDetail__list"):
+        name, value = li.one("div", "itemDetail__listName"), li.one("div", "itemDetail__listValue")
+        if name and value:
+            found.append({"label": name.text(" ", without="tooltip-auc"), "value": value.text()})
+    return found
 
 
 def description_of(page: Node, kind: str) -> str | None:
@@ -169,19 +165,33 @@ def listing_cards(html: Column, kind: str, base: str) -> Column:
     return rows if kind != "yahooauction" else F.filter(rows, lambda x: x["link"].isNotNull() & x["price"].isNotNull())
 
 
-def detail_condition(html: Column, kind: str) -> Column:
-    @F.pandas_udf("string")
-    def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: condition_of(Page(h or "").root, kind))
+DETAILS = "condition string, description string, labelled array<struct<label: string, value: string>>"
 
-    return parse(html)
 
+def detail(html: Column, kind: str) -> Column:
+    """condition and description of a detail page, from one parse.
 
-def detail_description(html: Column, kind: str) -> Column:
-    """The item's description, else the page's visible text, a line for each string."""
+    The condition is null without one. The description is the item's, else the page's visible text, a line for each
+    string. Null and empty pages give nulls.
+    """
+
+    @F.pandas_udf(DETAILS)
+    def parse(pages: pd.Series) -> pd.DataFrame:
+        roots = [Page(h or "").root for h in pages]
+        auction = kind == "yahooauction"
+        return pd.DataFrame(
+            {"condition": [None if auction else condition_of(r, kind) for r in roots], "description": [description_of(r, kind) for r in roots], "labelled": [labelled(r) if auction else [] for r in roots]},
+            index=pages.index, dtype=object,
+        )
+
+    found = parse(html)
+    of_label = F.get(F.filter(found["labelled"], lambda x: is_condition_label(x["label"])), F.lit(0))["value"]
+    return F.struct(F.coalesce(found["condition"], of_label).alias("condition"), trim_lines(found["description"]).alias("description"))
 
-    @F.pandas_udf("string")
-    def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: description_of(Page(h or "").root, kind))
 
-    return trim_lines(parse(html))
+def detail_condition(html: Column, kind: str) -> Column:
+    return detail(html, kind)["condition"]
+
+
+def detail_description(html: Column, kind: str) -> Column:
+    return detail(html, kind)["description"]

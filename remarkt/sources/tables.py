@@ -17,8 +17,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """With a header in each file and, for spreadsheets, a byte order mark before it."""
+    first = df.columns[0]
+    named = df.withColumnRenamed(first, "\ufeff" + first) if mark else df
+    named.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-derived cases of the rules, and properties of the plans."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,12 @@ def test_pages(spark):
     page = spark.createDataFrame([(DETAIL,), ("<body><style>s</style>a<div>b</div></body>",), (None,)], "html string")
     found = page.select(html.detail_condition("html", "mercari").alias("a"), html.detail_condition("html", "yahooauction").alias("b"), html.detail_description("html", "mercari").alias("c")).collect()
     assert [tuple(r) for r in found] == [("Good", "Used", "one\ntwo"), (None, None, "a\nb"), (None, None, None)]
+    both = page.select(html.detail(F.col("html"), "mercari").alias("d")).collect()
+    assert [tuple(r.d) for r in both] == [("Good", "one\ntwo"), (None, "a\nb"), (None, None)]
+    # a page is parsed once for both
+    plan = page.select(html.detail(F.col("html"), "mercari").alias("d"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.split("ArrowEvalPython")[1].split("\n")[0].count("parse(") == 1
+    assert [html.kind_of_price(x) for x in ("Buyout Price", "即決価格", "Price", "Current Price", "現在価格", "Bids")] == ["buyout", "buyout", "fixed", "current", "current", "other"]
 
 
 NOW, DAY = "2026-01-02 03:04:05", "2026-01-02"
@@ -192,7 +199,14 @@ def test_price_model_and_questions(spark, tmp_path):
     half = models.by_age(model.features(row), 2.5, 2.5).first()
     assert half.release_year == 2024
     assert {r.scenario for r in models.impact(row, "key", model.predict).collect()} == {"battery_to_100"}
-    assert models.impact(row, "key", model.predict, all_=True).count() == 7
+    every = models.impact(row, "key", model.predict, all_=True)
+    assert every.count() == 7
+    assert [c["scenario"] for c in json.loads(models.impact_payload(every, "key").first().json)] == sorted(name for name, *_ in models.SCENARIOS)
+    pair = models.Ensemble(model, back)
+    routed = df.limit(4).withColumn("brand", F.when(F.col("key") == "1", "Apple"))
+    assert sorted((r.key, r.prediction) for r in pair.predict(routed).collect()) == sorted((r.key, r.prediction) for r in model.predict(df.limit(4)).collect())
+    versions = spark.range(1).select(scalars.model_version(F.lit(0.875)).alias("a"), scalars.model_version(F.lit(0.875), "smart_v1.0").alias("b")).first()
+    assert tuple(versions) == ("smart_v1_r2_0.875", "smart_v1.0_r2_0.875")
 
 
 def test_junk_model(spark):
@@ -220,7 +234,11 @@ def test_tables_and_configuration(spark, tmp_path):
     df = tables.read_csv(spark, str(path))
     assert [tuple(r) for r in df.collect()] == [("two\nlines", "5,000")] and df.columns == ["name", "price"]
     tables.write_csv(df, str(tmp_path / "out"))
-    assert tables.read_csv(spark, str(tmp_path / "out")).count() == 1
+    back = tables.read_csv(spark, str(tmp_path / "out"))
+    assert back.columns == ["name", "price"] and [tuple(r) for r in back.collect()] == [("two\nlines", "5,000")]
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbf") for f in (tmp_path / "out").glob("part-*.csv"))
+    tables.write_csv(df, str(tmp_path / "plain"), mark=False)
+    assert all(f.read_bytes().startswith(b"name,") for f in (tmp_path / "plain").glob("part-*.csv"))
     (tmp_path / "c.json").write_text('{"a": 1}')
     assert tables.read_config(str(tmp_path / "none"), str(tmp_path / "c.json")) == {"a": 1} and tables.read_config("none") == {}
     lake = spark.createDataFrame([("extracted_layer2", None, True), ("extracted_layer2", None, None), ("x", False, None), ("x", None, None)], "status string, processed boolean, is_junk boolean")
