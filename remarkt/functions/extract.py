@@ -87,17 +87,12 @@ def clean_title(title: Column, compat: bool = True) -> Column:
     return text
 
 
-def numbers(text: Column) -> dict[str, Column]:
-    """Of each line in the order of trying the number that follows it, empty where the line isn't there."""
-    return {name: F.regexp_extract(text, pattern, 1) for name, pattern in config.LINES}
-
-
-def model(found: dict[str, Column]) -> tuple[Column, Column]:
-    """Line and number: the first line that is there."""
-    line = number = F.lit(None).cast("string")
-    for name, own in reversed(found.items()):
-        line, number = F.when(own != "", name).otherwise(line), F.when(own != "", F.trim(own)).otherwise(number)
-    return line, number
+def model(text: Column) -> Column:
+    """(line, number): the first line whose pattern matches; null where none does."""
+    found = F.lit(None).cast("struct<line: string, number: string>")
+    for name, pattern in reversed(config.LINES):
+        found = F.when(text.rlike(pattern), F.struct(F.lit(name).alias("line"), F.trim(F.regexp_extract(text, pattern, 1)).alias("number"))).otherwise(found)
+    return found
 
 
 def sizes(text: Column, pattern: str = config.SIZE) -> Column:
@@ -140,10 +135,10 @@ def variant(found: Column, compat: bool = True) -> Column:
 
 
 def title_features(df: DataFrame, title: str = "name", compat: bool = True) -> DataFrame:
-    """df and the title's features; columns of those names are replaced. What is used twice is a column first, so that each pattern runs once."""
+    """df and the title's features; columns of those names are replaced. What is used twice is a column first, so that no pattern runs again."""
     text = F.col("_title")
-    kept = {"_brands": tags(text, config.BRANDS, compat), "_variants": tags(text, config.VARIANTS, compat), "_colors": tags(text, config.COLORS, compat)} | {f"_number_{name}": number for name, number in numbers(text).items()}
-    line, number = model({name: F.col(f"_number_{name}") for name, _ in config.LINES})
+    kept = {"_model": model(text), "_brands": tags(text, config.BRANDS, compat), "_variants": tags(text, config.VARIANTS, compat), "_colors": tags(text, config.COLORS, compat)}
+    line, number = F.col("_model.line"), F.col("_model.number")
     brand = F.coalesce(first(F.col("_brands")), F.create_map(*(F.lit(x) for p in config.BRAND_OF_LINE.items() for x in p))[line])
     new = {
         "original_title": F.coalesce(F.col(title).cast("string"), F.lit("")), "preprocessed_title": text, "brand": brand, "model_line": line, "model_number": number, "variant": variant(F.col("_variants"), compat),
