@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignment_report
 from .byte_cnn import language_report
 from .chosen_path import near_duplicates
 from .compression import compression_rules
@@ -62,8 +63,12 @@ def op10_latent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_histogram_sort, op2_nnls_packing, op3_chosen_path, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op8_hmm, op9_sanitise, op10_latent_votes)
+    own = (op1_histogram_sort, op2_nnls_packing, op3_chosen_path, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op8_hmm, op9_sanitise, op10_latent_votes, op11_alignment)
     return {f.__name__: f for f in own}
 
 
