@@ -18,6 +18,7 @@ from .nnls_packing import packing_report
 from .ranked_search import search
 from .sanitise import personal_data_report
 from .suffix_leaks import leak_report
+from .warc import archive_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +73,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_histogram_sort, op2_nnls_packing, op3_chosen_path, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op8_hmm, op9_sanitise, op10_latent_votes, op11_alignment, op12_ranked_search)
+    own = (op1_histogram_sort, op2_nnls_packing, op3_chosen_path, op4_suffix_leaks, op5_compression, op6_byte_cnn, op7_licenses, op8_hmm, op9_sanitise, op10_latent_votes, op11_alignment, op12_ranked_search, op13_warc)
     return {f.__name__: f for f in own}
 
 
@@ -107,7 +112,11 @@ x AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / CAST(2 * df + 1 AS DOUBLE
 p AS (SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // l)))) AS BIGINT) AS score FROM q JOIN c ON q.term = c.term JOIN x ON x.term = q.term, s GROUP BY ALL)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0 QUALIFY rank <= 20"""
 
+ARCHIVE_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Of those that SQL can express. The others learn, iterate, compress or choose among many right results; tests/llm holds each against a brute-force version."""
-    return {"op3_chosen_path": NEAR_SQL, "op4_suffix_leaks": LEAKS_SQL, "op12_ranked_search": SEARCH_SQL}
+    return {"op3_chosen_path": NEAR_SQL, "op4_suffix_leaks": LEAKS_SQL, "op12_ranked_search": SEARCH_SQL, "op13_warc": ARCHIVE_SQL}

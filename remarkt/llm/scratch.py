@@ -35,6 +35,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, BATCH_BYTES)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder's path among this application's tables, deleted as they are."""
+    path = f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return it as read back: lineage ends here, and lost executors cost one read.
 
@@ -42,10 +50,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if _open:
-        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
