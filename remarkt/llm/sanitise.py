@@ -113,10 +113,19 @@ def beside(near: int) -> Column:
 MEANT = r"length(w) >= 3 and not w rlike '[0-9]' and not contains(w, '\uE000')"
 
 
+def texts_hit(docs: DataFrame) -> DataFrame:
+    """Key, text and spans of the rows that hold an entity.
+
+    The row's number keeps the filter above the patterns: pushed below them it would hold them once more, inside a
+    lambda even for each 128 spans.
+    """
+    marked = with_spans(docs.select("text")).withColumn("_at", F.monotonically_increasing_id())
+    return marked.where((F.size("_spans") > 0) & (F.col("_at") >= 0)).select(*text_key(), F.struct("_t", "_spans").alias("one"))
+
+
 def texts_with_entities(docs: DataFrame, near: int) -> DataFrame:
     """One row for each unlike text of docs (text) that holds an entity: its key, copies, text, spans, and for each span the entity and terms beside it."""
-    hit = with_spans(docs.select("text")).where(F.size("_spans") > 0).select(*text_key(), F.struct("_t", "_spans").alias("one"))
-    one = hit.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("one").alias("one"))
+    one = texts_hit(docs).groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("one").alias("one"))
     return staged(one.select(*KEY, "copies", "one.*").withColumn("around", beside(near)), "entities")
 
 
@@ -125,6 +134,9 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, support: int = SUPPORT,
 
     A term is a candidate for an entity if any text has it beside that; both its counts are over whole texts. No
     entity's or term's texts are gathered: they stay rows, and joins on a hot one are split by adaptive execution.
+    Words meet candidates by term, not by text and entity: a pair that can pass has a term in few more texts than its
+    entity, so a term's rows are some times the mentions of its entities, while a text's words times its entities, or
+    an entity's texts times its terms, have no such bound.
     """
     near = texts.select(*KEY, "copies", F.explode("around").alias("x")).select(*KEY, "copies", "x.*")
     held = near.select("entity", *KEY, "copies").distinct()

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from remarkt.llm.sanitise import personal_data_report, sanitise
+from remarkt.llm.sanitise import personal_data_report, sanitise, texts_hit
 
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -168,14 +168,28 @@ def test_redaction_equals_brute_force(documents):
 
 @pytest.mark.parametrize("make", [personal_data_report, sanitise])
 def test_time_of_many_entities_in_one_text(documents, make):
-    took = []
-    for n in (1, 8000):
-        docs = documents([" and then more ".join(f"user{k}@host{k}.example" for k in range(n)) + " word" * (8000 - n)])
-        make(docs).collect()
-        began = time.time()
-        make(docs).collect()
-        took.append(time.time() - began)
-    assert took[1] - took[0] < 4
+    """Twice the entities take little more than twice the time, on any machine."""
+
+    def seconds(n):
+        docs = documents([" and then more ".join(f"user{k}@host{k}.example" for k in range(n))])
+        took = []
+        for _ in range(2):
+            began = time.time()
+            make(docs).collect()
+            took.append(time.time() - began)
+        return min(took)
+
+    seconds(1000)
+    assert seconds(16000) < 2.5 * seconds(8000)
+
+
+@pytest.mark.parametrize("make", [personal_data_report, sanitise, texts_hit])
+def test_no_pattern_in_a_filter(documents, make):
+    """Patterns run once: no filter of the plan holds one but the cheap guards."""
+    plan = make(documents(["a@b.example"]))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter ")]
+    assert make is not texts_hit or filters
+    assert not [f for f in filters if "split(" in f or "regexp_" in f]
 
 
 def test_domain_of_many_labels(documents):
