@@ -13,6 +13,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,19 +62,41 @@ class Tokenizers:
             self.bytes_a[n] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in spelt], np.int64) for spelt in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both; of a piece that either does not give back byte for byte, none. The second puts the leading space of a piece there itself."""
+    def encode(self, pieces: list[str]) -> tuple[Side, Side]:
+        """Ids by both; of a piece that either does not give back byte for byte, none. The second puts the leading space of a piece there itself."""
         a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
         b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        for i, p in enumerate(pieces):
-            if p == " ":
-                b[i] = [self.space]
-            whole = p.encode()
-            if b"".join([self.bytes_b[k] for k in b[i]]) != whole or b"".join([self.bytes_a[k] for k in a[i]]) != whole:
+        for i in [i for i, p in enumerate(pieces) if p == " "]:
+            b[i] = [self.space]
+        whole = [p.encode() for p in pieces]
+        sides = [Side(ids, spelt, sizes) for ids, spelt, sizes in ((a, self.bytes_a, self.sizes_a), (b, self.bytes_b, self.sizes_b))]
+        if all(side.spelling() == b"".join(whole) for side in sides) and all((side.totals() == np.fromiter(map(len, whole), np.int64, len(whole))).all() for side in sides):
+            return sides[0], sides[1]
+        for i, w in enumerate(whole):
+            if any(b"".join([spelt[k] for k in ids[i]]) != w for ids, spelt in ((a, self.bytes_a), (b, self.bytes_b))):
                 a[i], b[i] = [], []
-        return a, b
+        return Side(a, self.bytes_a, self.sizes_a), Side(b, self.bytes_b, self.sizes_b)
+
+
+class Side:
+    """What one tokenizer makes of pieces: flat ids, the end of each in bytes, and the number of ids of each piece."""
+
+    def __init__(self, ids: list[list[int]], spelt: list[bytes], sizes: np.ndarray):
+        self.count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = list(chain.from_iterable(ids))
+        self.spelt = spelt
+        self.ids = np.array(self.flat, np.int64)
+        self.ends = np.cumsum(sizes[self.ids])
+
+    def spelling(self) -> bytes:
+        return b"".join(map(self.spelt.__getitem__, self.flat))
+
+    def totals(self) -> np.ndarray:
+        """Bytes of each piece."""
+        return np.diff(np.concatenate(([0], self.ends))[upto(self.count)])
 
 
 @lru_cache(maxsize=1)
@@ -83,7 +106,9 @@ def tokenizers(a: str, b: str) -> Tokenizers:
 
 def elementary(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each elementary interval the token of either side that owns it, and whether both end with it. The last ends are equal."""
-    ends = np.union1d(ends_a, ends_b)
+    # union1d of two sorted arrays: a stable sort merges their two runs
+    ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+    ends = ends[groups(ends)[0]]
     a, b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     return a, b, (ends_a[a] == ends) & (ends_b[b] == ends)
 
@@ -119,13 +144,6 @@ def joined(offsets: np.ndarray, values: pa.Array, sign: str) -> pa.Array:
     return pc.binary_join(lists(offsets, values), sign)
 
 
-def lengths(ids: list[list[int]], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat ids, the end of each in bytes, and the number of ids of each piece."""
-    count = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((k for each in ids for k in each), np.int64, int(count.sum()))
-    return flat, np.cumsum(np.fromiter(map(len, sizes), np.int64, len(sizes))[flat]), count
-
-
 def upto(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(counts)))
 
@@ -135,9 +153,8 @@ def aligned(column: pa.Array, both: Tokenizers) -> dict[str, pa.Array]:
     pieces, first = cut(column)
     coded = pieces.dictionary_encode()
     known, of = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-    a, b = both.encode(known)
-    a, ends_a, n_a = lengths(a, both.bytes_a)
-    b, ends_b, n_b = lengths(b, both.bytes_b)
+    side_a, side_b = both.encode(known)
+    a, ends_a, n_a, b, ends_b, n_b = side_a.ids, side_a.ends, side_a.count, side_b.ids, side_b.ends, side_b.count
     # the distinct pieces one after the other: where one ends, both sides end
     at_a, at_b, closes = elementary(ends_a, ends_b)
     piece_a, piece_b = np.repeat(np.arange(len(known)), n_a), np.repeat(np.arange(len(known)), n_b)
