@@ -42,12 +42,48 @@ def any_of(words) -> str:
     return "|".join(re.sub(r"([.\\+*?\[\]^$(){}=!<>|:#\-])", r"\\\1", w) for w in words)
 
 
+def trie(words) -> str:
+    """A pattern shaped like the words' trie: one branch for each next character, the longest word first."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def shape(node: dict) -> str:
+        branches = "|".join(any_of([c]) + shape(below) for c, below in sorted(node.items()) if c)
+        return f"(?:{branches})" + ("?" if "" in node else "") if branches else ""
+
+    return shape(root)
+
+
+#: Characters inside which no word starts or ends; all others, Japanese ones too, are edges.
+INSIDE = "A-Za-z0-9_"
+
+
+def walked(text: Column, words: dict[str, tuple[str, ...]], compat: bool = True) -> Column:
+    """Names of the dictionary words that a trie matcher finds in one walk over the text, in any case.
+
+    It tries the longest word that starts where it stands and that an edge or the end follows, and goes on behind that
+    edge, which starts no word itself. Where no word fits it passes one edge, or a whole run of other characters and
+    the edge behind it. Each match of the pattern is one such step, so that the walk stays inside the JVM.
+    """
+    known = aliases(words, compat)
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    edge = f"(?:[^{INSIDE}]|\\z)"
+    steps = F.regexp_extract_all(F.lower(text), F.lit(f"({trie(known)}){edge}|[{INSIDE}]++{edge}|[^{INSIDE}]"), F.lit(1))
+    return F.transform(F.filter(steps, lambda w: w != ""), lambda w: table[w])
+
+
 def tags(text: Column, words: dict[str, tuple[str, ...]], compat: bool = True) -> Column:
-    """Names of all dictionary words in order: the longest at each place, not inside a Latin word, in any case."""
+    """Names of all dictionary words in order: in compat mode those a trie matcher finds, else the longest at each place that is not inside a Latin word."""
+    if compat:
+        return walked(text, words)
     known = aliases(words, compat)
     longest = sorted(known, key=lambda a: (-len(a), a))
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    found = F.regexp_extract_all(text, F.lit(f"(?iu)(?<![A-Za-z0-9_])(?:{any_of(longest)})(?![A-Za-z0-9_])"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(f"(?iu)(?<![{INSIDE}])(?:{any_of(longest)})(?![{INSIDE}])"), F.lit(0))
     return F.transform(found, lambda w: table[F.lower(w)])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -315,6 +316,38 @@ def title_features(spark, d):
     return extract.title_features(titles(spark, d)).select("p_partkey", "model_line", "model_number", "brand", "color", "capacity", "ram")
 
 
+#: Words amid edges of every kind: Japanese neighbours, nested and colliding aliases, words inside words.
+TAGGED = (*(w for words in (config.BRANDS, config.VARIANTS, config.COLORS) for own in words.values() for w in own), "plain", "x黒", "iPhoneケース", "Promax", "Pro Maxi", "金色", "Rose Golden", "ProMax", "黒い")
+EDGES = (" ", "", "黒", "/", "_", "い", "  ", "1", "-", "の", "・", "Pro ")
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def walked_sql(words: dict[str, tuple[str, ...]]) -> str:
+    known = extract.aliases(words, True)
+    longest = "|".join(re.sub(r"([.+*?()])", r"\\\1", w) for w in sorted(known, key=lambda w: -len(w)))
+    steps = f"regexp_extract_all(lower(title), '({longest})(?:[^a-z0-9_]|$)|[a-z0-9_]+(?:[^a-z0-9_]|$)|[^a-z0-9_]', 1)"
+    return f"list_transform(list_filter({steps}, lambda x: x <> ''), lambda x: MAP({sql_list(known)}, {sql_list(known.values())})[x])"
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, w[l_partkey % {len(TAGGED)} + 1] || e[l_orderkey % {len(EDGES)} + 1] || w[l_suppkey % {len(TAGGED)} + 1] || e[(l_orderkey + l_linenumber) % {len(EDGES)} + 1] || w[l_orderkey % {len(TAGGED)} + 1] AS title
+FROM lineitem, (SELECT {sql_list(TAGGED)} AS w, {sql_list(EDGES)} AS e)), f AS (SELECT *, {walked_sql(config.BRANDS)} AS b, {walked_sql(config.VARIANTS)} AS v, {walked_sql(config.COLORS)} AS c FROM t),
+j AS (SELECT *, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ' ') AS one FROM f)
+SELECT l_orderkey, l_linenumber, title, array_to_string(b, '/') AS brands, array_to_string(v, '/') AS variants, array_to_string(c, '/') AS colors,
+CASE WHEN len(v) = 0 THEN NULL WHEN contains(one, 'Pro Max') THEN regexp_replace(trim(replace(replace(one, 'Pro Max', ''), 'Pro', 'Pro Max')), '\\s+', ' ', 'g') ELSE one END AS variant FROM j""")
+def title_tags(spark, d):
+    word = lambda i: F.element_at(F.array(*(F.lit(x) for x in TAGGED)), (i % len(TAGGED) + 1).cast("int"))
+    edge = lambda i: F.element_at(F.array(*(F.lit(x) for x in EDGES)), (i % len(EDGES) + 1).cast("int"))
+    order = F.col("l_orderkey")
+    title = F.concat(word(F.col("l_partkey")), edge(order), word(F.col("l_suppkey")), edge(order + F.col("l_linenumber")), word(order))
+    made = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", title.alias("title"))
+    found = made.withColumns({n: extract.walked(F.col("title"), words) for n, words in (("b", config.BRANDS), ("v", config.VARIANTS), ("c", config.COLORS))})
+    joined = [F.array_join(x, "/").alias(n) for x, n in (("b", "brands"), ("v", "variants"), ("c", "colors"))]
+    return found.select("l_orderkey", "l_linenumber", "title", *joined, extract.variant(F.col("v")).alias("variant"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size + 50 END AS battery_percentage, p_size % 3 <> 0 AS has_box, p_size % 4 = 0 AS has_scratches, CASE WHEN p_size % 4 = 0 THEN 'scratched' ELSE 'clean' END AS screen_condition, p_size % 5 = 0 AS is_sim_free, CASE WHEN p_size % 7 = 0 THEN 'restricted' ELSE 'none' END AS network_restriction FROM part""")
 def description_features(spark, d):
     k = F.col("p_size")
