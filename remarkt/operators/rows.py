@@ -63,9 +63,13 @@ def modes(df: DataFrame, keys: Sequence[str], averages: dict[str, str], modes_of
     return df.groupBy(*keys).agg(*(F.avg(c).alias(n) for n, c in averages.items()), *(F.coalesce(F.mode(c, True), F.lit(d)).alias(c) for c, d in modes_of.items()))
 
 
+def digest(key: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def hash_share(key: Column, seed: int = 42) -> Column:
     """A number from 0 to 99 that depends on the key and seed alone."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100))
+    return F.pmod(F.conv(F.substring(digest(key, seed), 1, 8), 16, 10).cast("bigint"), F.lit(100))
 
 
 def split(df: DataFrame, key: str, train_percent: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +96,8 @@ def stratified_split(df: DataFrame, key: str, label: str, train_percent: int = 8
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows by a digest of their key, the same whatever the partitions."""
+    return df.orderBy(digest(F.col(key), seed), key).limit(n)
 
 
 def without_orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

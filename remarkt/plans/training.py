@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +38,31 @@ def product_baseline(listings: DataFrame, key: str = "product_id") -> DataFrame:
     return found.withColumnsRenamed({"condition_rank": "condition"})
 
 
-def word_scores(df: DataFrame, text: str, terms: int = 500, least: float = 2, most: float = 0.8) -> DataFrame:
-    """df and scores: a map of words and pairs of words to their weight, for the terms in at least so many rows and at most such a share."""
-    filled = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    stages = [
-        RegexTokenizer(inputCol="_text", outputCol="_w1", pattern=r"\W+"), NGram(n=2, inputCol="_w1", outputCol="_w2"), SQLTransformer(statement="SELECT *, concat(_w1, _w2) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=terms, minDF=least, maxDF=most), IDF(inputCol="_tf", outputCol="_idf"),
-    ]
-    model = Pipeline(stages=stages).fit(filled)
-    names = F.array(*(F.lit(t) for t in model.stages[3].vocabulary))
-    pairs = F.filter(F.arrays_zip(names.alias("t"), vector_to_array("_idf").alias("s")), lambda x: x["s"] > 0)
-    return model.transform(filled).withColumn("scores", F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["t"], x["s"])))).drop("_text", "_w1", "_w2", "_terms", "_tf", "_idf")
+def term_weights(df: DataFrame, key: str, text: str, terms: int = 500, least: int = 2, most: float = 0.8) -> DataFrame:
+    """key, term and score: frequency times inverse document frequency, as rows, of words and pairs of neighbours in a key's text.
+
+    Terms are those in at least so many keys and at most such a share of all, the most frequent ones, of ties the
+    smaller. Null texts have none. Terms stay rows: the vocabulary is joined, by broadcast of its bounded size.
+    """
+    words = F.expr(r"regexp_extract_all(lower(coalesce(_text, '')), '[a-z0-9_]+', 0)")
+    one = df.select(F.col(key).alias(key), F.col(text).alias("_text")).select(key, words.alias("_w"))
+    pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1)))).otherwise(F.array().cast("array<string>"))
+    counts = one.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("_tf"))
+    rows_ = df.agg(F.count(F.lit(1)).alias("_rows"))
+    frequent = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("_tf").alias("_all")).join(F.broadcast(rows_), how="cross")
+    vocabulary = frequent.where((F.col("_df") >= least) & (F.col("_df") <= most * F.col("_rows"))).orderBy(F.desc("_all"), "term").limit(terms)
+    weight = F.log((F.col("_rows") + 1) / (F.col("_df") + 1))
+    return counts.join(F.broadcast(vocabulary), "term").select(key, "term", (F.col("_tf") * weight).alias("score"))
+
+
+def mean_weights(df: DataFrame, key: str, text: str, n: int = 30, **bounds: float) -> DataFrame:
+    """The n terms of the highest mean score over all rows, of ties the smaller."""
+    total = df.agg(F.count(F.lit(1)).alias("_rows"))
+    each = term_weights(df, key, text, **bounds).groupBy("term").agg(F.sum("score").alias("_s"))
+    return each.join(F.broadcast(total), how="cross").select("term", F.round(F.col("_s") / F.col("_rows"), 9).alias("score")).orderBy(F.desc("score"), "term").limit(n)
+
+
+def keywords(df: DataFrame, key: str, text: str, n: int = 5, **bounds: float) -> DataFrame:
+    """Of each key its n terms of the highest score over 0, joined; of ties the smaller first. Keys without any give no row. A key has as many terms as the vocabulary at most."""
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "term"))), 1, n)
+    return term_weights(df, key, text, **bounds).where("score > 0").groupBy(key).agg(F.transform(best, lambda x: x["term"]).alias("keywords"))

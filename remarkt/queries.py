@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions import extract, features, scalars
-from .operators import rows, statistics
-from .plans import etl, models, search, training
+from .operators import ranks, rows, statistics
+from .plans import etl, models, search, training, trigrams
 from .schema import FORECASTS, LISTINGS, PRICE_HISTORY, PRODUCTS, RAW_ITEMS, ensure_columns
-from .sources import html, tables
+from .sources import html, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,7 +233,10 @@ def union_sources(spark, d):
     return a.unionByName(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size")), allowMissingColumns=True)
 
 
-@query()
+SHARE_SQL = "CAST('0x' || substr(md5(o_orderkey || '|42'), 1, 8) AS BIGINT) % 100"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {SHARE_SQL} < 80 THEN 'train' ELSE 'test' END AS part FROM orders")
 def train_test_split(spark, d):
     train, test = rows.split(read(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -244,7 +248,7 @@ def stratified_split(spark, d):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query()
+@query("SELECT p_partkey, p_name FROM part ORDER BY md5(p_partkey || '|42'), p_partkey LIMIT 10")
 def sample_ten(spark, d):
     return rows.sample_rows(read(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", 10)
 
@@ -639,6 +643,79 @@ def training_rows(spark, d):
     return training.training_rows(df).select("name", "price", "source", "platform", "ecosystem", "condition")
 
 
-@query()
+def weights_sql(table: str, key: str, text: str) -> str:
+    return f"""w AS (SELECT {key}, regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9_]+') AS w FROM {table}), g AS (SELECT {key}, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS term FROM w),
+c AS (SELECT {key}, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM {table}),
+v AS (SELECT term, count(*) AS df, sum(tf) AS many FROM c GROUP BY term HAVING count(*) BETWEEN 2 AND 0.8 * (SELECT n FROM n) ORDER BY many DESC, term LIMIT 500), t AS (SELECT {key}, c.term, tf * ln((n + 1) / (df + 1)) AS score FROM c JOIN v ON c.term = v.term, n)"""
+
+
+@query(f"WITH {weights_sql('documents', 'doc_id', 'text')} SELECT term, round (sum(score) / any_value(n), 9) AS score FROM t, n GROUP BY term ORDER BY score DESC, term LIMIT 30")
 def word_keywords(spark, d):
-    return statistics.top_terms(training.word_scores(read(spark, d, "part").select("p_partkey", "p_name"), "p_name"), "scores")
+    return training.mean_weights(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {weights_sql('documents', 'doc_id', 'text')}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round (score, 9) DESC, term) AS k FROM t WHERE score > 0) SELECT doc_id, string_agg(term, '/' ORDER BY k) AS keywords FROM r WHERE k <= 5 GROUP BY doc_id")
+def document_keywords(spark, d):
+    return training.keywords(read(spark, d, "documents"), "doc_id", "text").select("doc_id", F.array_join("keywords", "/").alias("keywords"))
+
+
+# --- tables in buckets, layouts, ranks, trigrams
+
+
+def fresh(spark, name: str) -> str:
+    """A new folder in the one that all executors share."""
+    return f"{store.shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH old AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), a AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0),
+one AS (SELECT coalesce(old.o_orderkey, a.o_orderkey) AS o_orderkey, coalesce(old.o_orderstatus, a.o_orderstatus) AS o_orderstatus, coalesce(a.o_totalprice, old.o_totalprice) AS o_totalprice FROM old FULL JOIN a ON old.o_orderkey = a.o_orderkey),
+b AS (SELECT o_orderkey, 'Y' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 7 = 0)
+SELECT * FROM one UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM one)""")
+def bucket_merge(spark, d):
+    """Upsert, the same load again, then insert-if-absent, each on the buckets it touches alone."""
+    df = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    held = store.BucketTable(spark, fresh(spark, "orders"), "o_orderkey", 16)
+    held.create(df.where("o_orderkey % 3 <> 0"))
+    new = df.where("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1})
+    for _ in range(2):
+        held.upsert(new, "a", ["o_totalprice"])
+    held.insert_absent(df.where("o_orderkey % 7 = 0").withColumns({"o_orderstatus": F.lit("Y"), "o_totalprice": F.col("o_totalprice") * 2}), "b", ["o_totalprice"])
+    return held.read()
+
+
+@query("SELECT o_orderkey, o_orderstatus, 'new' AS state FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT o_orderkey, o_orderstatus, 'known' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def layout_membership(spark, d):
+    """Anti and semi join of two tables bucketed and sorted by the key: neither side is shuffled."""
+    name = uuid.uuid4().hex
+    lake = store.write_layout(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), f"remarkt_orders_{name}", "o_orderkey", 8, fresh(spark, "layout"), ["o_orderkey"])
+    known = store.write_layout(read(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey"), f"remarkt_lines_{name}", "l_orderkey", 8, fresh(spark, "layout"), ["l_orderkey"])
+    return rows.absent_from(lake, known, "o_orderkey", "l_orderkey").withColumn("state", F.lit("new")).unionByName(rows.present_in(lake, known, "o_orderkey", "l_orderkey").withColumn("state", F.lit("known")))
+
+
+#: Nine rows of ten have one key.
+HOT_KEY = "CASE WHEN l_linenumber % 10 < 9 AND l_orderkey % 10 < 9 THEN 0 ELSE l_suppkey END"
+
+
+@query(f"""SELECT k, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM (SELECT {HOT_KEY} AS k, l_extendedprice FROM lineitem) GROUP BY k""")
+def spread_quantiles(spark, d):
+    df = read(spark, d, "lineitem").select(F.expr(HOT_KEY).alias("k"), "l_extendedprice")
+    return rounded(ranks.quantiles(df, ["k"], "l_extendedprice", {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}), "q1", "median", "q3", "p95")
+
+
+@query(f"""WITH t AS (SELECT {HOT_KEY} AS k, l_quantity, l_returnflag, l_partkey FROM lineitem), a AS (SELECT k, l_quantity, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, l_quantity) AS i FROM t GROUP BY k, l_quantity),
+b AS (SELECT k, l_returnflag, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, l_returnflag) AS i FROM t GROUP BY k, l_returnflag), c AS (SELECT k, l_partkey, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, l_partkey) AS i FROM t GROUP BY k, l_partkey)
+SELECT a.k, l_quantity, l_returnflag, l_partkey FROM a JOIN b ON a.k = b.k AND a.i = 1 AND b.i = 1 JOIN c ON a.k = c.k AND c.i = 1""")
+def spread_modes(spark, d):
+    df = read(spark, d, "lineitem").withColumn("k", F.expr(HOT_KEY))
+    return ranks.modes(df, ["k"], ["l_quantity", "l_returnflag", "l_partkey"])
+
+
+#: Wildcards, a literal per cent sign, cases, no three letters in a row, no letters at all, nothing found.
+KEYWORDS = ("Widget", "WIDGET", "ld_wid", "s%ll%dg", "e b", "ro", "_", "%", "100\\%", "zzzz")
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS keyword, p_partkey, p_name FROM part WHERE p_name ILIKE '%{k}%' ESCAPE '\'" for k in KEYWORDS))
+def trigram_search(spark, d):
+    index = trigrams.TrigramIndex(spark, fresh(spark, "trigrams"), "p_partkey", "p_name", 16).build(read(spark, d, "part").select("p_partkey", "p_name"))
+    found = [index.search(k).select(F.lit(k).alias("keyword"), "p_partkey", "p_name") for k in KEYWORDS]
+    return reduce(DataFrame.unionByName, found)
