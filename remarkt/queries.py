@@ -662,11 +662,6 @@ def document_keywords(spark, d):
 # --- tables in buckets, layouts, ranks, trigrams
 
 
-def fresh(spark, name: str) -> str:
-    """A new folder in the one that all executors share."""
-    return f"{store.shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""WITH old AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), a AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0),
 one AS (SELECT coalesce(old.o_orderkey, a.o_orderkey) AS o_orderkey, coalesce(old.o_orderstatus, a.o_orderstatus) AS o_orderstatus, coalesce(a.o_totalprice, old.o_totalprice) AS o_totalprice FROM old FULL JOIN a ON old.o_orderkey = a.o_orderkey),
 b AS (SELECT o_orderkey, 'Y' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 7 = 0)
@@ -674,7 +669,7 @@ SELECT * FROM one UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_or
 def bucket_merge(spark, d):
     """Upsert, the same load again, then insert-if-absent, each on the buckets it touches alone."""
     df = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    held = store.BucketTable(spark, fresh(spark, "orders"), "o_orderkey", 16)
+    held = store.BucketTable(spark, store.fresh(spark, "orders"), "o_orderkey", 16)
     held.create(df.where("o_orderkey % 3 <> 0"))
     new = df.where("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1})
     for _ in range(2):
@@ -687,8 +682,8 @@ def bucket_merge(spark, d):
 def layout_membership(spark, d):
     """Anti and semi join of two tables bucketed and sorted by the key: neither side is shuffled."""
     name = uuid.uuid4().hex
-    lake = store.write_layout(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), f"remarkt_orders_{name}", "o_orderkey", 8, fresh(spark, "layout"), ["o_orderkey"])
-    known = store.write_layout(read(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey"), f"remarkt_lines_{name}", "l_orderkey", 8, fresh(spark, "layout"), ["l_orderkey"])
+    lake = store.write_layout(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), f"remarkt_orders_{name}", "o_orderkey", 8, store.fresh(spark, "layout"), ["o_orderkey"])
+    known = store.write_layout(read(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey"), f"remarkt_lines_{name}", "l_orderkey", 8, store.fresh(spark, "layout"), ["l_orderkey"])
     return rows.absent_from(lake, known, "o_orderkey", "l_orderkey").withColumn("state", F.lit("new")).unionByName(rows.present_in(lake, known, "o_orderkey", "l_orderkey").withColumn("state", F.lit("known")))
 
 
@@ -716,6 +711,6 @@ KEYWORDS = ("Widget", "WIDGET", "ld_wid", "s%ll%dg", "e b", "ro", "_", "%", "100
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS keyword, p_partkey, p_name FROM part WHERE p_name ILIKE '%{k}%' ESCAPE '\'" for k in KEYWORDS))
 def trigram_search(spark, d):
-    index = trigrams.TrigramIndex(spark, fresh(spark, "trigrams"), "p_partkey", "p_name", 16).build(read(spark, d, "part").select("p_partkey", "p_name"))
+    index = trigrams.TrigramIndex(spark, store.fresh(spark, "trigrams"), "p_partkey", "p_name", 16).build(read(spark, d, "part").select("p_partkey", "p_name"))
     found = [index.search(k).select(F.lit(k).alias("keyword"), "p_partkey", "p_name") for k in KEYWORDS]
     return reduce(DataFrame.unionByName, found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share."""
+    return f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _at(spark: SparkSession, path: str):
     """Hadoop's file system and path object of a path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
