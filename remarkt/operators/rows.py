@@ -45,11 +45,16 @@ def upsert(table: DataFrame, new: DataFrame, key: str, update: Sequence[str]) ->
     return old.join(fresh, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*columns)
 
 
-def merge_statistics(table: DataFrame, new: DataFrame, keys: Sequence[str], average: str = "avg_price", low: str = "min_price", high: str = "max_price", count: str = "listing_count") -> DataFrame:
-    """Both tables' averages weighted by their counts, least and greatest values, and counts added; merging in any order gives the same."""
-    both = table.select(*keys, average, low, high, count).unionByName(new.select(*keys, average, low, high, count))
+def merge_statistics(table: DataFrame, new: DataFrame, keys: Sequence[str], average: str = "avg_price", low: str = "min_price", high: str = "max_price", count: str = "listing_count", newest: Sequence[str] = ()) -> DataFrame:
+    """Both tables' averages weighted by their counts, least and greatest values, and counts added; merging in any order gives the same.
+
+    newest: columns that are new's where that has a value, else the table's. One aggregation reads each table once.
+    """
+    columns = [*keys, average, low, high, count, *newest]
+    both = table.select(*columns, F.lit(0).alias("_new")).unionByName(new.select(*columns, F.lit(1).alias("_new")))
     total = F.sum(count)
-    return both.groupBy(*keys).agg((F.sum(F.col(average) * F.col(count)) / total).alias(average), F.min(low).alias(low), F.max(high).alias(high), total.alias(count))
+    last = [F.expr(f"max_by(`{c}`, _new) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in newest]
+    return both.groupBy(*keys).agg((F.sum(F.col(average) * F.col(count)) / total).alias(average), F.min(low).alias(low), F.max(high).alias(high), total.alias(count), *last)
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:

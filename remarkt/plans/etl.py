@@ -71,7 +71,4 @@ def load(raw: DataFrame, products: DataFrame, listings: DataFrame, history: Data
 
 def merge_history(history: DataFrame, day: DataFrame) -> DataFrame:
     """Averages of a product's day weighted by listings; the original price is the newer one's where there is one."""
-    keys = ["product_id", "record_date"]
-    both = history.select(*keys, "original_price", F.lit(0).alias("o")).unionByName(day.select(*keys, "original_price", F.lit(1).alias("o")))
-    original = both.where("original_price is not null").groupBy(*keys).agg(F.max_by("original_price", "o").alias("original_price"))
-    return schema.conform(rows.merge_statistics(history, day, keys).join(original, keys, "left"), schema.PRICE_HISTORY)
+    return schema.conform(rows.merge_statistics(history, day, ["product_id", "record_date"], newest=["original_price"]), schema.PRICE_HISTORY)
