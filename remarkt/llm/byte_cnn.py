@@ -6,6 +6,7 @@ feeds a softmax. Every window of a text is scored and a text's probabilities are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import sent
+from .scratch import sent, staged
 from .words import Texts, per_text
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-#: Documents to fit on, whole, shared evenly by the languages; languages, the most frequent ones. The fit is bounded, scoring isn't.
-SAMPLE, LANGUAGES, EPOCHS = 2048, 512, 8
+#: Documents to fit on, whole, shared evenly by the languages, one of each at least; unlike windows of them that reach the driver (256 bytes each), one of each language at least. The fit is bounded, scoring isn't.
+SAMPLE, WINDOWS, EPOCHS = 2048, 1 << 16, 8
 #: Bytes by class: 0 pads; letters without case; digits, white space, other ASCII; each byte beyond ASCII by its low bits.
 CLASSES = 96
 CLASS_OF = np.full(256, 29, np.uint8)
@@ -84,16 +85,18 @@ def pooled(classes: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float = 0.01, seed: int = 1) -> Network:
-    """Adam on the cross-entropy of windows; the same texts give the same network."""
+    """A network fit on all windows of the texts, each weighed by its bytes."""
+    parts = [windows_of(Texts(pa.array([text], pa.string()))) for text in texts]
+    windows, used = np.concatenate([w for w, _, _ in parts]), np.concatenate([u for _, _, u in parts])
+    return fit(windows, np.repeat(np.array(labels, object), [len(u) for _, _, u in parts]).tolist(), used, epochs, rate, seed)
+
+
+def fit(x: np.ndarray, labels: list[str], weights: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 1) -> Network:
+    """Adam on the weighed cross-entropy of windows (byte classes); the same windows in the same order give the same network."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     number = {x: i for i, x in enumerate(languages)}
-    parts = []
-    for text, label in zip(texts, labels, strict=True):
-        windows, _, used = windows_of(Texts(pa.array([text], pa.string())))
-        windows = windows[used >= 16]
-        parts.append((windows, np.full(len(windows), number[label])))
-    x, y = np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts])
+    y, weights = np.array([number[v] for v in labels]), np.asarray(weights, np.float32) / WINDOW
     p = [rng.normal(0, 0.3, (CLASSES, EMBED)), *(rng.normal(0, 1 / np.sqrt(w * EMBED), (w, EMBED, FILTERS)) for w in WIDTHS), np.zeros(FILTERS * len(WIDTHS)), rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))), np.zeros(len(languages))]
     p = [v.astype(np.float32) for v in p]
     p[0][0] = 0
@@ -101,7 +104,7 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for lo in range(0, len(x), 64):
-            bx, by = x[order[lo : lo + 64]], y[order[lo : lo + 64]]
+            bx, by, bw = x[order[lo : lo + 64]], y[order[lo : lo + 64]], weights[order[lo : lo + 64]]
             emb = p[0][bx]
             tops, places = [], []
             for i, w in enumerate(WIDTHS):
@@ -113,7 +116,7 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
             act = np.maximum(raw, 0)
             prob = np.exp(log_softmax(act @ p[5] + p[6]))
             prob[np.arange(len(by)), by] -= 1
-            prob /= len(by)
+            prob *= (bw / bw.sum())[:, None]
             back = (prob @ p[5].T) * (raw > 0)
             grads = [np.zeros_like(p[0]), *(np.zeros_like(p[1 + i]) for i in range(len(WIDTHS))), back.sum(0), act.T @ prob, prob.sum(0)]
             rows = np.arange(len(bx))[:, None]
@@ -122,7 +125,8 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
                 for j in range(w):
                     here = places[i] + j
                     grads[1 + i][j] = np.einsum("nf,nfd->df", part, emb[rows, here])
-                    np.add.at(grads[0], bx[rows, here].ravel(), (part[:, :, None] * p[1 + i][j].T[None]).reshape(-1, EMBED))
+                    at, back_in = bx[rows, here].ravel(), (part[:, :, None] * p[1 + i][j].T[None]).reshape(-1, EMBED)
+                    grads[0] += np.stack([np.bincount(at, back_in[:, d], CLASSES) for d in range(EMBED)], 1).astype(np.float32)
             grads[0][0] = 0
             step += 1
             for v, g, m, s in zip(p, grads, moment, square, strict=True):
@@ -132,20 +136,43 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
     return Network(languages, p[0], p[1:4], p[4], p[5], p[6])
 
 
-def sample(docs: DataFrame, size: int = SAMPLE, most: int = LANGUAGES) -> list[tuple[str, str]]:
-    """About size whole (text, lang) rows of docs (doc_id, text, lang), spread over the languages (the most frequent ones) by a hash of the id.
+def picked(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """About size whole (text, lang, doc_id) rows of docs, spread over all languages by a hash of the id; of each language one at least.
 
     Of the texts that share id and language one is learnt from, that of the smallest hash, so that an id which repeats doesn't grow the sample.
     """
-    known = docs.where("text is not null and lang is not null and doc_id is not null")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
-    if not counts:
-        return []
-    each = max(1, size // len(counts))
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * float(1 << 30))
-    rows = picked.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang))]
+    known = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)).alias("_h"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
+    each = max(1, size // max(counts.count(), 1))
+    rows = known.join(counts, "lang").where((F.col("_h") < F.least(F.lit(1.0), each / F.col("_n")) * float(1 << 30)) | (F.col("_h") == F.col("_least")))
+    return rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
+    """The texts and languages of picked."""
+    return [(r.text, r.lang) for r in sorted(picked(docs, size).collect(), key=lambda r: (r.doc_id, r.lang))]
+
+
+def network_of(docs: DataFrame, size: int = SAMPLE, epochs: int = EPOCHS, most: int = WINDOWS) -> Network | None:
+    """Fit on the windows of picked texts, made in the tasks: equal ones of a language are one with their number, and beyond most of them a share of each language's by a hash. None without any window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, owner, used = windows_of(Texts(batch.column(1)))
+            for lo in range(0, len(used), 1 << 14):
+                some = slice(lo, lo + (1 << 14))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[some])), pa.array([w.tobytes() for w in classes[some]], pa.binary()), pa.array(used[some], pa.int64())], names=["lang", "window", "used"])
+
+    windows = picked(docs, size).select("lang", "text").mapInArrow(run, "lang string, window binary, used bigint")
+    windows = staged(windows.groupBy("lang", "window").agg(F.sum("used").alias("bytes")).withColumn("_h", F.pmod(F.xxhash64("lang", "window"), F.lit(1 << 30))), "windows")
+    counts = windows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
+    each = max(1, most // max(counts.count(), 1))
+    rows = windows.join(counts, "lang").where((F.col("_h") < F.least(F.lit(1.0), each / F.col("_n")) * float(1 << 30)) | (F.col("_h") == F.col("_least")))
+    held = rows.select("lang", "window", "bytes").orderBy("lang", "window").toArrow()
+    if not held.num_rows:
+        return None
+    x = np.frombuffer(b"".join(held.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    return fit(x, held.column("lang").to_pylist(), np.asarray(held.column("bytes")), epochs)
 
 
 def has_letter(text: str | None) -> bool:
@@ -158,10 +185,10 @@ def identify(docs: DataFrame, learn: DataFrame, keep: tuple[str, ...] = ("doc_id
     Texts that are null or have no letter are ``und`` with score 0, and so is all if learn has no language. Whole
     texts are scored, window by window; of equally likely languages the first by name is taken; repeated rows get
     equal answers; an empty table gives an empty result;
-    columns of other names are not read. The fit is on a bounded sample; scoring is one pass without a shuffle.
+    columns of other names are not read. The fit is on a bounded sample (SAMPLE, WINDOWS) with every window of its
+    texts, however short, and every language of learn; scoring is one pass without a shuffle.
     """
-    rows = sample(learn, size)
-    network = train([t for t, _ in rows], [v for _, v in rows], epochs) if rows else None
+    network = network_of(learn, size, epochs)
     held = sent(docs.sparkSession, (network, network.tables() if network else None))
 
     def make(column: pa.Array) -> dict[str, pa.Array]:
@@ -191,7 +218,7 @@ def bucket(mod: int):
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """Fit on rows outside the held-out third; rows without an id are neither held out nor learnt from."""
+    """Fit on rows outside the held-out third; rows without an id are neither held out nor learnt from. Null and empty texts, ties, repeated rows and empty tables are as in ``identify``."""
     docs = docs.select("doc_id", "text", "lang")
     found = identify(docs, docs.where(bucket(3) != 1))
     return found.select("doc_id", F.coalesce(bucket(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

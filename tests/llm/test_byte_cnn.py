@@ -49,3 +49,32 @@ def test_learns_from_whole_texts_of_a_bounded_sample(documents):
     assert len(rows) == 41 and max(len(t) for t, _ in rows) > 4000
     got = {r.doc_id: r.lang_pred for r in identify(docs.where("doc_id < 40"), docs).collect()}
     assert all(got[i] == ("en" if i % 2 else "de") for i in got)
+
+
+def test_languages_of_short_texts(documents):
+    """Texts of three bytes teach too."""
+    words = {"xx": "hut", "yy": "bob", "zz": "キ"}
+    docs = documents([(i, words[k]) for i, k in enumerate(list(words) * 40)], list(words) * 40)
+    got = {(r.text, r.lang_pred) for r in identify(docs, docs, keep=("text",)).collect()}
+    assert got == {(t, k) for k, t in words.items()}
+
+
+def test_all_languages_are_known(documents):
+    """Six hundred languages, some of one text among frequent ones."""
+    labels = [f"l{i % 600:03d}" if i < 700 else "l000" for i in range(4000)]
+    docs = documents([(i, f"text number {i} " * 3) for i in range(4000)], labels)
+    network = byte_cnn.network_of(docs, epochs=1)
+    assert network.languages == sorted(set(labels))
+    assert byte_cnn.picked(docs).count() < 2 * byte_cnn.SAMPLE
+
+
+def test_windows_of_the_sample_are_bounded(documents):
+    docs = documents([(i, "".join(chr(97 + (i * k * k + k // 7) % 26) for k in range(20000))) for i in range(8)] + [(9, "one")], ["en"] * 8 + ["de"])
+    seen = []
+    real = byte_cnn.fit
+    byte_cnn.fit = lambda x, *a: seen.append((len(x), sorted(set(a[0])))) or real(x, *a)
+    try:
+        byte_cnn.network_of(docs, epochs=1, most=50)
+    finally:
+        byte_cnn.fit = real
+    assert seen[0][0] < 100 and seen[0][1] == ["de", "en"]
