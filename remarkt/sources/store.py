@@ -14,14 +14,19 @@ from pyspark.sql import types as T
 from ..operators import rows
 
 
+#: Of applications without a shared folder, on one machine: the temporary one.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if driver and executors are one machine, as in tests; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="remarkt-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # the setting itself can't be changed in a session
+        app = spark.sparkContext.applicationId
+        found = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="remarkt-")
     return found.rstrip("/")
 
 

@@ -160,3 +160,14 @@ def test_trigrams(spark, tmp_path):
 def test_grams_and_runs(spark):
     assert literal_runs("a%b_c\\%d\\\\") == ["a", "b", "c%d\\"] and literal_runs("%_") == []
     assert spark.range(1).select(grams(F.lit("AbAbA"))).first()[0] == ["aba", "bab"]
+
+
+def test_a_folder_of_its_own_where_none_is_named(spark):
+    from types import SimpleNamespace
+
+    from remarkt.sources.store import shared_dir
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a1"))
+    assert shared_dir(unset("local[2]")) == shared_dir(unset("local[2]")) != shared_dir(spark)
+    with pytest.raises(ValueError, match="unset"):
+        shared_dir(unset("spark://x"))
