@@ -11,7 +11,7 @@ from remarkt.llm.byte_cnn import UNKNOWN, identify
 from remarkt.llm.chosen_path import near_duplicates
 from remarkt.llm.nnls_packing import packing_report
 from remarkt.llm.sanitise import sanitise
-from remarkt.llm.scratch import scope, shared_dir
+from remarkt.llm.scratch import delete, scope, shared_dir
 from remarkt.llm.suffix_leaks import without_leaks
 
 #: Documents whose language is less likely than this go, as those without any do.
@@ -67,12 +67,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over all documents; each is written in the shared folder and read by the next. What a stage needs meanwhile goes at its end."""
+    """All stages in order over all documents; each is written in the shared folder and read by the next. What a stage needs meanwhile goes at its end, its rows once the next stage's are written; the last one's stay, for they are what is returned."""
     path = f"{shared_dir(spark)}/remarkt-pipeline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         with scope(spark):
             made = stage(spark, docs, sf_dir)
             made.write.parquet(f"{path}/{name}")
+        if before:
+            delete(spark, f"{path}/{before}")
+        before = name
         docs = spark.read.schema(made.schema).parquet(f"{path}/{name}")
     return docs

@@ -3,28 +3,16 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.store import delete, fresh, shared_dir
+
 #: What scopes that are open have made, the innermost last.
 _open: list[list] = []
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if driver and executors are one machine, as in tests; else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="remarkt-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: Bytes of a batch that goes to a Python worker, where the session leaves Spark's default.
 BATCH, BATCH_BYTES, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
 
@@ -37,7 +25,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def place(spark: SparkSession, name: str) -> str:
     """A new folder's path among this application's tables, deleted as they are."""
-    path = f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     if _open:
         _open[-1].append(path)
     return path
@@ -63,11 +51,6 @@ def sent(spark: SparkSession, value: object) -> Broadcast:
     return held
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables and broadcasts made inside go at its end: for results that are written inside it too."""
@@ -78,9 +61,9 @@ def scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _open.pop()
         for x in made:
-            _delete(spark, x) if isinstance(x, str) else x.destroy()
+            delete(spark, x) if isinstance(x, str) else x.destroy()
 
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's tables, once the results made from them are written."""
-    _delete(spark, f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}")
+    delete(spark, f"{shared_dir(spark)}/remarkt-{spark.sparkContext.applicationId}")

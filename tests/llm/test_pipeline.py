@@ -1,6 +1,7 @@
 import corpus_pipeline
 from corpus_pipeline import STAGES, run
 from remarkt.llm.byte_cnn import identify
+from remarkt.sources import store
 
 import test_chosen_path
 import test_nnls_packing
@@ -78,3 +79,11 @@ def test_empty_and_very_long(spark, documents):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
         assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {1, 2}, name
     assert corpus_pipeline.language(spark, docs.limit(0), SF).count() == 0
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    for module in (corpus_pipeline, store):
+        monkeypatch.setattr(module, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in STAGES if s[0] in ("decontaminate", "personal_data", "pack")])
+    assert run(spark, SF).count() > 0
+    assert [p.name for p in tmp_path.glob("remarkt-pipeline-*/*/*")] == ["pack"] and not list(tmp_path.glob("remarkt-[!p]*/*"))
