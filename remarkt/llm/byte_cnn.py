@@ -144,7 +144,8 @@ def picked(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     known = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)).alias("_h"))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
     each = max(1, size // max(counts.count(), 1))
-    rows = known.join(counts, "lang").where((F.col("_h") < F.least(F.lit(1.0), each / F.col("_n")) * float(1 << 30)) | (F.col("_h") == F.col("_least")))
+    # a row for each language, as many as the network has outputs
+    rows = known.join(F.broadcast(counts), "lang").where((F.col("_h") < F.least(F.lit(1.0), each / F.col("_n")) * float(1 << 30)) | (F.col("_h") == F.col("_least")))
     return rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
@@ -167,7 +168,7 @@ def network_of(docs: DataFrame, size: int = SAMPLE, epochs: int = EPOCHS, most:
     windows = staged(windows.groupBy("lang", "window").agg(F.sum("used").alias("bytes")).withColumn("_h", F.pmod(F.xxhash64("lang", "window"), F.lit(1 << 30))), "windows")
     counts = windows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
     each = max(1, most // max(counts.count(), 1))
-    rows = windows.join(counts, "lang").where((F.col("_h") < F.least(F.lit(1.0), each / F.col("_n")) * float(1 << 30)) | (F.col("_h") == F.col("_least")))
+    rows = windows.join(F.broadcast(counts), "lang").where((F.col("_h") < F.least(F.lit(1.0), each / F.col("_n")) * float(1 << 30)) | (F.col("_h") == F.col("_least")))
     held = rows.select("lang", "window", "bytes").orderBy("lang", "window").toArrow()
     if not held.num_rows:
         return None
