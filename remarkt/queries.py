@@ -17,6 +17,7 @@ from .operators import ranks, rows, statistics
 from .plans import etl, models, search, training, trigrams
 from .schema import FORECASTS, LISTINGS, PRICE_HISTORY, PRODUCTS, RAW_ITEMS, ensure_columns
 from .sources import html, store, tables
+from .streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -714,3 +715,18 @@ def trigram_search(spark, d):
     index = trigrams.TrigramIndex(spark, store.fresh(spark, "trigrams"), "p_partkey", "p_name", 16).build(read(spark, d, "part").select("p_partkey", "p_name"))
     found = [index.search(k).select(F.lit(k).alias("keyword"), "p_partkey", "p_name") for k in KEYWORDS]
     return reduce(DataFrame.unionByName, found)
+
+
+#: Prices of few values, so that many stay as they were.
+EVENT_PRICES = "user_id AS key, ts, event_id AS nth, CASE WHEN value >= 0.5 THEN CAST(floor(value / 20) AS DOUBLE) END AS price"
+
+
+@query(f"""WITH e AS (SELECT {EVENT_PRICES} FROM events), p AS (SELECT *, lag(price) OVER (PARTITION BY key ORDER BY ts, nth) AS old_price, row_number() OVER (PARTITION BY key ORDER BY ts, nth) AS i FROM e)
+SELECT key, nth, old_price, price FROM p WHERE i > 1 AND price IS DISTINCT FROM old_price""")
+def price_log_stream(spark, d):
+    """All events as a stream, each user's last price as state; the log as it was written."""
+    schema = read(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).selectExpr(*EVENT_PRICES.split(", ")).withColumnRenamed("ts", "at")
+    out = store.fresh(spark, "log")
+    changes.run_change_log(stream, out, store.fresh(spark, "checkpoint"))
+    return spark.read.schema("key bigint, at timestamp, nth bigint, old_price double, price double").parquet(out).drop("at")
