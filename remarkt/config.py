@@ -93,6 +93,59 @@ BATTERY = (r"(?iU)バッテリー[^\d]*(\d+)\s*[%％]", r"(?iU)最大容量[^\d]
 RAM = (r"(?iU)(?:RAM|メモリ)[^\d]*(\d+)\s*(?:GB|gb)", r"(?iU)(\d+)\s*(?:GB|gb)\s*(?:RAM|メモリ)")
 RESTRICTIONS = (("none", "利用制限.*[○〇◯]|判定.*[○〇◯]|ネットワーク.*制限.*なし|利用制限.*なし"), ("possible", "利用制限.*[△▲]|判定.*[△▲]"), ("restricted", "利用制限.*[×✕]|判定.*[×✕]"))
 
+# --- Fixed values: patterns of the older extractors, in any case of letters unless said.
+
+OLD_BRANDS = {
+    "Apple": ("Apple", "アップル"), "Samsung": ("Samsung", "サムスン"), "Google": ("Google", "グーグル"), "Sony": ("Sony", "ソニー"), "Xiaomi": ("Xiaomi", "シャオミ"), "OPPO": ("OPPO", "オッポ"), "Realme": ("Realme", "リアルミー"),
+    "OUKITEL": ("OUKITEL", "オウキテル"), "Motorola": ("Motorola", "モトローラ"), "ASUS": ("ASUS", "エイスース"), "Huawei": ("Huawei", "ファーウェイ"), "SHARP": ("SHARP", "シャープ"),
+}
+#: Lines in the order in which they are tried; the last that fits counts.
+OLD_LINES = (
+    ("iPhone", r"iPhone\s*(\d+|SE|XR|XS|X)"),
+    ("Galaxy", r"Galaxy\s*([A-Z]*\s*\d+)"),
+    ("Pixel", r"Pixel\s*(\d+[a-zA-Z]*)"),
+    ("Xperia", r"Xperia\s*([A-Z0-9\s]+?)(?:\s|　|$|SO-|SOG|XQ-)"),
+    ("Redmi", r"Redmi\s*(Note\s*\d+[a-zA-Z]*|\d+[a-zA-Z]*)"),
+    ("Realme", r"Realme\s*(\d+[a-zA-Z]*)"),
+    ("AQUOS", r"AQUOS\s*([a-zA-Z0-9\s]+?)(?:\s|　|$|SH-)"),
+)
+OLD_VARIANTS = (("Pro", r"\bPro\b|プロ"), ("Max", r"\bMax\b|マックス"), ("Ultra", r"\bUltra\b"), ("Plus", r"\bPlus\b"), ("mini", r"\bmini\b"))
+#: Parts of words; the first that the title holds.
+OLD_COLORS = (
+    ("シルバー", "Silver"), ("ゴールド", "Gold"), ("ブラック", "Black"), ("ホワイト", "White"), ("ブルー", "Blue"), ("レッド", "Red"), ("グリーン", "Green"), ("ピンク", "Pink"), ("パープル", "Purple"), ("silver", "Silver"), ("gold", "Gold"),
+    ("black", "Black"), ("white", "White"), ("blue", "Blue"), ("red", "Red"), ("midnight", "Midnight"), ("starlight", "Starlight"), ("sea", "Sea"), ("シー", "Sea"),
+)
+OLD_BRAND_OF_LINE = {"iPhone": "Apple", "Pixel": "Google", "Galaxy": "Samsung", "Xperia": "Sony", "Redmi": "Xiaomi", "AQUOS": "SHARP", "Realme": "Realme"}
+#: Columns that are true where the pattern fits.
+OLD_FLAGS = {
+    "battery_replaced": r"バッテリー.*交換|battery.*replaced|battery.*changed",
+    "has_box": r"箱.*付|箱.*あり|元箱|box.*included|with.*box|・\s*箱|•\s*箱",
+    "has_charger": r"充電器.*付|充電器.*あり|charger.*included|アダプタ.*付|アダプター.*付|AC.*adapter|・\s*充電器|・\s*AC.*アダプター|・\s*アダプター|•\s*charger",
+    "has_cable": r"ケーブル.*付|ケーブル.*あり|cable.*included|コード.*付|ライトニング.*ケーブル|USB.*ケーブル|・\s*ケーブル|・\s*充電.*ケーブル|・\s*ライトニング|•\s*cable",
+    "has_earphones": r"イヤホン.*付|イヤホン.*あり|earphone.*included|イヤフォン.*付|ヘッドホン.*付|AirPods|EarPods|・\s*イヤホン|・\s*イヤフォン|•\s*earphone",
+    "accessories_complete": r"付属品.*完備|付属品.*全て|全て.*揃|一式|フルセット|complete.*set|full.*accessories|新品.*付属品|純正.*付属品",
+    "is_sim_free": r"SIM.*フリー|シムフリー|sim.*free|SIMロック.*解除",
+    "has_scratches": r"傷|キズ|scratch|スレ|擦れ",
+    "fully_functional": r"完動|動作.*確認.*済|fully.*functional|all.*working",
+}
+#: Columns of the first pattern that fits, else null (false for the last two).
+OLD_FIRST = {
+    "battery_status": ((r"バッテリー.*良好|battery.*good", "good"), (r"バッテリー.*劣化|battery.*degraded", "degraded")),
+    "network_restriction": ((r"利用制限.*[○〇◯]|判定.*[○〇◯]", "none"), (r"利用制限.*[△▲]|判定.*[△▲]", "possible"), (r"利用制限.*[×✕]|判定.*[×✕]", "restricted"), (r"ネットワーク.*制限.*なし|利用制限.*なし", "none")),
+    "screen_condition": (
+        (r"画面.*割れ.*なし|液晶.*割れ.*なし|ひび.*なし|割れ.*なし|画面.*ひび.*なし", "clean"), (r"画面.*綺麗|液晶.*綺麗|screen.*clean|画面.*問題.*なし", "clean"),
+        (r"画面.*割れ|液晶.*割れ|screen.*crack|画面.*ひび|ひび.*あり|画面.*破損", "cracked"), (r"画面.*傷|液晶.*傷", "scratched"),
+    ),
+    "body_condition": ((r"美品|very.*good|excellent|綺麗", "excellent"), (r"良好|good|きれい", "good"), (r"使用感|used|中古", "used")),
+    "camera_condition": ((r"カメラ.*正常|カメラ.*問題.*なし|camera.*ok", "working"), (r"カメラ.*傷|カメラ.*レンズ.*傷", "scratched")),
+    "face_id_working": ((r"Face.*ID.*[○〇◯OK正常]|顔認証.*[○〇◯OK正常]", True), (r"Face.*ID.*[×✕NG不可使えない]|顔認証.*[×✕NG不可]", False)),
+    "touch_id_working": ((r"Touch.*ID.*[○〇◯OK正常]|指紋.*[○〇◯OK正常]", True), (r"Touch.*ID.*[×✕NG不可使えない]|指紋.*[×✕NG不可]", False)),
+    "has_damage": ((r"機能不良.*なし|不具合.*なし|問題.*なし", False), (r"破損|割れ|欠け|damage|ジャンク|機能不良.*あり", True)),
+    "has_issues": ((r"問題.*なし|問題.*無|不具合.*なし|機能不良.*なし|動作.*問題.*なし", False), (r"不具合|問題|issue|defect|故障|ジャンク", True)),
+}
+#: With the case of letters.
+OLD_RAM = (r"(?:RAM|メモリ)[^\d]*(\d+)\s*(?:GB|gb)", r"(\d+)\s*(?:GB|gb)\s*(?:RAM|メモリ)")
+
 #: Scores and penalties of the price features.
 CONDITION_SCORES = {
     "S": 100, "A": 85, "B": 70, "C": 50, "J": 30, "New": 100, "Like new": 100, "Unused": 100, "Excellent": 85, "Very good": 85, "Good": 70, "Fair": 50, "Acceptable": 50, "Poor": 30, "Damaged": 30,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .functions import extract, features, scalars
+from .functions import extract, features, legacy, scalars
 from .operators import ranks, rows, statistics
 from .plans import etl, models, search, training, trigrams
 from .schema import FORECASTS, LISTINGS, PRICE_HISTORY, PRODUCTS, RAW_ITEMS, ensure_columns
@@ -730,3 +730,42 @@ def price_log_stream(spark, d):
     out = store.fresh(spark, "log")
     changes.run_change_log(stream, out, store.fresh(spark, "checkpoint"))
     return spark.read.schema("key bigint, at timestamp, nth bigint, old_price double, price double").parquet(out).drop("at")
+
+
+#: Phrases of which titles and descriptions are made: affirmed, denied, both, amid others.
+OLD_TITLES = ("iPhone 14", "Galaxy S 23", "Pixel 7a", "Redmi Note 12", "Realme 9i", "Apple", "アップル", "Pro", "Promax", "mini", "マックス", "ULTRA", "ブルー", "Seagreen", "64GB", "8GB", "1TB", "OUKITEL", "plain", "redo")
+OLD_PHRASES = (
+    "元箱あり", "箱なし", "with box", "充電器なし", "充電器付き", "USBケーブル", "AirPods", "付属品完備", "SIMロック解除済み", "SIMロックあり", "利用制限○", "判定△", "利用制限×", "利用制限なし", "画面割れなし", "画面に割れ", "画面に傷", "綺麗", "good", "中古", "カメラ正常",
+    "カメラに傷", "Face ID OK", "顔認証 不可", "指紋 ×", "Touch ID 正常", "完動品", "問題なし", "不具合あり", "ジャンク", "バッテリー良好", "バッテリー交換済み", "battery 85%", "最大容量 91％", "RAM 8GB", "128GB", "ストレージ 1TB",
+)
+
+
+def old_first_sql(column: str, cases) -> str:
+    value = lambda v: str(v).upper() if isinstance(v, bool) else f"'{v}'"
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '(?i){p}') THEN {value(v)}" for p, v in cases) + " END"
+
+
+def _old_sql() -> str:
+    made = f"""SELECT l_orderkey, l_linenumber, t[l_partkey % {len(OLD_TITLES)} + 1] || ' ' || t[l_suppkey % {len(OLD_TITLES)} + 1] || ' ' || t[l_orderkey % {len(OLD_TITLES)} + 1] AS title,
+    p[l_partkey % {len(OLD_PHRASES)} + 1] || '、' || p[l_suppkey % {len(OLD_PHRASES)} + 1] || ' ' || p[l_orderkey % {len(OLD_PHRASES)} + 1] AS description FROM lineitem, (SELECT {sql_list(OLD_TITLES)} AS t, {sql_list(OLD_PHRASES)} AS p)"""
+    # signs of full width are folded before
+    text = "replace(description, '％', '%')"
+    flags = ", ".join(f"regexp_matches({text}, '(?i){p}') AS {n}" for n, p in config.OLD_FLAGS.items())
+    firsts = ", ".join(f"coalesce({old_first_sql(text, c)}, FALSE) AS {n}" if n in ("has_damage", "has_issues") else f"{old_first_sql(text, c)} AS {n}" for n, c in config.OLD_FIRST.items())
+    lines = " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{n}'" for n, p in reversed(config.OLD_LINES))
+    numbers = " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN trim(regexp_extract(title, '(?i){p}', 1))" for _, p in reversed(config.OLD_LINES))
+    variants = ", ".join(f"CASE WHEN regexp_matches(title, '(?i){p}') THEN '{n}' END" for n, p in config.OLD_VARIANTS)
+    colors = " ".join(f"WHEN contains(lower(title), '{w.lower()}') THEN '{n}'" for w, n in config.OLD_COLORS)
+    # one range of signs takes kana and ideographs away too
+    clean = r"SELECT * REPLACE (trim(regexp_replace(regexp_replace(title, '[\x{24C2}-\x{1F251}]+', ' ', 'g'), '\s+', ' ', 'g')) AS title)"
+    return f"""WITH m AS ({clean} FROM ({made})), f AS (SELECT *, {flags}, {firsts}, CASE {lines} END AS model_line, CASE {numbers} END AS model_number, nullif(concat_ws(' ', {variants}), '') AS variant, CASE {colors} END AS color FROM m)
+SELECT l_orderkey, l_linenumber, model_line, model_number, variant, color, {', '.join([*config.OLD_FLAGS, *config.OLD_FIRST])}, CASE WHEN is_sim_free THEN 'unlocked' WHEN regexp_matches(description, '(?i)SIMロック|sim.*lock') THEN 'locked' END AS sim_lock_status FROM f"""
+
+
+@query(_old_sql())
+def old_features(spark, d):
+    pick = lambda i, words: F.element_at(F.array(*(F.lit(x) for x in words)), (i % len(words) + 1).cast("int"))
+    three = lambda words, sign: F.concat(pick(F.col("l_partkey"), words), F.lit(sign), pick(F.col("l_suppkey"), words), F.lit(" "), pick(F.col("l_orderkey"), words))
+    made = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", three(OLD_TITLES, " ").alias("name"), three(OLD_PHRASES, "、").alias("explanation"))
+    df = legacy.description_features(legacy.title_features(made))
+    return df.select("l_orderkey", "l_linenumber", "model_line", "model_number", "variant", "color", *config.OLD_FLAGS, *config.OLD_FIRST, "sim_lock_status")
