@@ -118,3 +118,11 @@ def described(df: DataFrame, column: str = "explanation") -> DataFrame:
     """Rows, and those whose description is neither blank nor the word nan."""
     text = F.trim(F.col(column).cast("string"))
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if((text != "") & (F.lower(text) != "nan")).alias("n_described"))
+
+
+def completeness(df: DataFrame, specs: str = "base_specs") -> DataFrame:
+    """Rows, and those whose JSON of specifications has a storage and a memory, with shares in percent."""
+    has = lambda name: F.count_if(F.get_json_object(specs, f"$.{name}").isNotNull())
+    found = df.agg(F.count(F.lit(1)).alias("n"), has("storage").alias("with_storage"), has("ram").alias("with_ram"))
+    share = lambda c: F.when(F.col("n") > 0, F.round(100.0 * F.col(c) / F.col("n"), 1))
+    return found.withColumns({"storage_share": share("with_storage"), "ram_share": share("with_ram")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -51,3 +52,27 @@ def ingest(batch: DataFrame, lake: DataFrame, path: str, source: Column, now: Co
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     n = seen.get["n"]
     return Outcome("inserted" if n else "all_duplicates", received, counts[0], counts[1], n)
+
+
+#: Status of a source's run by its outcome code.
+STATUS = {"empty_df": "WARNING", "no_valid_links": "WARN", "all_duplicates": "OK", "inserted": "SUCCESS"}
+
+
+def ledger(batch: DataFrame, lake: DataFrame, sources: Sequence[str], column: str = "source") -> DataFrame:
+    """A row for each source of a run: received rows, valid links, distinct ones, inserted rows (the lake lacks their link), code and status.
+
+    Links are reduced to one row each, of the first source by name, before the lake is asked; sources that brought nothing have a row too, those that aren't listed have none.
+    """
+    spark = batch.sparkSession
+    named = batch.where(F.col(column).isin(*sources))
+    linked = valid_links(named).select(column, "link")
+    counts = named.groupBy(column).agg(F.count(F.lit(1)).alias("received"))
+    valid = linked.groupBy(column, "link").agg(F.count(F.lit(1)).alias("n")).groupBy(column).agg(F.sum("n").alias("valid"), F.count(F.lit(1)).alias("distinct"))
+    first = linked.groupBy("link").agg(F.min(column).alias(column))
+    new = absent_from(first, lake, "link").groupBy(column).agg(F.count(F.lit(1)).alias("inserted"))
+    all_ = spark.createDataFrame([(x,) for x in sources], f"{column} string")
+    # as many rows as sources on each side
+    out = all_.join(counts, column, "left").join(valid, column, "left").join(new, column, "left").fillna(0)
+    code = F.when(F.col("received") == 0, "empty_df").when(F.col("valid") == 0, "no_valid_links").when(F.col("inserted") == 0, "all_duplicates").otherwise("inserted")
+    status = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))
+    return out.withColumn("code", code).withColumn("status", status[F.col("code")])

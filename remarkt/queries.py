@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import config
 from .functions import extract, features, legacy, scalars
 from .operators import ranks, rows, statistics
-from .plans import etl, models, search, training, trigrams
+from .plans import etl, ingest, models, search, training, trigrams
 from .schema import FORECASTS, LISTINGS, PRICE_HISTORY, PRODUCTS, RAW_ITEMS, ensure_columns
 from .sources import html, store, tables
 from .streaming import changes
@@ -769,3 +769,58 @@ def old_features(spark, d):
     made = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", three(OLD_TITLES, " ").alias("name"), three(OLD_PHRASES, "、").alias("explanation"))
     df = legacy.description_features(legacy.title_features(made))
     return df.select("l_orderkey", "l_linenumber", "model_line", "model_number", "variant", "color", *config.OLD_FLAGS, *config.OLD_FIRST, "sim_lock_status")
+
+
+# --- further columns and branches
+
+
+#: Inputs of the price model that are null, of odd case or unknown in some rows.
+SPECS = """CASE l_linenumber % 4 WHEN 0 THEN 'iPhone' WHEN 1 THEN 'Galaxy' WHEN 2 THEN 'None' END AS model_line, CASE WHEN l_suppkey % 5 > 0 THEN CAST(l_suppkey % 20 AS STRING) END AS model_number, CASE l_linenumber % 3 WHEN 0 THEN 'Pro' WHEN 1 THEN 'nan' END AS variant,
+CASE l_partkey % 6 WHEN 0 THEN 'perfect' WHEN 1 THEN 'good' WHEN 2 THEN 'fair' WHEN 3 THEN 'poor' WHEN 4 THEN 'odd' END AS body_condition, CASE l_suppkey % 4 WHEN 0 THEN '3GB' WHEN 1 THEN '12 GB' WHEN 2 THEN 'none' END AS ram,
+CASE l_orderkey % 4 WHEN 0 THEN 'Mercari' WHEN 1 THEN 'Rakuma' WHEN 2 THEN 'YahooAuction' END AS platform, CASE l_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_box, CASE l_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_charger,
+CASE l_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_scratches, CASE l_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS fully_functional, CASE l_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS is_sim_free,
+CASE l_partkey % 7 WHEN 0 THEN true WHEN 1 THEN false END AS has_damage, CASE l_suppkey % 7 WHEN 0 THEN true WHEN 1 THEN false END AS has_issues, CASE l_linenumber % 5 WHEN 0 THEN 'S' WHEN 1 THEN 'New' WHEN 2 THEN 'Poor' WHEN 3 THEN 'J' END AS condition"""
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, {SPECS} FROM lineitem), f AS (SELECT * REPLACE (CAST(coalesce(has_box, FALSE) AS INTEGER) AS has_box, CAST(coalesce(has_charger, FALSE) AS INTEGER) AS has_charger,
+CAST(coalesce(has_scratches, FALSE) AS INTEGER) AS has_scratches, CAST(coalesce(fully_functional, TRUE) AS INTEGER) AS fully_functional, CAST(coalesce(is_sim_free, TRUE) AS INTEGER) AS is_sim_free, CAST(coalesce(has_damage, FALSE) AS INTEGER) AS has_damage, CAST(coalesce(has_issues, FALSE) AS INTEGER) AS has_issues),
+CASE condition WHEN 'S' THEN 100 WHEN 'New' THEN 100 WHEN 'Poor' THEN 30 WHEN 'J' THEN 30 ELSE 70 END AS score, CASE coalesce(body_condition, 'good') WHEN 'perfect' THEN 0 WHEN 'good' THEN -2 WHEN 'fair' THEN -5 WHEN 'poor' THEN -10 ELSE -2 END AS body_penalty FROM s)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, trim(replace(replace(coalesce(model_line, '') || ' ' || coalesce(model_number, '') || ' ' || coalesce(variant, ''), 'None', ''), 'nan', '')) AS full_model_name, CAST(body_penalty AS DOUBLE) AS body_penalty, CAST(greatest(least(score + body_penalty, 100), 0) AS DOUBLE) AS body_score,
+CAST(CASE ram WHEN '3GB' THEN 3 WHEN '12 GB' THEN 12 ELSE 4 END AS DOUBLE) AS ram_gb, round(score * (1 + (has_box * 3 + has_charger * 2 + has_box * has_charger * 5) / 10.0), 6) AS condition_accessories, CAST(CASE platform WHEN 'Rakuma' THEN 2 WHEN 'YahooAuction' THEN 3 ELSE 1 END AS DOUBLE) AS platform_encoded,
+has_box, has_charger, has_scratches, fully_functional, is_sim_free, has_damage, has_issues, greatest(has_scratches, has_damage, has_issues) AS has_any_damage, CASE WHEN has_damage = 1 THEN 2 WHEN has_scratches = 1 THEN 1 ELSE 0 END AS damage_severity, fully_functional * 20 + is_sim_free * 10 - has_issues * 15 AS functionality_score FROM f""")
+def price_inputs(spark, d):
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    df = features.engineer(spark.sql(f"SELECT {', '.join(keys)}, {SPECS} FROM {{line}}", line=read(spark, d, "lineitem")))
+    own = ("full_model_name", "body_penalty", "body_score", "ram_gb", "condition_accessories", "platform_encoded", "has_box", "has_charger", "has_scratches", "fully_functional", "is_sim_free", "has_damage", "has_issues", "has_any_damage", "damage_severity", "functionality_score")
+    doubles = ("body_penalty", "body_score", "ram_gb", "platform_encoded")
+    return rounded(df, "condition_accessories", places=6).select(*keys, *(F.col(c).cast("double").alias(c) if c in doubles else c for c in own))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'u' END AS a FROM orders) SELECT o_orderkey, coalesce(a, 'Unknown') AS a FROM t WHERE a IS NOT NULL OR (SELECT avg(CASE WHEN a IS NULL THEN 1.0 ELSE 0.0 END) FROM t) > 0.5""")
+def mostly_null_fill(spark, d):
+    """Most of the column is null, so nulls are filled and no row goes."""
+    return statistics.fill_or_drop(read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "u").alias("a")), "a", "Unknown")
+
+
+@query("""WITH t AS (SELECT CASE WHEN p_size % 3 > 0 THEN 1 END AS s, CASE WHEN p_size % 4 = 0 THEN 1 END AS r FROM part)
+SELECT count(*) AS n, count(s) AS with_storage, count(r) AS with_ram, round (100.0 * count(s) / count(*), 1) AS storage_share, round (100.0 * count(r) / count(*), 1) AS ram_share FROM t""")
+def spec_completeness(spark, d):
+    size = F.col("p_size")
+    specs = scalars.base_specs(F.when(size % 3 == 1, "64GB"), F.when(size % 3 == 2, "128gb"), F.when(size % 4 == 0, "8GB"))
+    return statistics.completeness(read(spark, d, "part").select(specs.alias("base_specs")))
+
+
+RUN_SOURCES = ("0-LOW", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "none")
+
+
+@query(f"""WITH b AS (SELECT o_orderpriority AS source, CASE WHEN o_orderpriority LIKE '2%' THEN ' ' WHEN o_orderkey % 4 > 0 THEN ' k' || (o_orderkey // 3) || ' ' END AS link FROM orders), l AS (SELECT 'k' || (o_orderkey // 3) AS link FROM orders WHERE o_orderkey % 2 = 0 OR o_orderpriority LIKE '1%'),
+v AS (SELECT source, trim(link) AS link FROM b WHERE trim(link) <> ''), f AS (SELECT link, min(source) AS source FROM v GROUP BY link), s AS (SELECT unnest({sql_list(RUN_SOURCES)}) AS source),
+c AS (SELECT s.source, (SELECT count(*) FROM b WHERE b.source = s.source) AS received, (SELECT count(*) FROM v WHERE v.source = s.source) AS valid, (SELECT count(DISTINCT link) FROM v WHERE v.source = s.source) AS "distinct", (SELECT count(*) FROM f WHERE f.source = s.source AND link NOT IN (SELECT link FROM l)) AS inserted FROM s),
+d AS (SELECT *, CASE WHEN received = 0 THEN 'empty_df' WHEN valid = 0 THEN 'no_valid_links' WHEN inserted = 0 THEN 'all_duplicates' ELSE 'inserted' END AS code FROM c)
+SELECT *, CASE code WHEN 'empty_df' THEN 'WARNING' WHEN 'no_valid_links' THEN 'WARN' WHEN 'all_duplicates' THEN 'OK' ELSE 'SUCCESS' END AS status FROM d""")
+def run_ledger(spark, d):
+    key = F.concat(F.lit("k"), F.floor(F.col("o_orderkey") / 3).cast("string"))
+    orders = read(spark, d, "orders")
+    link = F.when(F.col("o_orderpriority").startswith("2"), F.lit(" ")).when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit(" "), key, F.lit(" ")))
+    lake = orders.where("o_orderkey % 2 = 0 or o_orderpriority like '1%'").select(key.alias("link"))
+    return ingest.ledger(orders.select(F.col("o_orderpriority").alias("source"), link.alias("link")), lake, RUN_SOURCES)
