@@ -27,7 +27,7 @@ FIRST_ROUNDS, ROUNDS, SAMPLE = 30, 3, 1500
 #: Tokens that go step by step, and such segments side by side: cuts in the arithmetic, not in the model.
 SEGMENT, PART = 128, 2048
 SMOOTH = 0.2
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS, MOST_TASKS = 2_000_000, 50_000
 END = np.uint64(0x5EED0FE2D)
 SLICES = 16
 
@@ -316,6 +316,19 @@ def train(classed: DataFrame, shares: np.ndarray, states: int, rounds: int) -> M
 # --- the operator
 
 
+def by_number(rows: DataFrame, coded: DataFrame) -> tuple[DataFrame, int]:
+    """rows with nth, the number of their block among all, counted without gaps; and as many tasks as there are blocks, up to MOST_TASKS, so that none holds more than its share."""
+    counts = coded.where("kind = 0 and lid = 0").groupBy(F.shiftright("block", 24).alias("task")).count().collect()
+    # a row for each task that read documents
+    upto, first = 0, []
+    for task, n in sorted(counts):
+        first.append((task, upto))
+        upto += n
+    known = rows.sparkSession.createDataFrame(first, "task bigint, first bigint")
+    placed = rows.join(F.broadcast(known), F.shiftright("block", 24) == F.col("task")).withColumn("nth", (F.col("first") + F.col("block").bitwiseAND(F.lit((1 << 24) - 1))).cast("int"))
+    return placed.drop("task", "first"), max(1, min(upto, MOST_TASKS))
+
+
 def language_scores(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) for each row of docs (doc_id, text, held_out, learn).
 
@@ -363,9 +376,8 @@ def language_scores(docs: DataFrame, states: int = STATES, frequent: int = FREQU
     words = entries.select("block", "kind", "lid", "hash").join(marked.select("hash", "c", "cls"), "hash").select("block", "kind", "lid", "c", "cls", *(F.lit(None).cast(k).alias(n) for n, k in (("doc_id", "long"), ("held_out", "boolean"), ("learn", "boolean"), ("tokens", "binary"))))
     texts = coded.where("kind = 1").select("block", "kind", "lid", F.lit(None).cast("long").alias("c"), F.lit(None).cast("int").alias("cls"), "doc_id", "held_out", "learn", "tokens")
     schema = "doc_id bigint, held_out boolean, learn boolean, n_tokens bigint, n_known bigint, base_score double, inner double, classes binary"
-    # by number, so that the partitions are not joined and a task holds a block or two
-    blocks = max(1, coded.where("kind = 0 and lid = 0").count())
-    classed = staged(words.unionByName(texts).repartition(2 * blocks, "block").sortWithinPartitions("block", "kind", "lid").mapInArrow(classify, schema), "classes")
+    placed, tasks = by_number(words.unionByName(texts), coded)
+    classed = staged(placed.repartitionById(tasks, "nth").drop("nth").sortWithinPartitions("block", "kind", "lid").mapInArrow(classify, schema), "classes")
     model = sent(spark, train(classed, shares, states, rounds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,6 +390,6 @@ def language_scores(docs: DataFrame, states: int = STATES, frequent: int = FREQU
 
 
 def language_model_report(docs: DataFrame) -> DataFrame:
-    """Holds out a fifth of the ids; rows without an id are neither held out nor learnt from."""
+    """Holds out a fifth of the ids; rows without an id are neither held out nor learnt from. Null and empty texts, repeated rows and empty tables are as in ``language_scores``."""
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     return language_scores(docs.select("doc_id", "text", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), F.coalesce(rest != 1, F.lit(False)).alias("learn")))

@@ -167,7 +167,7 @@ class Heaps:
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array([part] * len(flat), pa.int32())], names=["item", "doc_id", "score", "part"])
 
 
-def in_ranges(batch: pa.RecordBatch, weights: np.ndarray, sizes: np.ndarray, total: int, all_terms: int) -> Iterator[tuple]:
+def in_ranges(batch: pa.RecordBatch, weights: np.ndarray, sizes: np.ndarray, total: int, all_terms: int, most: int) -> Iterator[tuple]:
     """Ranges of documents in the order of their ids: ids, and of each match its place there, its term and its impact."""
     ids, n = batch.column(1), np.asarray(batch.column(2)).astype(np.int64)
     order = np.asarray(pa.compute.sort_indices(ids, null_placement="at_end")).astype(np.int64)
@@ -182,14 +182,14 @@ def in_ranges(batch: pa.RecordBatch, weights: np.ndarray, sizes: np.ndarray, tot
     triples = np.concatenate(([0], np.cumsum(sizes[terms])))[bounds]
     lo = 0
     while lo < len(ids):
-        hi = max(lo + 1, int(np.searchsorted(triples, triples[lo] + TRIPLES, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(triples, triples[lo] + most, side="right")) - 1)
         a, b = bounds[lo], bounds[hi]
         yield ids[lo:hi], doc[a:b] - lo, terms[a:b], impact[a:b]
         lo = hi
 
 
-def scored(found: DataFrame, terms: Terms, df: dict[int, int], total: int, all_terms: int, best: int) -> DataFrame:
-    """The best documents of each item in each task."""
+def scored(found: DataFrame, terms: Terms, df: dict[int, int], total: int, all_terms: int, best: int, triples: int) -> DataFrame:
+    """The best documents of each item in each task, in ranges of so many triples."""
     weights = np.array([math.floor(1000 * math.log((2 * total + 2) / (2 * df.get(t, 0) + 1))) if df.get(t) else 0 for t in range(len(terms.hashes))], np.int64)
     held = sent(found.sparkSession, (weights, terms.first, terms.items, terms.times))
 
@@ -197,7 +197,7 @@ def scored(found: DataFrame, terms: Terms, df: dict[int, int], total: int, all_t
         weights, first, items, times = held.value
         n_items, sizes, heaps = int(items.max()) + 1 if len(items) else 1, np.diff(first), Heaps(best)
         for batch in batches:
-            for ids, doc, term, impact in in_ranges(batch, weights, sizes, total, all_terms):
+            for ids, doc, term, impact in in_ranges(batch, weights, sizes, total, all_terms, triples):
                 many = sizes[term]
                 before = np.cumsum(many) - many
                 index = np.arange(many.sum()) + np.repeat(first[term] - before, many)
@@ -215,7 +215,7 @@ def blocks_of(items: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n))), n
 
 
-def search(docs: DataFrame, items: DataFrame, best: int = BEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, best: int = BEST, block_bytes: int = BLOCK_BYTES, triples: int = TRIPLES) -> DataFrame:
     """For each item (item_id, text) its highest-scoring documents (doc_id, text): item_id, rank from 1, doc_id, score.
 
     Scores are those of the query's contract, in whole numbers. Equal scores come by ascending id, documents without an id last. Null and empty texts have no terms, match nothing and count in
@@ -250,7 +250,7 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, block_bytes: int
         # as many rows as the block has terms
         df = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
         names = spark.createDataFrame(list(enumerate(each)), items.select(F.lit(0).alias("item"), "item_id").schema)
-        parts.append((scored(found, terms, df, total, all_terms, best), names))
+        parts.append((scored(found, terms, df, total, all_terms, best, triples), names))
 
     def ranked(top: DataFrame, *by: str) -> DataFrame:
         return top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))).where(F.col("rank") <= best)

@@ -143,3 +143,16 @@ def test_empty_tables(documents):
     docs = documents(["a b", None]).selectExpr("doc_id", "text", "true as held_out", "false as learn")
     assert {(r.n_tokens, r.n_known, r.train_tokens) for r in language_scores(docs).collect()} == {(3, 0, 0), (1, 0, 0)}
     assert language_model_report(documents(["a"]).limit(0)).count() == 0
+
+
+def test_each_block_has_a_task_of_its_own(spark):
+    """Blocks of several input tasks, of unlike numbers, are numbered without gaps."""
+    from remarkt.llm import hmm
+
+    blocks = [(task << 24) + k for task, n in ((0, 3), (2, 1), (7, 5)) for k in range(n)]
+    coded = spark.createDataFrame([(b, kind, lid) for b in blocks for kind, lid in ((0, 0), (0, 1), (1, None), (1, None))], "block long, kind int, lid int")
+    placed, tasks = hmm.by_number(coded, coded)
+    rows = placed.repartitionById(tasks, "nth").selectExpr("spark_partition_id() as p", "block", "nth").distinct().collect()
+    assert tasks == len(rows) == 9 and {r.block: r.nth for r in rows} == {b: i for i, b in enumerate(blocks)} and len({r.p for r in rows}) == 9
+    empty = coded.where("false")
+    assert hmm.by_number(empty, empty)[1] == 1

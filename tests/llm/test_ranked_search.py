@@ -56,11 +56,10 @@ def corpus():
 
 
 @pytest.mark.parametrize("block_bytes", [8 << 20, 200])
-def test_brute_force(spark, corpus, block_bytes, monkeypatch):
+def test_brute_force(spark, corpus, block_bytes):
     """Ids that repeat, many ties; one block of items or several; ranges of few documents."""
     docs, items = corpus
-    monkeypatch.setattr(ranked_search, "TRIPLES", 100)
-    assert got(search(frame(spark, docs, "doc_id").repartition(5), frame(spark, items, "item_id"), block_bytes=block_bytes)) == brute(docs, items)
+    assert got(search(frame(spark, docs, "doc_id").repartition(5), frame(spark, items, "item_id"), block_bytes=block_bytes, triples=100)) == brute(docs, items)
 
 
 def test_nulls_repeats_and_clashing_columns(spark):
