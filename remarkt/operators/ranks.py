@@ -22,19 +22,15 @@ def splitters(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
 
 
 def range_of(value: Column, bounds: Sequence[float]) -> Column:
-    """How many of the sorted bounds are under a value: steps of halving, as one expression."""
-    if not bounds:
-        return F.lit(0)
-    held = F.array(*(F.lit(b) for b in bounds))
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        under, done = F.get(held, mid) < value, s["lo"] >= s["hi"]
-        return F.struct(F.when(~done & under, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(~done & ~under, mid).otherwise(s["hi"]).alias("hi"))
-
-    return F.aggregate(steps, state, halve)["lo"]
+    """How many of the sorted bounds are under a value: a balanced tree of comparisons, so a row takes as many as the tree is deep."""
+
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value > bounds[mid], below(mid + 1, hi)).otherwise(below(lo, mid))
+
+    return below(0, len(bounds))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
