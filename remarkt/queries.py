@@ -410,11 +410,11 @@ SCORES = f"""SELECT *, CASE condition WHEN 'A' THEN 85 WHEN 'C' THEN 50 ELSE 70
 CASE WHEN box THEN 3 ELSE 0 END + CASE WHEN charger THEN 2 ELSE 0 END + CASE WHEN box AND charger THEN 5 ELSE 0 END AS bonus, CAST(regexp_extract(storage, '[0-9]+') AS DOUBLE) AS gb FROM ({PHONES})"""
 
 
-def phones(spark, d):
+def phones(spark, d, *more):
     q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
     pick = lambda i, *v: F.element_at(F.array(*(F.lit(x) for x in v)), (i % len(v) + 1).cast("int"))
     return read(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q).alias("item"), pick(n, "Good", "A", "C", "odd").alias("condition"), (60 + F.col("l_quantity") * 0.75).alias("battery_percentage"), pick(q, "clean", "scratched", "cracked").alias("screen_condition"),
+        "l_orderkey", "l_linenumber", *more, F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q).alias("item"), pick(n, "Good", "A", "C", "odd").alias("condition"), (60 + F.col("l_quantity") * 0.75).alias("battery_percentage"), pick(q, "clean", "scratched", "cracked").alias("screen_condition"),
         (n % 2 == 0).alias("has_box"), (n % 3 == 0).alias("has_charger"), pick(q, "64GB", "128GB", "1TB", "512GB").alias("storage"),
     )
 
@@ -584,7 +584,7 @@ def release_years(spark, d):
     k = (F.col("l_partkey") % 4).cast("int")
     line = F.element_at(F.array(F.lit("iphone"), F.lit("iPhone"), F.lit("Galaxy"), F.lit("Pixel")), k + 1)
     number = F.element_at(F.array(F.lit("12 Pro"), F.lit("13 mini"), F.lit("S23"), F.lit("8a")), k + 1)
-    df = phones(spark, d).join(read(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("item"), "l_partkey"), "item")
+    df = phones(spark, d, "l_partkey")
     return features.engineer(df.withColumns({"model_line": line, "model_number": number, "variant": F.lit("")}), years).select("l_orderkey", "l_linenumber", "l_partkey", "device_age_years")
 
 
