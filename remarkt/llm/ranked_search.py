@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import sent, small_batches, staged
-from .words import ALNUM, LOWER, Texts, groups, ranges
+from .words import ALNUM, LOWER, Texts, groups, ranges, same_bytes
 
 BEST = 20
 #: Text of a block of items, which is held by the driver and each worker, and its items at most: a radix sort's digit.
@@ -72,16 +72,6 @@ def terms_of(items: list[str]) -> Terms:
     )
 
 
-def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether so many bytes are equal, for each pair of places."""
-    if not len(sizes):
-        return np.zeros(0, bool)
-    before = np.concatenate(([0], np.cumsum(sizes)))
-    step = np.arange(before[-1])
-    equal = a[step + np.repeat(a_at - before[:-1], sizes)] == b[step + np.repeat(b_at - before[:-1], sizes)]
-    return np.logical_and.reduceat(equal, before[:-1])
-
-
 def postings(column: pa.Array, terms: Terms) -> dict[str, pa.Array]:
     """Of each text the number of its terms, those of the block, sorted, and how often it has each."""
     texts = Texts(column)

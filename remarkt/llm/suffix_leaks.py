@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import sent, staged
-from .words import ALNUM, LOWER, Texts, groups, per_text, ranges, window_hashes
+from .words import ALNUM, LOWER, Texts, groups, per_text, ranges, same_bytes, window_hashes
 
 WINDOW = 10
 #: Words two suffixes must share at least for the one to enter the array.
@@ -54,11 +54,6 @@ class Suffixes:
     seeds: dict[int, np.ndarray]
     order: np.ndarray
 
-    def window(self, k: int) -> list[bytes]:
-        """The words of a window."""
-        at = self.place[k]
-        return [self.raw[a:b] for a, b in zip(self.starts[at : at + self.lengths[k]].tolist(), self.ends[at : at + self.lengths[k]].tolist(), strict=True)]
-
 
 def suffix_order(hashes: np.ndarray) -> np.ndarray:
     """Places in the order of the suffixes that start there, by doubling: a rank for 1, 2, 4, ... words."""
@@ -182,17 +177,30 @@ def matches(words, hashes: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, np.
     place, window = at[np.repeat(lo, sizes) + inside], np.repeat(which, sizes)
     if not len(place):
         return none, none
-    raw = LOWER[words.texts.data].tobytes()
-    same = np.zeros(len(place), bool)
-    wanted: dict[int, list[bytes]] = {}
-    for i, (p, w) in enumerate(zip(place.tolist(), window.tolist(), strict=True)):
-        if w not in wanted:
-            wanted[w] = tests.window(w)
-        own = wanted[w]
-        same[i] = [raw[a:b] for a, b in zip(words.starts[p : p + len(own)].tolist(), words.ends[p : p + len(own)].tolist(), strict=True)] == own
+    same = confirmed(words, place, window, tests)
     return place[same], window[same]
 
 
+def confirmed(words, place: np.ndarray, window: np.ndarray, tests: Suffixes, most: int = 1 << 20) -> np.ndarray:
+    """Whether the words from each place on are those of the window, byte for byte; about most bytes at a time, or one window's."""
+    folded, raw = LOWER[words.texts.data], np.frombuffer(tests.raw, np.uint8)
+    first, lengths = tests.place[window], tests.lengths[window]
+    upto = np.concatenate(([0], np.cumsum(tests.ends[first + lengths - 1] - tests.starts[first])))
+    same, lo = np.zeros(len(place), bool), 0
+    while lo < len(place):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, side="right")) - 1)
+        n = lengths[lo:hi]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(begin, n)
+        own, test = np.repeat(place[lo:hi], n) + step, np.repeat(first[lo:hi], n) + step
+        sizes = words.ends[own] - words.starts[own]
+        equal = sizes == tests.ends[test] - tests.starts[test]
+        equal[equal] = same_bytes(folded, words.starts[own[equal]], raw, tests.starts[test[equal]], sizes[equal])
+        same[lo:hi] = np.logical_and.reduceat(equal, begin)
+        lo = hi
+    return same
+
+
 def extents(hashes: np.ndarray, at: np.ndarray, most: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of words from each of at on, most of them, how many stand in some item one after the other; and the range of suffixes that begin so."""
     lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(tests.order), np.int64)
