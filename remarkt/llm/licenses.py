@@ -7,7 +7,10 @@ template into covered spans; a template is found when the chain covers enough of
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import deque
 from importlib import resources
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -163,22 +166,38 @@ class Scanner:
     def chains(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, share of the template) of each chain that covers enough: runs in the order of the template, near each other in the text.
 
-        Of the chains that begin with a run the one that covers most; words of overlaps count once.
+        Of the chains that begin with a run the one that covers most; words of overlaps count once. Stretches of text
+        that runs lie on begin and end in the same order, so only the last few are within reach of the next one; of a
+        stretch's places in the template the best below a bound is kept, so a run looks for its predecessor by
+        bisection and at the few places that it overlaps.
         """
+        of: dict[int, dict[tuple[int, int], list[int]]] = {}
+        for template, there, here, length in runs:
+            of.setdefault(template, {}).setdefault((here, length), []).append(there)
         found = []
-        for template in sorted({r[0] for r in runs}):
-            own, size = sorted((r[1:] for r in runs if r[0] == template), key=lambda r: (r[1], r[0])), len(self.templates[template])
-            best: list[tuple[int, int]] = []  # for each run: words that the best chain ending there covers, and the run it begins with
-            for i, (there, here, length) in enumerate(own):
-                top = (length, i)
-                for j in range(i - 1, -1, -1):
-                    before, at, words = own[j]
-                    if here - at > self.gap + size:
-                        break
-                    gain = length - max(0, at + words - here, before + words - there)
-                    if gain > 0 and before < there and at < here and here - at - words <= self.gap:
-                        top = max(top, (best[j][0] + gain, best[j][1]), key=lambda t: (t[0], -t[1]))
-                best.append(top)
+        for template, stretches in sorted(of.items()):
+            size, own, best = len(self.templates[template]), [], []  # for each run: words that the best chain ending there covers, and the run it begins with
+            near: deque[tuple[int, int, list[int], list[tuple[int, int]], list[tuple[int, int]]]] = deque()
+            for (here, length), places in sorted(stretches.items()):
+                places.sort()
+                while near and here - near[0][0] - near[0][1] > self.gap:
+                    near.popleft()
+                tops = []
+                for there in places:
+                    top = (length, -len(own))
+                    own.append((there, here, length))
+                    for at, words, before, covered, upto in near:
+                        # places at least step words before there lose only the words that overlap in the text
+                        step = min(words, here - at)
+                        k = bisect_right(before, there - step)
+                        if k and length > words - step:
+                            top = max(top, (upto[k - 1][0] + length - words + step, upto[k - 1][1]))
+                        for j in range(k, bisect_left(before, there)):
+                            if (gain := length - words + there - before[j]) > 0:
+                                top = max(top, (covered[j][0] + gain, covered[j][1]))
+                    tops.append(top)
+                best += [(covered, -root) for covered, root in tops]
+                near.append((here, length, places, tops, list(accumulate(tops, max))))
             ends: dict[int, int] = {}
             for i, (covered, root) in enumerate(best):
                 if covered >= self.cover * size and (root not in ends or covered > best[ends[root]][0]):

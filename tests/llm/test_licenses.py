@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -103,3 +104,57 @@ def test_chains_equal_brute_force(seed):
     found = scanner.chains(runs)
     assert bool(found) == (best >= 0.5 * 12)
     assert not found or max(f[3] for f in found) == min(1.0, best / 12)
+
+
+def plain_chains(scanner, runs):
+    """Chains by trying every predecessor of a run."""
+    found = []
+    for template in sorted({r[0] for r in runs}):
+        own, size = sorted((r[1:] for r in runs if r[0] == template), key=lambda r: (r[1], r[0])), len(scanner.templates[template])
+        best = []
+        for i, (there, here, length) in enumerate(own):
+            ways = [(length, -i)]
+            for (before, at, words), (covered, root) in zip(own, best, strict=False):
+                gain = length - max(0, at + words - here, before + words - there)
+                if gain > 0 and before < there and at < here and here - at - words <= scanner.gap:
+                    ways.append((covered + gain, root))
+            best.append(max(ways))
+        for root in sorted({-r for _, r in best}):
+            covered, last = max((c, -i) for i, (c, r) in enumerate(best) if r == -root)
+            if covered >= scanner.cover * size:
+                found.append((scanner.labels[template], own[root][1], sum(own[-last][1:]) - 1, min(1.0, covered / size)))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_chains_equal_trying_every_predecessor(seed):
+    rng = random.Random(seed)
+    words = "abcdefgh"[: rng.choice((2, 3, 4, 8))]
+    templates = [("x", " ".join(rng.choice(words) for _ in range(rng.randrange(3, 40)))) for _ in range(3)]
+    scanner = Scanner(templates, (), rng.randrange(1, 4), rng.choice((0.2, 0.5, 0.8)), rng.randrange(6))
+    text = []
+    while len(text) < 100:
+        own = rng.choice(templates)[1].split()
+        at = rng.randrange(len(own))
+        text += own[at : at + rng.randrange(1, 12)] + [rng.choice(words + "z") for _ in range(rng.randrange(4))]
+    number = {w: i for i, w in enumerate(sorted({w for _, t in templates for w in t.split()}))}
+    runs = scanner.runs([number.get(w, scanner.n) for w in text], 0)
+    assert scanner.chains(runs) == plain_chains(scanner, runs)
+
+
+def test_long_text_of_phrases_is_linear():
+    """Runs looked at, not seconds: a run's predecessors are those within reach, however long the template is."""
+    own = words_of(dict(bodies())["gpl-3"])
+    rng, text = random.Random(1), []
+    for _ in range(20000):
+        at = rng.randrange(len(own) - 10)
+        text += own[at : at + rng.randrange(4, 9)]
+    scanner = Scanner(bodies())
+    number = {w: i for i, w in enumerate(sorted({w for _, t in bodies() for w in words_of(t)} | {w for p, _ in PHRASES for w in p.split()}))}
+    took = []
+    for n in (len(text) // 2, len(text)):
+        runs = scanner.runs([number[w] for w in text[:n]], 0)
+        began = time.process_time()
+        scanner.chains(runs)
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.5
