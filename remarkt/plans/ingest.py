@@ -41,17 +41,18 @@ def ingest(batch: DataFrame, lake: DataFrame, path: str, source: Column, now: Co
     """Append the new rows at path; a second run of the same batch inserts none."""
     if "link" not in batch.columns:
         return Outcome("missing_link_column", batch.count(), 0, 0, 0)
-    counts = valid_links(batch).agg(F.count(F.lit(1)), F.count_distinct("link")).first()
-    received = batch.count()
+    link = F.trim("link")
+    found = F.when(F.length(link) > 0, link)
+    received, valid, distinct = batch.agg(F.count(F.lit(1)), F.count(found), F.count_distinct(found)).first()
     if not received:
         return Outcome("empty_df", 0, 0, 0, 0)
-    if not counts[0]:
+    if not valid:
         return Outcome("no_valid_links", received, 0, 0, 0)
     rows = schema.conform(new_rows(batch, lake, source, now, order), schema.RAW_ITEMS)
     seen = Observation()
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     n = seen.get["n"]
-    return Outcome("inserted" if n else "all_duplicates", received, counts[0], counts[1], n)
+    return Outcome("inserted" if n else "all_duplicates", received, valid, distinct, n)
 
 
 #: Status of a source's run by its outcome code.

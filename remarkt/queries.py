@@ -17,7 +17,7 @@ from .operators import ranks, rows, statistics
 from .plans import etl, ingest, models, search, training, trigrams
 from .schema import FORECASTS, LISTINGS, PRICE_HISTORY, PRODUCTS, RAW_ITEMS, ensure_columns
 from .sources import html, store, tables
-from .streaming import changes
+from .streaming import changes, incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -824,3 +824,139 @@ def run_ledger(spark, d):
     link = F.when(F.col("o_orderpriority").startswith("2"), F.lit(" ")).when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit(" "), key, F.lit(" ")))
     lake = orders.where("o_orderkey % 2 = 0 or o_orderpriority like '1%'").select(key.alias("link"))
     return ingest.ledger(orders.select(F.col("o_orderpriority").alias("source"), link.alias("link")), lake, RUN_SOURCES)
+
+
+# --- intake, exchange, requests
+
+
+#: A capture's columns in both engines' SQL: blank and missing links, blank names, prices that are no number, unknown marks.
+CAPTURED = """CASE WHEN l_quantity > 45 THEN '  ' WHEN l_quantity <= 40 THEN concat(' L', l_orderkey % 5000, '-', l_linenumber, ' ') END AS link, CASE WHEN l_partkey % 4 = 0 THEN ' ' ELSE concat('n', l_partkey) END AS name,
+CASE WHEN l_linenumber % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(floor(l_extendedprice) AS DOUBLE) END AS price, CASE l_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_junk, CAST(l_suppkey % 100 AS INTEGER) AS battery_percentage"""
+CAPTURE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query(f"""WITH c AS (SELECT * REPLACE (trim(link) AS link) FROM (SELECT *, {CAPTURED} FROM lineitem) WHERE trim(link) <> ''), a AS (SELECT *, 'first' AS source, row_number() OVER (PARTITION BY link ORDER BY {', '.join(CAPTURE_ORDER)}) AS k FROM c WHERE l_linenumber < 4),
+b AS (SELECT *, 'second' AS source, row_number() OVER (PARTITION BY link ORDER BY {', '.join(CAPTURE_ORDER)}) AS k FROM c WHERE link NOT IN (SELECT link FROM a))
+SELECT link, nullif(name, ' ') AS name, CASE WHEN NOT isnan(price) THEN CAST(price AS VARCHAR) END AS price, coalesce(is_junk, FALSE) AS is_junk, battery_percentage, source, 'extracted_layer2' AS status, FALSE AS processed, '2026-01-02 03:04:05' AS ingested_at
+FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE k = 1""")
+def lake_ingest(spark, d):
+    """A capture, a wider one and the first again into the lake: each valid link comes in once, with the capture that had it first."""
+    df = spark.sql(f"SELECT {', '.join(CAPTURE_ORDER)}, {CAPTURED} FROM {{line}}", line=read(spark, d, "lineitem"))
+    path, lake = store.fresh(spark, "lake"), spark.createDataFrame([], RAW_ITEMS)
+    for batch, source in ((df.where("l_linenumber < 4"), "first"), (df, "second"), (df.where("l_linenumber < 4"), "again")):
+        ingest.ingest(batch, lake, path, F.lit(source), now(), F.struct(*CAPTURE_ORDER))
+        lake = spark.read.schema(RAW_ITEMS).parquet(path)
+    return lake.select("link", "name", "price", "is_junk", "battery_percentage", "source", "status", "processed", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("ingested_at"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 < 2 THEN 1 ELSE 2 END AS run FROM orders")
+def incremental_runs(spark, d):
+    """Files that came between runs: the first run takes what is there, the second the new ones alone, the third none."""
+    df = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    came, out, seen = (store.fresh(spark, name) for name in ("came", "loaded", "checkpoint"))
+    for run, part in enumerate((df.where("o_orderkey % 3 < 2"), df.where("o_orderkey % 3 = 2"), None), 1):
+        if part is not None:
+            part.write.mode("append").parquet(came)
+        incremental.run_new_files(spark, came, df.schema, seen, lambda batch, number, run=run: batch.write.mode("overwrite").parquet(f"{out}/run={run}/batch={number}"))
+    return spark.read.schema("o_orderkey bigint, o_orderstatus string, run int, batch bigint").parquet(out).drop("batch")
+
+
+@query("SELECT doc_id, source, CASE WHEN doc_id % 3 > 0 THEN lang END AS lang, '  ' || text || ' ' AS text FROM documents")
+def csv_exchange(spark, d):
+    """Texts with line ends, quotes and blanks at their ends, out as text for spreadsheets and back."""
+    df = read(spark, d, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang"), F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"))
+    path = store.fresh(spark, "csv")
+    tables.write_csv(df, path)
+    return tables.read_csv(spark, path, df.schema)
+
+
+#: Words of requests, and what they are as a flag and as a boolean.
+REQUESTED = (("0", 0, False), ("false", 0, False), (" No ", 0, False), ("", 0, False), ("OFF", 0, False), ("1", 1, True), ("TRUE", 1, True), (" yes ", 1, True), ("on", 1, True), ("2", 1, True), ("0.5", 0, True), ("-3", 1, True), ("abc", 0, True), ("1e3", 1, True))
+
+
+def pick(i, words):
+    return F.element_at(F.array(*(F.lit(x) for x in words)), (i % len(words) + 1).cast("int"))
+
+
+@query(f"""SELECT event_id, CASE WHEN user_id % 4 > 0 THEN {[f for _, f, _ in REQUESTED]}[event_id % {len(REQUESTED)} + 1] ELSE 0 END AS flag, user_id % 4 > 0 AND {[b for _, _, b in REQUESTED]}[event_id % {len(REQUESTED)} + 1] AS truth FROM events""")
+def request_flags(spark, d):
+    value = F.when(F.col("user_id") % 4 > 0, pick(F.col("event_id"), [w for w, _, _ in REQUESTED]))
+    return read(spark, d, "events").select("event_id", scalars.as_flag(value).alias("flag"), scalars.as_boolean(value).alias("truth"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 < 2 THEN replace(url, '://', '://***:***@') ELSE url END AS uri FROM pages")
+def redacted_uris(spark, d):
+    """Addresses with a user's name, with name and password, and with neither."""
+    who = F.element_at(F.array(F.lit("://reader@"), F.lit("://reader:s3cret@"), F.lit("://")), (F.col("page_id") % 3 + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", scalars.redact_uri(F.replace("url", F.lit("://"), who)).alias("uri"))
+
+
+@query("""WITH t AS (SELECT p_partkey, '{"battery": ' || p_size || ', "brand": "' || p_brand || '"}' AS json, 'smart_v1.0_r2_' || printf('%.3f', p_size / 100.0) AS version FROM part)
+SELECT p_partkey, substr(sha256(json), 1, 16) AS mark, 'depcurve:' || p_partkey || ':' || version || ':' || substr(sha256(json), 1, 16) || ':0-12:fx175.5' AS key FROM t""")
+def curve_keys(spark, d):
+    """Of each product the mark of its inputs, and the key that its curve is kept by."""
+    size = F.col("p_size")
+    mark = scalars.fingerprint(F.concat(F.lit('{"battery": '), size, F.lit(', "brand": "'), "p_brand", F.lit('"}')))
+    key = scalars.cache_key(F.col("p_partkey").cast("string"), scalars.model_version(size / 100.0, "smart_v1.0"), mark, F.lit("0-12"), F.lit(175.5))
+    return read(spark, d, "part").select("p_partkey", mark.alias("mark"), key.alias("key"))
+
+
+#: Labels in detail pages, and whether they name the condition.
+LABELS = (
+    ("Item Condition", True), ("condition", True), (" CONDITION\u3000", True), ("the Item  condition", True), ("商品の状態", True), ("コンディション", True), ("状態：中古", True), ("Highest Bidder condition", False), ("Number of bids", False),
+    ("International shipping 状態", False), ("conditions", False), ("Color", False), ("", False),
+)
+
+
+@query(f"SELECT o_orderkey, o_orderstatus <> 'P' AND {[b for _, b in LABELS]}[o_orderkey % {len(LABELS)} + 1] AS is_condition FROM orders")
+def condition_labels(spark, d):
+    label = F.when(F.col("o_orderstatus") != "P", pick(F.col("o_orderkey"), [x for x, _ in LABELS]))
+    return read(spark, d, "orders").select("o_orderkey", scalars.is_condition_label(label).alias("is_condition"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS yen FROM orders WHERE o_orderkey % 2 = 1)
+SELECT o_orderkey, yen AS price_yen, CASE WHEN yen IS NULL THEN 7.0 ELSE round (yen * 180) END AS price_vnd, '2026-01-02 03:04:05' AS updated_at, '2026-01-02 03:04:05' AS record_time FROM n""")
+def every_update_log(spark, d):
+    """What an update sets on its row, and a log row for every update, changed or not."""
+    old = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price_yen"), F.lit(7.0).alias("price_vnd"))
+    new = rows.touch(old.where("o_orderkey % 2 = 1").withColumn("price_yen", F.when(F.col("o_orderkey") % 5 > 0, F.col("price_yen"))), now(), config.YEN_TO_VND_TRIGGER)
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    log = rows.price_changes(old.withColumn("updated_at", F.lit(None).cast("timestamp")), new, "o_orderkey", ["price_yen", "price_vnd", "updated_at"], now(), every=True)
+    return log.select("o_orderkey", "price_yen", "price_vnd", at("updated_at"), at("record_time"))
+
+
+@query("SELECT 'o' || o_orderkey AS link, o_orderpriority AS name FROM orders ORDER BY 1 LIMIT 3000")
+def label_rows(spark, d):
+    """Rows for labelling: the first 3000 by link, of the wide lake six columns."""
+    lake = ensure_columns(read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("link"), F.col("o_orderpriority").alias("name")), RAW_ITEMS)
+    wide = lake.withColumn("original_explanation", F.col("explanation"))
+    return tables.label_candidates(wide).select("link", "name")
+
+
+#: Phrases of descriptions and what they say; texts between them keep a phrase's negations to itself.
+SAID = (
+    ("充電器あり", "charger"), ("充電器はなし", ""), ("ACアダプター付属", "charger"), ("ケーブル付き", "cable"), ("ケーブルNG", ""), ("イヤホンあり", "earphones"), ("EarPodsはありません", ""), ("付属品完備", "complete box charger cable"), ("外箱付き", "box"), ("箱は無し", ""),
+    ("画面割れあり", "cracked"), ("割れなし", ""), ("画面に傷あり", "scratched"), ("スレは無し", ""), ("Face ID OK", "face_named face"), ("顔認証不可", "face_named"), ("指紋で開く", "touch_named touch"), ("Touch IDなし", "touch_named"), ("バッテリー交換済み", "replaced"),
+    ("battery good", "good"), ("battery degraded", "degraded"), ("SIMロックあり", "lock"), ("シムフリー", "free"), ("ジャンク品", "issues"), ("メモリ 8GB", "ram"), ("容量 128GB", "small"), ("容量 1TB", "large"), ("最大容量 91％", "percent"), ("外装きれい", ""),
+)
+BETWEEN = "、写真をよくご確認のうえご購入をお願いします、"
+
+
+def said_sql(mark: str) -> str:
+    marks = [mark in own.split() for _, own in SAID]
+    return "(" + " OR ".join(f"{marks}[{k} % {len(SAID)} + 1]" for k in ("l_partkey", "l_suppkey", "l_orderkey")) + ")"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {said_sql("box")} AS has_box, {said_sql("charger")} AS has_charger, {said_sql("cable")} AS has_cable, {said_sql("earphones")} AS has_earphones, {said_sql("complete")} AS accessories_complete,
+{said_sql("scratched")} AS has_scratches, {said_sql("cracked")} AS has_damage, CASE WHEN {said_sql("cracked")} THEN 'cracked' WHEN {said_sql("scratched")} THEN 'scratched' ELSE 'clean' END AS screen_condition, CASE WHEN {said_sql("scratched")} THEN 'used' ELSE 'good' END AS body_condition,
+CASE WHEN {said_sql("face_named")} THEN NOT {said_sql("face")} END AS face_id_working, CASE WHEN {said_sql("touch_named")} THEN NOT {said_sql("touch")} END AS touch_id_working, {said_sql("issues")} AS has_issues,
+NOT ({said_sql("issues")} OR {said_sql("face")} OR {said_sql("touch")}) AS fully_functional, {said_sql("replaced")} AS battery_replaced, CASE WHEN {said_sql("good")} THEN 'good' WHEN {said_sql("degraded")} THEN 'degraded' END AS battery_status,
+{said_sql("free")} AS is_sim_free, CASE WHEN {said_sql("free")} THEN 'unlocked' WHEN {said_sql("lock")} THEN 'locked' END AS sim_lock_status, CASE WHEN {said_sql("ram")} THEN '8GB' END AS ram, CASE WHEN {said_sql("large")} THEN '1TB' WHEN {said_sql("small")} THEN '128GB' END AS storage,
+CASE WHEN {said_sql("percent")} THEN 91 END AS battery_percentage FROM lineitem""")
+def described_items(spark, d):
+    """Three phrases a description, affirmed or denied: accessories, cracks, unlocking by face or finger, battery, sizes, locks."""
+    said = [F.concat(pick(F.col(k), [p for p, _ in SAID]), F.lit(BETWEEN)) for k in ("l_partkey", "l_suppkey", "l_orderkey")]
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    df = extract.description_features(read(spark, d, "lineitem").select(*keys, F.concat(*said).alias("explanation")))
+    own = ("has_box", "has_charger", "has_cable", "has_earphones", "accessories_complete", "has_scratches", "has_damage", "screen_condition", "body_condition", "face_id_working", "touch_id_working", "has_issues", "fully_functional")
+    return df.select(*keys, *own, "battery_replaced", "battery_status", "is_sim_free", "sim_lock_status", "ram", "storage", "battery_percentage")

@@ -18,10 +18,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
-    """With a header in each file and, for spreadsheets, a byte order mark before it."""
+    """With a header in each file and, for spreadsheets, a byte order mark before it. Blanks at either end of a value stay."""
     first = df.columns[0]
     named = df.withColumnRenamed(first, "\ufeff" + first) if mark else df
-    named.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    named.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
