@@ -132,33 +132,28 @@ def model(text: Column) -> Column:
 
 
 def sizes(text: Column, pattern: str = config.SIZE) -> Column:
-    """(gb, label) of each size in the text."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("u"))
-    unit = lambda u: F.when(F.upper(u).isin("GB", "ギガ"), "GB").otherwise("TB")
-    number = lambda p: p["n"].try_cast("bigint")
-    return F.transform(pairs, lambda p: F.struct((number(p) * F.when(unit(p["u"]) == "TB", 1024).otherwise(1)).alias("gb"), F.concat(number(p).cast("string"), unit(p["u"])).alias("label")))
+    """(gb, label) of each size in the text, which is searched once."""
+    unit = lambda m: F.when(F.upper(F.regexp_extract(m, pattern, 2)).isin("GB", "ギガ"), "GB").otherwise("TB")
+    number = lambda m: F.regexp_extract(m, pattern, 1).try_cast("bigint")
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct((number(m) * F.when(unit(m) == "TB", 1024).otherwise(1)).alias("gb"), F.concat(number(m).cast("string"), unit(m)).alias("label")))
 
 
 def largest(found: Column) -> Column:
-    """The label of the largest; of equal ones the first."""
-    top = F.array_max(F.transform(found, lambda x: x["gb"]))
-    return F.filter(found, lambda x: x["gb"] == top)[0]["label"]
+    """The label of the largest; of equal ones the first, null without any. The array stands here once: lambdas would find it anew for each element."""
+    return F.array_max(F.transform(found, lambda x, i: F.struct(x["gb"].alias("gb"), (-i).alias("i"), x["label"].alias("label"))))["label"]
 
 
 def smallest(found: Column) -> Column:
-    low = F.array_min(F.transform(found, lambda x: x["gb"]))
-    return F.filter(found, lambda x: x["gb"] == low)[0]["label"]
+    return F.array_min(F.transform(found, lambda x, i: F.struct(x["gb"].alias("gb"), i.alias("i"), x["label"].alias("label"))))["label"]
 
 
 def capacity(text: Column) -> Column:
-    found = sizes(text)
-    storage = F.filter(found, lambda x: x["gb"] >= 32)
-    return F.when(F.size(found) == 1, found[0]["label"]).when(F.size(storage) > 0, largest(storage)).when(F.size(found) > 0, largest(found))
+    """Of several sizes the largest is the storage, whether or not it reaches 32 GB."""
+    return largest(sizes(text))
 
 
 def ram(text: Column) -> Column:
-    may = F.filter(sizes(text, r"(?U)(\d+)\s*(GB|gb|ギガ)"), lambda x: x["gb"] <= 24)
-    return F.when(F.size(may) > 0, smallest(may))
+    return smallest(F.filter(sizes(text, r"(?U)(\d+)\s*(GB|gb|ギガ)"), lambda x: x["gb"] <= 24))
 
 
 def variant(found: Column, compat: bool = True) -> Column:
@@ -191,17 +186,18 @@ def clean_description(text: Column) -> Column:
 
 
 def battery_percentage(text: Column) -> Column:
-    return F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("int") for p in config.BATTERY))
+    # every pattern ends in a per cent sign
+    return F.when(text.rlike("[%％]"), F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("int") for p in config.BATTERY)))
 
 
 def description_ram(text: Column) -> Column:
     found = [F.regexp_extract(text, p, 1).try_cast("int") for p in config.RAM]
-    return F.coalesce(*(F.when(n <= 24, F.concat(n.cast("string"), F.lit("GB"))) for n in found))
+    # every pattern has GB in any case
+    return F.when(F.lower(text).contains("gb"), F.coalesce(*(F.when(n <= 24, F.concat(n.cast("string"), F.lit("GB"))) for n in found)))
 
 
 def description_storage(text: Column) -> Column:
-    may = F.filter(sizes(text), lambda x: x["gb"] >= 32)
-    return F.when(F.size(may) > 0, largest(may))
+    return largest(F.filter(sizes(text), lambda x: x["gb"] >= 32))
 
 
 def description_features(df: DataFrame, description: str = "explanation", compat: bool = True) -> DataFrame:
