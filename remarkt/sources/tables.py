@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Comma-separated text with a header, quoted line ends and, maybe, a byte order mark."""
+    """Comma-separated text with a header, quoted line ends and, maybe, a byte order mark. Empty values are null, quoted or not."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
