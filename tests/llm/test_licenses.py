@@ -143,7 +143,7 @@ def test_chains_equal_trying_every_predecessor(seed):
 
 
 def test_long_text_of_phrases_is_linear():
-    """Runs looked at, not seconds: a run's predecessors are those within reach, however long the template is."""
+    """Growth of the time, not seconds: twice the text takes about twice as long."""
     own = words_of(dict(bodies())["gpl-3"])
     rng, text = random.Random(1), []
     for _ in range(20000):
