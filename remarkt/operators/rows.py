@@ -17,6 +17,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return df.groupBy(*keys).agg(least.alias("_row")).select("_row.*")
 
 
+def spread(df: DataFrame, tasks: int = 4) -> DataFrame:
+    """df dealt to so many tasks for each core: for work that takes long on few or small rows."""
+    return df.repartition(tasks * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def valid_links(df: DataFrame, link: str = "link") -> DataFrame:
     """Links trimmed; rows without one go."""
     return df.withColumn(link, F.trim(link)).where(F.length(link) > 0)

@@ -396,9 +396,10 @@ def marketplace_pages(spark, d):
         page = F.lit(PAGES[kind])
         for name in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"):
             page = F.replace(page, F.lit(f"{{{name}}}"), F.col(name).cast("string"))
-        df = read(spark, d, "part").where(F.col("p_partkey") % 3 == k).select("p_partkey", page.alias("html"))
+        # parts take a few row groups, their pages much time
+        df = rows.spread(read(spark, d, "part").where(F.col("p_partkey") % 3 == k)).select("p_partkey", page.alias("html"))
         df = df.select("p_partkey", html.detail(F.col("html"), kind).alias("found"), html.listing_cards(F.col("html"), kind, "https://shop.example").alias("cards"))
-        return df.select("p_partkey", F.lit(kind).alias("kind"), "found", F.posexplode("cards").alias("position", "card")).select("p_partkey", "kind", "position", "card.*", "found.*")
+        return df.select("p_partkey", F.lit(kind).alias("kind"), "found", F.posexplode_outer("cards").alias("position", "card")).where("position is not null").select("p_partkey", "kind", "position", "card.*", "found.*")
 
     return reduce(DataFrame.unionByName, (parsed(k, kind) for k, kind in enumerate(html.KINDS)))
 
