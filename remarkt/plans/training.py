@@ -38,28 +38,56 @@ def product_baseline(listings: DataFrame, key: str = "product_id") -> DataFrame:
     return found.withColumnsRenamed({"condition_rank": "condition"})
 
 
-def term_weights(df: DataFrame, key: str, text: str, terms: int = 500, least: int = 2, most: float = 0.8) -> DataFrame:
-    """key, term and score: frequency times inverse document frequency, as rows, of words and pairs of neighbours in a key's text.
+#: Keys of several rows that are broadcast; more are joined by a shuffle.
+AGAIN = 1 << 16
 
-    Terms are those in at least so many keys and at most such a share of all, the most frequent ones, of ties the
-    smaller. Null texts have none. Terms stay rows: the vocabulary is joined, by broadcast of its bounded size.
-    """
+
+def with_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and the sorted words and pairs of neighbours of each row's text."""
     words = F.expr(r"regexp_extract_all(lower(coalesce(_text, '')), '[a-z0-9_]+', 0)")
     one = df.select(F.col(key).alias(key), F.col(text).alias("_text")).select(key, words.alias("_w"))
     pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    counts = one.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("_tf"))
+    return one.select(key, F.sort_array(F.concat("_w", pairs)).alias("_s"))
+
+
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term and _tf for each term of a key. A row's terms are counted in the row; those of keys with several rows, which are looked for first, by a shuffle."""
+    again = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    few = again.limit(AGAIN + 1).count()
+    own = df[key].eqNullSafe(F.col("_key"))
+    if few:
+        again = F.broadcast(again) if few <= AGAIN else again
+        several = with_terms(df.join(again, own, "left_semi"), key, text).select(key, F.explode("_s").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("_tf"))
+        df = df.join(again, own, "left_anti")
+    # where a run of equal terms starts, and how far the next start is; a filter on terms, also that inferred from inline, would find them once more
+    first = F.when(F.size("_s") > 0, F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.element_at("_s", i) != F.element_at("_s", F.greatest(i - 1, F.lit(1))))))
+    starts = with_terms(df, key, text).select(key, "_s", first.alias("_f"))
+    runs = F.transform("_f", lambda i, j: F.struct(F.element_at("_s", i).alias("term"), (F.coalesce(F.get("_f", j + 1), F.size("_s") + 1) - i).cast("bigint").alias("_tf")))
+    single = starts.select(key, F.inline_outer(runs)).where("term is not null")
+    return single.unionByName(several) if few else single
+
+
+def vocabulary(counts: DataFrame, df: DataFrame, terms: int = 500, least: int = 2, most: float = 0.8) -> DataFrame:
+    """term, _all (its occurrences), _rows (of df) and _weight of the most frequent terms, of ties the smaller, that at least so many keys and at most such a share of all rows have."""
     rows_ = df.agg(F.count(F.lit(1)).alias("_rows"))
     frequent = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("_tf").alias("_all")).join(F.broadcast(rows_), how="cross")
-    vocabulary = frequent.where((F.col("_df") >= least) & (F.col("_df") <= most * F.col("_rows"))).orderBy(F.desc("_all"), "term").limit(terms)
-    weight = F.log((F.col("_rows") + 1) / (F.col("_df") + 1))
-    return counts.join(F.broadcast(vocabulary), "term").select(key, "term", (F.col("_tf") * weight).alias("score"))
+    known = frequent.where((F.col("_df") >= least) & (F.col("_df") <= most * F.col("_rows"))).orderBy(F.desc("_all"), "term").limit(terms)
+    return known.select("term", "_all", "_rows", F.log((F.col("_rows") + 1) / (F.col("_df") + 1)).alias("_weight"))
+
+
+def term_weights(df: DataFrame, key: str, text: str, **bounds: float) -> DataFrame:
+    """key, term and score: frequency times inverse document frequency, as rows, of words and pairs of neighbours in a key's text.
+
+    Null texts have none. Terms stay rows: the vocabulary is joined, by broadcast of its bounded size.
+    """
+    counts = term_counts(df, key, text)
+    return counts.join(F.broadcast(vocabulary(counts, df, **bounds)), "term").select(key, "term", (F.col("_tf") * F.col("_weight")).alias("score"))
 
 
 def mean_weights(df: DataFrame, key: str, text: str, n: int = 30, **bounds: float) -> DataFrame:
-    """The n terms of the highest mean score over all rows, of ties the smaller."""
-    total = df.agg(F.count(F.lit(1)).alias("_rows"))
-    each = term_weights(df, key, text, **bounds).groupBy("term").agg(F.sum("score").alias("_s"))
-    return each.join(F.broadcast(total), how="cross").select("term", F.round(F.col("_s") / F.col("_rows"), 9).alias("score")).orderBy(F.desc("score"), "term").limit(n)
+    """The n terms of the highest mean score over all rows, of ties the smaller. A term's scores add up to its occurrences times its weight."""
+    known = vocabulary(term_counts(df, key, text), df, **bounds)
+    return known.select("term", F.round(F.col("_all") * F.col("_weight") / F.col("_rows"), 9).alias("score")).orderBy(F.desc("score"), "term").limit(n)
 
 
 def keywords(df: DataFrame, key: str, text: str, n: int = 5, **bounds: float) -> DataFrame:

@@ -1,10 +1,13 @@
 """What lets a query's time, memory or shuffle grow with its input alone."""
 
 import gc
+import math
 
 from pyspark.sql import functions as F
 
 from remarkt import queries
+from remarkt.operators import statistics
+from remarkt.plans import training
 from remarkt.sources import html
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +38,33 @@ def test_trees_go_with_their_page():
         assert not any(isinstance(x, html.Node) for x in gc.get_objects())
     finally:
         gc.enable()
+
+
+def test_terms_are_counted_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "B c"), (2, "a"), (None, "c c"), (None, None), (3, ""), (4, "c b")], "k bigint, t string")
+    wants = {(1, "a", 2), (1, "b", 2), (1, "a b", 2), (1, "b a", 1), (2, "b", 1), (2, "c", 1), (2, "b c", 1), (2, "a", 1), (None, "c", 2), (None, "c c", 1), (4, "c", 1), (4, "b", 1), (4, "c b", 1)}
+    found = training.term_counts(docs, "k", "t")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wants, key=str)
+    # by more keys of several rows than are broadcast
+    least, training.AGAIN = training.AGAIN, 1
+    try:
+        assert sorted(map(tuple, training.term_counts(docs, "k", "t").collect()), key=str) == sorted(wants, key=str)
+    finally:
+        training.AGAIN = least
+    single = docs.where("k in (1, 3, 4)")
+    assert "Exchange" not in plan_of(training.term_counts(single, "k", "t"))
+    # a term's scores add up to its mean without their rows
+    assert "hashpartitioning(k" not in plan_of(training.mean_weights(single, "k", "t"))
+
+
+def test_quartiles_of_a_column_hold_no_values_in_one_task(spark):
+    rows = [(float(i * i % 101),) for i in range(1000)] + [(None,)]
+    df = spark.createDataFrame(rows, "v double").repartition(3)
+    assert "percentile(" not in plan_of(statistics.describe(df, "v"))
+    got, v = statistics.describe(df, "v").first(), sorted(x for (x,) in rows[:-1])
+    at = lambda q: v[int(q * 999)] + (q * 999 % 1) * (v[int(q * 999) + 1] - v[int(q * 999)])
+    assert (got.n, got.low, got.high) == (1000, v[0], v[-1]) and [got.q1, got.median, got.q3] == [at(0.25), at(0.5), at(0.75)]
+    none = statistics.describe(df.where("v is null"), "v").first()
+    assert none.n == 0 and none.q1 is None and none.median is None
+    odd = statistics.describe(spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (float("nan"),), (float("nan"),)], "v double"), "v").first()
+    assert odd.q1 == 2.0 and math.isnan(odd.median) and math.isnan(odd.q3)
