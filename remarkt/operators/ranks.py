@@ -18,7 +18,8 @@ def splitters(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
     """Values that part all rows into about equal ranges, by a sketch of bounded size; any would be right."""
     shares = [k / ranges for k in range(1, ranges)]
     found = df.agg(F.percentile_approx(F.col(value), shares, 10 * ranges).alias("s")).first()[0] or []
-    return sorted(set(map(float, found)))
+    # not-a-number has no place among bounds; it is above all of them
+    return sorted({float(x) for x in found if x == x})
 
 
 def range_of(value: Column, bounds: Sequence[float]) -> Column:

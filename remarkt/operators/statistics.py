@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranks
+
 
 def price_history(df: DataFrame, key: str, price: str, original: str | None = None) -> DataFrame:
     """Average, least, greatest price and listings of each product."""
@@ -33,7 +35,10 @@ def box_plot(df: DataFrame, price: str, *keys: str) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, exact quartiles, least, greatest and standard deviation of a column; nulls don't count."""
     c = F.col(column)
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.25).alias("q1"), F.median(c).alias("median"), F.percentile(c, 0.75).alias("q3"), F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_samp(c).alias("std"))
+    whole = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_samp(c).alias("std"))
+    # a row on either side; percentile would hold all values in one task
+    both = whole.join(ranks.quantiles(df, [], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}), how="cross")
+    return both.select("n", "mean", "q1", "median", "q3", "low", "high", "std")
 
 
 def coverage(df: DataFrame) -> DataFrame:
