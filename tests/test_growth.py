@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from remarkt import queries
 from remarkt.operators import statistics
-from remarkt.plans import training
+from remarkt.plans import models, training
 from remarkt.sources import html
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,12 @@ def test_quartiles_of_a_column_hold_no_values_in_one_task(spark):
     assert none.n == 0 and none.q1 is None and none.median is None
     odd = statistics.describe(spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (float("nan"),), (float("nan"),)], "v double"), "v").first()
     assert odd.q1 == 2.0 and math.isnan(odd.median) and math.isnan(odd.q3)
+
+
+def test_n_grams_are_made_for_few_rows_in_many_tasks_and_counted_once(spark, monkeypatch):
+    """The trees' vectors come from kept counts, not from texts."""
+    seen = {}
+    monkeypatch.setattr(models.boosting, "fit", lambda df, *a: seen.update(plan=plan_of(df), tasks=df.rdd.getNumPartitions()))
+    monkeypatch.setattr(models.JunkModel, "predict", lambda self, df: df.withColumn("junk_probability", F.lit(0.0)))
+    queries.QUERIES["junk_model"](spark, SF)
+    assert seen["tasks"] == 4 * spark.sparkContext.defaultParallelism and "InMemoryTableScan" in seen["plan"]
