@@ -57,9 +57,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
 
 
-def target_encoding(df: DataFrame, key: str, target: str) -> DataFrame:
-    """Median target of each key, and the mean of those medians for keys that are new."""
-    each = df.groupBy(key).agg(F.median(target).alias("base_price"))
+def target_encoding(df: DataFrame, key: str, target: str, count: str | None = None) -> DataFrame:
+    """Median target of each key, and the mean of those medians for keys that are new. count: how many rows each stands for."""
+    each = df.groupBy(key).agg((F.percentile(target, 0.5, F.col(count)) if count else F.median(target)).alias("base_price"))
     return each, each.agg(F.avg("base_price").alias("fallback"))
 
 
@@ -79,10 +79,15 @@ def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return s.select("label", "precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), "support")
 
 
-def regression_metrics(df: DataFrame, target: str, prediction: str) -> DataFrame:
-    """Mean absolute error and R2, from sums of one pass."""
+def regression_metrics(df: DataFrame, target: str, prediction: str, count: str | None = None) -> DataFrame:
+    """Mean absolute error and R2, from sums of one pass; of two where a column says how many rows each stands for."""
     y, p = F.col(target).cast("double"), F.col(prediction).cast("double")
-    s = df.agg(F.avg(F.abs(y - p)).alias("mae"), F.sum((y - p) ** 2).alias("left_over"), F.var_pop(y).alias("v"), F.count(y).alias("n"))
+    if count:
+        n = F.when(y.isNotNull(), F.col(count))
+        mean = df.agg((F.sum(n * y) / F.sum(n)).alias("_mean"))
+        s = df.join(F.broadcast(mean), how="cross").agg((F.sum(n * F.abs(y - p)) / F.sum(n)).alias("mae"), F.sum(n * (y - p) ** 2).alias("left_over"), (F.sum(n * (y - F.col("_mean")) ** 2) / F.sum(n)).alias("v"), F.coalesce(F.sum(n), F.lit(0)).alias("n"))
+    else:
+        s = df.agg(F.avg(F.abs(y - p)).alias("mae"), F.sum((y - p) ** 2).alias("left_over"), F.var_pop(y).alias("v"), F.count(y).alias("n"))
     return s.select("mae", F.when(F.col("v") > 0, 1 - F.col("left_over") / (F.col("v") * F.col("n"))).alias("r2"), "n")
 
 
