@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,59 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+# --- guards: a pattern runs only where words stand that every match of it holds
+
+
+@F.pandas_udf(T.StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Normal form in lower case with single blanks; letters of other scripts that patterns of any case take for Latin ones become those. Beside nfkc it costs less than Spark's lower."""
+    return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).replace("\u0130", "i").replace("\u0131", "i").lower().split()), na_action="ignore")
+
+
+def holds(text: Column, words) -> Column:
+    """Whether any of the words is in the text, in its own case."""
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+
+def needs(pattern: str) -> list[str]:
+    """Lower-case words of which each match holds one, from the literal pieces of the pattern's branches; none where a branch has no piece."""
+    body, branches, piece, depth, i = re.sub(r"^\(\?\w+\)", "", pattern), [[""]], "", 0, 0
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            while body[i] != "]":
+                i += 2 if body[i] == "\\" else 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            branches.append([])
+        elif c in "*?{" and not depth:
+            # what stands before may be missing
+            branches[-1][-1:] = [x[:-1] for x in branches[-1][-1:]]
+            i = body.index("}", i) if c == "{" else i
+        elif c not in ".^$+|" and not depth:
+            branches[-1][-1:] = [(branches[-1] or [""])[-1] + c]
+            i += 1
+            continue
+        branches[-1].append("")
+        i += 1
+    found: list[str] = []
+    for pieces in sorted(([x.lower() for x in own if x] for own in branches), key=len):
+        if not pieces:
+            return []
+        if not any(w in x for x in pieces for w in found):
+            found.append(max(reversed(pieces), key=len))
+    return [w for w in found if not any(x != w and x in w for x in found)]
+
+
+def fits(text: Column, low: Column, pattern: str) -> Column:
+    """Whether the pattern fits the text, whose folded form is low."""
+    words = needs(pattern)
+    return holds(low, words) & text.rlike(pattern) if words else text.rlike(pattern)
+
+
 # --- dictionaries
 
 
@@ -93,11 +147,12 @@ def first(items: Column) -> Column:
 
 def present(text: Column, words) -> Column:
     """Whether any of the words is in the text, in its own case."""
-    return F.coalesce(text.rlike(any_of(words)), F.lit(False))
+    return F.coalesce(holds(text, words), F.lit(False))
 
 
-def affirmed(text: Column, words, window: int, ahead: bool = False, negations=config.NEGATIONS) -> Column:
-    """Whether some word of the list stands without a negation in the so many characters after it (before it: ahead)."""
+def affirmed(text: Column, words, window: int, ahead: bool = False, negations=config.NEGATIONS, low: Column | None = None) -> Column:
+    """Whether some word of the list stands without a negation in the so many characters after it (before it: ahead). low: the folded text, if a column has it."""
+    named = holds(folded(text) if low is None else low, [w.lower() for w in words])
     if ahead:
         # the same, read from the end
         text, words, negations = F.reverse(text), [w[::-1] for w in words], [n[::-1] for n in negations]
@@ -105,22 +160,23 @@ def affirmed(text: Column, words, window: int, ahead: bool = False, negations=co
     other = [n for n in negations if not n.isascii()]
     no = "(?iu)" + "|".join([*([any_of(other)] if other else []), *(f"(?<![A-Za-z0-9_]){any_of([n])}(?![A-Za-z0-9_])" for n in latin)])
     near = F.regexp_extract_all(text, F.lit(f"(?isu)(?>{any_of(words)})(?=(.{{0,{window}}}))"), F.lit(1))
-    return F.coalesce(F.exists(near, lambda w: ~w.rlike(no)), F.lit(False))
+    return F.coalesce(F.when(named, F.exists(near, lambda w: ~w.rlike(no))), F.lit(False))
 
 
 # --- titles
 
 def clean_title(title: Column, compat: bool = True) -> Column:
-    text = nfkc(F.coalesce(title.cast("string"), F.lit("")))
+    whole = F.coalesce(title.cast("string"), F.lit(""))
+    text, low = nfkc(whole), folded(whole)
+    only = lambda words, change, text: F.when(holds(low, words), change).otherwise(text)
     text = F.regexp_replace(text, config.DECORATION, " ")
     text = F.regexp_replace(text, config.EMOJI_COMPAT if compat else config.EMOJI, " ")
-    text = F.regexp_replace(text, r"(?U)http\S+|www\S+", "")
-    for word in config.SPAM:
-        text = F.regexp_replace(text, f"(?iu){word}", " ")
+    text = only(("http", "www"), F.regexp_replace(text, r"(?U)http\S+|www\S+", ""), text)
+    plain = reduce(lambda x, word: F.regexp_replace(x, f"(?iu){word}", " "), config.SPAM, text)
+    text = only([w for word in config.SPAM for w in needs(word)], plain, text)
     text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
-    for name in ("iPhone", "Galaxy", "Pixel", "Xperia"):
-        text = F.regexp_replace(text, rf"(?iU)\b{name}\b", name)
-    return text
+    names = ("iPhone", "Galaxy", "Pixel", "Xperia")
+    return only([n.lower() for n in names], reduce(lambda x, name: F.regexp_replace(x, rf"(?iU)\b{name}\b", name), names, text), text)
 
 
 def model(text: Column) -> Column:
@@ -133,9 +189,11 @@ def model(text: Column) -> Column:
 
 def sizes(text: Column, pattern: str = config.SIZE) -> Column:
     """(gb, label) of each size in the text, which is searched once."""
-    unit = lambda m: F.when(F.upper(F.regexp_extract(m, pattern, 2)).isin("GB", "ギガ"), "GB").otherwise("TB")
+    unit = lambda m: F.when(F.regexp_extract(m, pattern, 2).isin("GB", "gb", "ギガ"), "GB").otherwise("TB")
     number = lambda m: F.regexp_extract(m, pattern, 1).try_cast("bigint")
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct((number(m) * F.when(unit(m) == "TB", 1024).otherwise(1)).alias("gb"), F.concat(number(m).cast("string"), unit(m)).alias("label")))
+    # every pattern of sizes ends in one of these
+    found = F.when(holds(text, ("GB", "gb", "TB", "tb", "ギガ", "テラ")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda m: F.struct((number(m) * F.when(unit(m) == "TB", 1024).otherwise(1)).alias("gb"), F.concat(number(m).cast("string"), unit(m)).alias("label")))
 
 
 def largest(found: Column) -> Column:
@@ -185,15 +243,20 @@ def clean_description(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(text.cast("string"), F.lit(""))), r"(?U)\s+", " "), "^ | $", "")
 
 
+def number_of(text: Column, pattern: str) -> Column:
+    """The number that a pattern captures; a cast of no text at all costs an error inside."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).try_cast("int"))
+
+
 def battery_percentage(text: Column) -> Column:
     # every pattern ends in a per cent sign
-    return F.when(text.rlike("[%％]"), F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("int") for p in config.BATTERY)))
+    return F.when(text.rlike("[%％]"), F.coalesce(*(number_of(text, p) for p in config.BATTERY)))
 
 
 def description_ram(text: Column) -> Column:
-    found = [F.regexp_extract(text, p, 1).try_cast("int") for p in config.RAM]
+    found = [number_of(text, p) for p in config.RAM]
     # every pattern has GB in any case
-    return F.when(F.lower(text).contains("gb"), F.coalesce(*(F.when(n <= 24, F.concat(n.cast("string"), F.lit("GB"))) for n in found)))
+    return F.when(holds(text, ("GB", "gb", "Gb", "gB")), F.coalesce(*(F.when(n <= 24, F.concat(n.cast("string"), F.lit("GB"))) for n in found)))
 
 
 def description_storage(text: Column) -> Column:
@@ -202,31 +265,31 @@ def description_storage(text: Column) -> Column:
 
 def description_features(df: DataFrame, description: str = "explanation", compat: bool = True) -> DataFrame:
     """df and the description's features; columns of those names are replaced, and the description's blanks become null."""
-    text = F.col("_text")
+    text, low = F.col("_text"), F.col("_low")
     raw = F.nullif(F.trim(F.col(description).cast("string")), F.lit("")) if description in df.columns else F.lit(None).cast("string")
     complete = present(text, config.COMPLETE_SET)
-    free = text.rlike("(?iu)SIM.*フリー|シムフリー|sim.*free|SIMロック.*解除")
-    scratched, cracked = affirmed(text, config.SCRATCHES, 10), affirmed(text, config.CRACKS, 10)
+    free = fits(text, low, "(?iu)SIM.*フリー|シムフリー|sim.*free|SIMロック.*解除")
+    scratched, cracked = affirmed(text, config.SCRATCHES, 10, low=low), affirmed(text, config.CRACKS, 10, low=low)
     issues = present(text, config.JUNK)
     status = F.lit(None).cast("string")
     for name, pattern in reversed(config.RESTRICTIONS):
-        status = F.when(text.rlike(pattern), name).otherwise(status)
+        status = F.when(fits(text, low, pattern), name).otherwise(status)
     plain_ram = description_ram(text)
     broken = {}
     for name, words in (("face", config.FACE_ID), ("touch", config.TOUCH_ID)):
-        good = affirmed(text, words, 10)
+        good = affirmed(text, words, 10, low=low)
         # compat: a mention that no negation follows counts as broken
         broken[name] = good if compat else text.rlike("(?iu)" + any_of(words)) & ~good
     works = lambda name, words: F.when(present(text, words), ~broken[name])
     new = {
         "preprocessed_explanation": text, "battery_percentage": battery_percentage(text),
-        "battery_status": F.when(text.rlike("(?iu)バッテリー.*良好|battery.*good"), "good").when(text.rlike("(?iu)バッテリー.*劣化|battery.*degraded"), "degraded"),
-        "battery_replaced": text.rlike("(?iu)バッテリー.*交換|battery.*replaced|battery.*changed"), "storage": description_storage(text),
+        "battery_status": F.when(fits(text, low, "(?iu)バッテリー.*良好|battery.*good"), "good").when(fits(text, low, "(?iu)バッテリー.*劣化|battery.*degraded"), "degraded"),
+        "battery_replaced": fits(text, low, "(?iu)バッテリー.*交換|battery.*replaced|battery.*changed"), "storage": description_storage(text),
         "ram": plain_ram if compat or "ram" not in df.columns else F.coalesce(plain_ram, F.col("ram")),
-        "has_box": complete | affirmed(text, config.BOX, 12), "has_charger": complete | affirmed(text, config.CHARGER, 15), "has_cable": complete | affirmed(text, config.CABLE, 15), "has_earphones": affirmed(text, config.EARPHONES, 15),
-        "accessories_complete": complete, "is_sim_free": free, "sim_lock_status": F.when(free, "unlocked").when(text.rlike("(?iu)SIMロック|sim.*lock"), "locked"), "network_restriction": status,
+        "has_box": complete | affirmed(text, config.BOX, 12, low=low), "has_charger": complete | affirmed(text, config.CHARGER, 15, low=low), "has_cable": complete | affirmed(text, config.CABLE, 15, low=low), "has_earphones": affirmed(text, config.EARPHONES, 15, low=low),
+        "accessories_complete": complete, "is_sim_free": free, "sim_lock_status": F.when(free, "unlocked").when(fits(text, low, "(?iu)SIMロック|sim.*lock"), "locked"), "network_restriction": status,
         "has_scratches": scratched, "screen_condition": F.when(cracked, "cracked").when(scratched, "scratched").otherwise("clean"), "body_condition": F.when(scratched, "used").otherwise("good"), "has_damage": cracked,
         "face_id_working": works("face", config.FACE_ID), "touch_id_working": works("touch", config.TOUCH_ID), "fully_functional": ~issues & ~broken["face"] & ~broken["touch"], "has_issues": issues,
         "original_explanation": raw, description: raw,
     }
-    return df.withColumn("_text", clean_description(raw)).withColumns(new).drop("_text")
+    return df.withColumns({"_text": clean_description(raw), "_low": folded(F.coalesce(raw, F.lit("")))}).withColumns(new).drop("_text", "_low")
