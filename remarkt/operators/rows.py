@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in the given ascending order, which should be total; null keys are one key.
 
-    An aggregation, not a window: tasks keep one row for each key before the shuffle, so a hot key gathers nothing.
+    Tasks keep one row for each key before the shuffle, so a hot key gathers nothing; of the columns only those move that are read later.
     """
-    least = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*order))
-    return df.groupBy(*keys).agg(least.alias("_row")).select("_row.*")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_nth", first).where("_nth = 1").drop("_nth")
 
 
 def spread(df: DataFrame, tasks: int = 4) -> DataFrame:
@@ -118,9 +118,13 @@ def without_orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 def transition(df: DataFrame, loaded: DataFrame, dropped: DataFrame, now: Column, key: str = "link") -> DataFrame:
     """Status and processed_at of the rows whose key is in loaded or, else, in dropped."""
     outcome = loaded.select(key).distinct().withColumn("_to", F.lit("loaded_mysql")).unionByName(dropped.select(key).distinct().withColumn("_to", F.lit("dropped_etl")))
-    outcome = outcome.groupBy(key).agg(F.max("_to").alias("_to"))
+    return moved(df, outcome.groupBy(key).agg(F.max("_to").alias("_to")), now, key)
+
+
+def moved(df: DataFrame, outcome: DataFrame, now: Column, key: str = "link") -> DataFrame:
+    """Status and processed_at of the rows whose key is in outcome: each key once, and in _to its new status."""
     hit = F.col("_to").isNotNull()
-    return df.join(outcome, key, "left").withColumns({"status": F.coalesce("_to", "status"), "processed": F.when(hit, F.lit(True)).otherwise(F.col("processed")), "processed_at": F.when(hit, now).otherwise(F.col("processed_at"))}).select(*df.columns)
+    return df.join(outcome.select(key, "_to"), key, "left").withColumns({"status": F.coalesce("_to", "status"), "processed": F.when(hit, F.lit(True)).otherwise(F.col("processed")), "processed_at": F.when(hit, now).otherwise(F.col("processed_at"))}).select(*df.columns)
 
 
 def reset_status(df: DataFrame, states: Sequence[str] = ("loaded_mysql", "dropped_etl")) -> DataFrame:

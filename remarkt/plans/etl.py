@@ -65,7 +65,11 @@ def load(raw: DataFrame, products: DataFrame, listings: DataFrame, history: Data
     listings2 = rows.upsert(schema.conform(listings, schema.LISTINGS), schema.conform(listed, schema.LISTINGS), "source_url", LISTING_UPDATES)
     day = statistics.price_history(keyed, "product_id", "price_vnd", "price_yen").withColumn("record_date", today)
     history2 = merge_history(history, day)
-    done = rows.transition(raw, new.select(c("source_url").alias("link")), all_.select(c("source_url").alias("link")), now)
+    # a link is in one row of the selection, so what becomes of it is known there
+    listed_already = listings.select("source_url").distinct().withColumn("_known", F.lit(True))
+    outcome = all_.select("source_url", "drop_reason").join(listed_already, "source_url", "left")
+    outcome = outcome.select(c("source_url").alias("link"), F.when(c("drop_reason").isNull() & c("_known").isNull(), "loaded_mysql").otherwise("dropped_etl").alias("_to"))
+    done = rows.moved(raw, outcome, now)
     return Tables(products2, listings2, history2, done, all_.groupBy("drop_reason").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -77,3 +77,12 @@ def test_n_grams_are_made_for_few_rows_in_many_tasks_and_counted_once(spark, mon
     monkeypatch.setattr(models.JunkModel, "predict", lambda self, df: df.withColumn("junk_probability", F.lit(0.0)))
     queries.QUERIES["junk_model"](spark, SF)
     assert seen["tasks"] == 4 * spark.sparkContext.defaultParallelism and "InMemoryTableScan" in seen["plan"]
+
+
+def test_a_load_finds_its_selection_once_for_the_status(spark):
+    """One rank of the rows of a link, in a shuffle that carries no column that nothing reads."""
+    plan = plan_of(queries.QUERIES["etl_again_status"](spark, SF))
+    assert plan.count("FileScan parquet") <= 6 and "SortAggregate" not in plan
+    ranked = [line for line in plan.split("\n") if " Window [" in line]
+    assert len(ranked) == 1 and "WindowGroupLimit" in plan
+    assert "min_by" not in plan
