@@ -1,5 +1,6 @@
 """What lets a query's time, memory or shuffle grow with its input alone."""
 
+import collections
 import gc
 import math
 
@@ -79,6 +80,25 @@ def test_n_grams_are_made_for_few_rows_in_many_tasks_and_counted_once(spark, mon
     assert seen["tasks"] == 4 * spark.sparkContext.defaultParallelism and "InMemoryTableScan" in seen["plan"]
 
 
+def test_n_grams_are_made_once_for_an_unlike_word(spark, monkeypatch):
+    """The counts of those of each text, without a list of them for each text."""
+    texts = [("Aa aA bcdefg", "ÄB x"), (None, None), (" ", ""), ("x " * 50, "x😀yz"), ("bcd", "aa bcd")]
+    df = spark.createDataFrame(texts, "name string, explanation string").withColumn("price", F.lit("7")).repartition(2)
+    grams = [r.g for r in df.select(models.char_ngrams(F.concat_ws(" ", "name", "explanation")).alias("g")).collect()]
+    totals = collections.Counter(x for g in grams for x in g)
+    terms = models.top_terms(models.junk_inputs(df), 20)
+    assert terms == sorted(totals, key=lambda x: (-totals[x], x))[:20]
+    found = models.term_counts(models.junk_inputs(df), terms)
+    got = [{terms[i]: v for i, v in zip(r._tf.indices.tolist(), r._tf.values.tolist(), strict=True)} for r in found.select("_tf").collect()]
+    wants = [{x: n for x, n in collections.Counter(g).items() if x in terms} for g in grams]
+    assert sorted(map(sorted, (x.items() for x in got))) == sorted(map(sorted, (x.items() for x in wants)))
+    # a text's own n-grams are no column of the trees' plan
+    seen = {}
+    monkeypatch.setattr(models.boosting, "fit", lambda df, *a: seen.update(plan=plan_of(df)))
+    models.train_junk(df.withColumn("is_junk", F.col("name").isNull()), terms=20)
+    assert "_grams" not in seen["plan"] and "_words" in seen["plan"]
+
+
 def test_a_load_finds_its_selection_once_for_the_status(spark):
     """One rank of the rows of a link, in a shuffle that carries no column that nothing reads."""
     plan = plan_of(queries.QUERIES["etl_again_status"](spark, SF))
