@@ -58,6 +58,28 @@ def test_terms_are_counted_in_their_row(spark):
     assert "hashpartitioning(k" not in plan_of(training.mean_weights(single, "k", "t"))
 
 
+def test_pairs_are_made_of_words_that_a_keyword_can_hold(spark, monkeypatch):
+    """With a small vocabulary, ties at its end, rare pairs, words of nearly all rows, null and repeated keys: as from counts of all terms."""
+    texts = ["the a b c", "the a b", "the a c a c", "the B a", None, "", "the e e", "the f e", "x" * 5 + " the", "g the g the g the", "the a b", "the q a"]
+    docs = spark.createDataFrame([(k if k % 5 else None if k else 1, t) for k, t in enumerate(texts)], "k bigint, t string").repartition(3)
+    seen, plain = [], training.with_terms
+    monkeypatch.setattr(training, "with_terms", lambda *a, **some: seen.append(some) or plain(*a, **some))
+    every = training.term_counts(docs, "k", "t").cache()
+    for n, least, most in ((3, 2, 0.6), (50, 1, 1.0)):
+        bounds = {"terms": n, "least": least, "most": most}
+        kept = training.vocabulary(every, docs, **bounds)
+        wants = sorted(every.join(kept, "term").select("k", "term", (F.col("_tf") * F.col("_weight")).alias("score")).collect(), key=str)
+        seen.clear()
+        assert sorted(training.term_weights(docs, "k", "t", **bounds).collect(), key=str) == wants
+        # none while words are counted, then those of few words
+        assert seen and all(some.get("pairs") is False or some["among"] is not None for some in seen)
+    assert sorted(training.likely_words(docs, "k", "t", 3, 2, 0.6)) == ["a", "b", "c", "e", "the"]
+    # all of them where words are too many
+    monkeypatch.setattr(training, "LIKELY", 1)
+    assert sorted(training.term_weights(docs, "k", "t", **bounds).collect(), key=str) == wants
+    assert training.keywords(docs.where("k > 100"), "k", "t").collect() == []
+
+
 def test_quartiles_of_a_column_hold_no_values_in_one_task(spark):
     rows = [(float(i * i % 101),) for i in range(1000)] + [(None,)]
     df = spark.createDataFrame(rows, "v double").repartition(3)
