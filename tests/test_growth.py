@@ -80,6 +80,18 @@ def test_pairs_are_made_of_words_that_a_keyword_can_hold(spark, monkeypatch):
     assert training.keywords(docs.where("k > 100"), "k", "t").collect() == []
 
 
+def test_pairs_are_made_of_words_that_a_mean_weight_can_hold(spark, monkeypatch):
+    """Of null, empty and repeated keys too; the means are those of all terms."""
+    docs = spark.createDataFrame([(1, "the a b"), (2, "the a b c"), (2, "the q"), (None, "a b"), (4, None), (5, ""), (None, "a x")], "k bigint, t string")
+    bounds = {"terms": 3, "least": 2, "most": 0.5}
+    known = training.vocabulary(training.term_counts(docs, "k", "t"), docs, **bounds)
+    wants = {(r.term, round(r._all * r._weight / r._rows, 9)) for r in known.collect()}
+    seen, plain = [], training.with_terms
+    monkeypatch.setattr(training, "with_terms", lambda *a, **some: seen.append(some) or plain(*a, **some))
+    assert {tuple(r) for r in training.mean_weights(docs, "k", "t", **bounds).collect()} == wants and ("a b" in {w for w, _ in wants})
+    assert all(some.get("pairs") is False or sorted(some["among"]) == ["a", "b", "the"] for some in seen)
+
+
 def test_quartiles_of_a_column_hold_no_values_in_one_task(spark):
     rows = [(float(i * i % 101),) for i in range(1000)] + [(None,)]
     df = spark.createDataFrame(rows, "v double").repartition(3)
