@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from remarkt import queries
+from remarkt.functions import scalars
 from remarkt.operators import statistics
 from remarkt.plans import models, training
 from remarkt.sources import html
@@ -140,3 +141,17 @@ def test_a_load_finds_its_selection_once_for_the_status(spark):
     ranked = [line for line in plan.split("\n") if " Window [" in line]
     assert len(ranked) == 1 and "WindowGroupLimit" in plan
     assert "min_by" not in plan
+
+
+def test_a_price_is_read_with_few_patterns(spark):
+    """Filters don't share them, so each stands for a pass over the text; the values are those of its digits."""
+    texts = [None, "", " ", "YEN", "0", "000", "¥0,098 円", "a1b2", "3000000", "3000001", "0003000001", "1,234,567", "12,34567,89", "5000 YEN", "１２", "-7.5", "0\n12\n0", "9" * 400, "00" + "7" * 30]
+    df = spark.createDataFrame([(x,) for x in texts], "p string").coalesce(1)
+
+    def wants(x):
+        d = "".join(c for c in x or "" if c in "0123456789").lstrip("0")
+        return (float(d[:6]) if len(d) > 6 and int(d) > 3000000 else float(d)) if d else None
+
+    assert [r.v for r in df.select(scalars.clean_price(F.col("p")).alias("v")).collect()] == [wants(x) for x in texts]
+    plan = df.where(scalars.clean_price(F.col("p")).between(1, 9))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 10
